@@ -6,7 +6,7 @@ max(MIN_DOCS, MAX_SHARE of the host's distinct documents) documents is removed,
 KEEP_SHARE of its words after that is depleted and rejected. Base rules reject short and self-repeating documents.
 
 Scale: counting is two map-side combined aggregations over (host, line hash, text hash); the join that finds removed
-lines carries no text, and its frequent side holds at most (lines / MIN_DOCS) rows, so a hot host or line is split by
+lines carries no text (lines are hashed once, into a written table), and its frequent side holds at most (lines / MIN_DOCS) rows, so a hot host or line is split by
 the skew join and not gathered. Every per-document measure stays in the document's own row.
 Defined results: null and empty texts have no words and fail; a null host is a host of its own; extra columns are ignored.
 """
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 MIN_DOCS, MAX_SHARE, KEEP_SHARE = 20, 0.10, 0.30
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SPACES = " \t\n\u000b\f\r"
@@ -80,7 +82,7 @@ def frequent_lines(docs: DataFrame, rows: DataFrame, text_col: str = "text", hos
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """All columns of docs, the measures, removed_words and kept. The identifier is taken as unique."""
-    rows = line_rows(docs, id_col, text_col, host_col)
+    rows = written(line_rows(docs, id_col, text_col, host_col), "lines")
     removed = rows.join(frequent_lines(docs, rows, text_col, host_col), ["_host", "line"], "left_semi").groupBy("_id").agg(F.sum("n").alias("removed_words"))
     judged = measures(docs, text_col).join(removed, F.col(id_col) == F.col("_id"), "left").drop("_id").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("bigint"))
     depleted = F.col("n_words") - F.col("removed_words") < F.lit(KEEP_SHARE) * F.col("n_words")
