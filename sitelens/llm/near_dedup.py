@@ -7,12 +7,16 @@ two sets with the probability of their Jaccard similarity, with concentration. B
 cells; two sets with similarity 0.8 miss each other in all cells with probability under 1e-7.
 
 Equal sets are one class, represented by its smallest identifier. In each cell the class of highest priority (a hash)
-is the hub; (hub, member) pairs are verified on the full sets. Components are taken; cells that still hold classes of
-two components are reopened with other hubs, and after STARS such rounds all pairs across components in a cell that
-were not tested yet are verified. So a cell of thousands of copies costs a few pairs each, and no link that joins two
-components is lost.
-
-Components: min-label stars in alternating large-star and small-star steps on written tables.
+is the hub; (hub, member) pairs are verified on the full sets and components are taken. Cells that still hold classes of
+two components are reopened: a hub of the component with most members there, another one in each cell, is tested against
+the classes outside that component. What is still open is finished exhaustively: all pairs across components that
+were not tested yet, by a join in cells of up to FEW classes, and in larger cells by comparing the sketches' low bytes
+in blocks of BLOCK classes; only pairs that agree in at least LIKELY of the coordinates are verified (a pair of
+similarity 0.8 falls below with probability 1e-7). So a cell of thousands of copies costs a few pairs each, and no link
+that joins two components is lost.
+
+Components: union-find in one executor task while there are at most ONE_TASK links, a count that is taken first; beyond
+that alternating large-star and small-star steps on written tables.
 Scale: what is exchanged is band hashes (BANDS longs a class) and, for tested pairs alone, shingle sets; hot classes are
 pre-aggregated; nothing is collected. Defined results: documents without words are linked with nothing; a text with
 fewer words than a shingle is its whole sequence; identifiers are taken as unique, a null identifier links to nothing.
@@ -31,6 +35,7 @@ from .common import written
 from .words import mix, word_hashes
 
 BINS, BANDS, STARS = 128, 32, 2
+FEW, BLOCK, LIKELY, ONE_TASK = 8, 4000, 0.62, 1_000_000
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TOP = np.uint64((1 << 64) - 1)
 
@@ -115,8 +120,70 @@ def _set_table(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
     return own.join(wanted, "id", "left_semi").mapInArrow(run, "id bigint, set array<bigint>")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for each node of links (a, b): root is the smallest node reachable. Alternating stars until nothing changes."""
+def _low_bytes(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, low byte of each sketch coordinate) of the wanted identifiers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, words, first in word_hashes(b.column("text")):
+                low = (sketches(*shingle_sets(words, first, width)) & np.uint64(0xFF)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pa.array([x.tobytes() for x in low], pa.binary())], ["id", "low"])
+
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    return own.join(wanted, "id", "left_semi").mapInArrow(run, "id bigint, low binary")
+
+
+def _likely(key: tuple, table: pa.Table) -> pa.Table:
+    """Pairs of different components in one block pair of a cell whose sketches agree often enough."""
+    rep, n, root, side = (table.column(c).to_numpy() for c in ("rep", "n", "root", "side"))
+    low = np.frombuffer(b"".join(table.column("low").to_pylist()), dtype=np.uint8).reshape(len(rep), BINS)
+    left, right = np.flatnonzero(side < 2), np.flatnonzero(side > 0)  # side: 0 first block, 2 second, 1 both are one block
+    out = []
+    for i in left:
+        js = right[(root[right] != root[i]) & (rep[right] != rep[i])]
+        js = js[(low[js] == low[i]).sum(axis=1) >= LIKELY * BINS]
+        out += [(rep[i], n[i], rep[j], n[j]) for j in js if side[i] != 1 or rep[i] < rep[j]]
+    columns = list(zip(*out, strict=True)) or [[], [], [], []]
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["rep", "n", "hub", "hn"])
+
+
+def _across(here: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """All pairs across components in a cell that can reach the similarity."""
+    sizes = here.groupBy("cell").agg(F.count("*").alias("m"))
+    sized = here.join(sizes, "cell")
+    small = sized.filter(F.col("m") <= FEW)
+    other = small.select("cell", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("root").alias("hroot"))
+    few = small.join(other, "cell").filter("rep < hub AND root <> hroot").select("rep", "n", "hub", "hn")
+    large = sized.filter(F.col("m") > FEW)
+    low = _low_bytes(docs, large.select(F.col("rep").alias("id")).distinct(), width, id_col, text_col)
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = large.join(low.withColumnRenamed("id", "rep"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = F.when(F.col("own") == F.col("with"), 1).when(F.col("own") < F.col("with"), 0).otherwise(2)
+    placed = own.select("cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "rep", "n", "root", side.alias("side"), "low")
+    return few.unionByName(placed.groupBy("cell", "i", "j").applyInArrow(_likely, "rep bigint, n bigint, hub bigint, hn bigint"))
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+            u, v = find(u), find(v)
+            parent[max(u, v)] = min(u, v)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, root) for each node of links (a, b): root is the smallest node reachable."""
+    if links.count() <= one_task:
+        return links.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).coalesce(1).mapInArrow(_union_find, "node bigint, root bigint")
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
@@ -150,11 +217,12 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "d
             open_ = known.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("cell")
             here = written(known.join(open_, "cell"), "open")
         if star < STARS:
-            top = here.groupBy("cell").agg(F.max(F.struct(F.xxhash64(F.lit(star), "rep").alias("p"), F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("root").alias("hroot"))).alias("top")).select("cell", "top.*")
+            salt = F.xxhash64("rep") if comp is None else F.xxhash64("cell", "rep")
+            roots = here.groupBy("cell", "root").agg(F.count("*").alias("c"), F.max(F.struct(salt.alias("p"), F.col("rep").alias("hub"), F.col("n").alias("hn"))).alias("h")) if comp is not None else here.select("cell", "root", F.lit(1).alias("c"), F.struct(salt.alias("p"), F.col("rep").alias("hub"), F.col("n").alias("hn")).alias("h"))
+            top = roots.groupBy("cell").agg(F.max(F.struct("c", "h", F.col("root").alias("hroot"))).alias("t")).select("cell", "t.h.hub", "t.h.hn", "t.hroot")
             pairs = here.join(top, "cell").filter("rep <> hub AND root <> hroot").select("rep", "n", "hub", "hn")
         else:
-            other = here.select("cell", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("root").alias("hroot"))
-            pairs = here.join(other, "cell").filter("rep < hub AND root <> hroot").select("rep", "n", "hub", "hn")
+            pairs = _across(here, docs, width, id_col, text_col)
         # sizes alone rule out a pair whose smaller set is under percent of the larger
         pairs = pairs.filter(F.lit(100) * F.least("n", "hn") >= F.lit(percent) * F.greatest("n", "hn")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), F.when(F.col("rep") < F.col("hub"), F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(F.col("rep") < F.col("hub"), F.col("hn")).otherwise(F.col("n")).alias("nb")).distinct()
         if tested is not None:
