@@ -10,9 +10,9 @@ Equal sets are one class, represented by its smallest identifier. In each cell t
 is the hub; (hub, member) pairs are verified on the full sets and components are taken. Cells that still hold classes of
 two components are reopened: a hub of the component with most members there, another one in each cell, is tested against
 the classes outside that component. What is still open is finished exhaustively: all pairs across components that
-were not tested yet, by a join in cells of up to FEW classes, and in larger cells by comparing the sketches' low bytes
-in blocks of BLOCK classes; only pairs that agree in at least LIKELY of the coordinates are verified (a pair of
-similarity 0.8 falls below with probability 1e-7). So a cell of thousands of copies costs a few pairs each, and no link
+were not tested yet, by a join in cells of up to FEW classes, and in larger cells by 16-bit fingerprints of the sets in
+blocks of BLOCK classes, which bound each intersection from above; only pairs whose bound reaches the similarity are
+verified. So a cell of thousands of copies costs a few pairs each, and no link
 that joins two components is lost.
 
 Components: union-find in one executor task while there are at most ONE_TASK links, a count that is taken first; beyond
@@ -35,7 +35,7 @@ from .common import written
 from .words import mix, word_hashes
 
 BINS, BANDS, STARS = 128, 32, 2
-FEW, BLOCK, LIKELY, ONE_TASK = 8, 4000, 0.62, 1_000_000
+FEW, BLOCK, ONE_TASK = 8, 4000, 1_000_000
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TOP = np.uint64((1 << 64) - 1)
 
@@ -120,34 +120,59 @@ def _set_table(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
     return own.join(wanted, "id", "left_semi").mapInArrow(run, "id bigint, set array<bigint>")
 
 
-def _low_bytes(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, low byte of each sketch coordinate) of the wanted identifiers."""
+def _short_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, 16-bit fingerprints of the set) of the wanted identifiers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, words, first in word_hashes(b.column("text")):
-                low = (sketches(*shingle_sets(words, first, width)) & np.uint64(0xFF)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pa.array([x.tobytes() for x in low], pa.binary())], ["id", "low"])
+                sets, at = shingle_sets(words, first, width)
+                short = (sets & np.uint64(0xFFFF)).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pa.array([short[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "short"])
 
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return own.join(wanted, "id", "left_semi").mapInArrow(run, "id bigint, low binary")
-
+    return own.join(wanted, "id", "left_semi").mapInArrow(run, "id bigint, short binary")
+
+
+def _possible(percent: int):
+    """Pairs of different components in one block pair of a cell whose fingerprints leave the similarity possible.
+
+    Every common shingle has a common fingerprint, so the count of one set's fingerprints found in the other bounds the
+    intersection from above: no pair that reaches the similarity is left out.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rep, n, root, side = (table.column(c).to_numpy() for c in ("rep", "n", "root", "side"))
+        short = [np.frombuffer(x, dtype=np.uint16) for x in table.column("short").to_pylist()]
+        left, right = np.flatnonzero(side < 2), np.flatnonzero(side > 0)  # side: 0 first block, 2 second, 1 both are one block
+        roots, counts = np.unique(root, return_counts=True)
+        major = roots[counts.argmax()]
+        out: list[tuple] = []
+
+        def test(rows: np.ndarray, others: np.ndarray, allowed) -> None:
+            values = np.concatenate([short[j] for j in others]) if len(others) else np.zeros(0, np.uint16)
+            starts = np.concatenate([[0], np.cumsum([len(short[j]) for j in others])]).astype(np.int64)
+            mark = np.zeros(1 << 16, dtype=bool)
+            for i in rows:
+                mark[short[i]] = True
+                found = np.concatenate([[0], np.cumsum(mark[values])])
+                mark[short[i]] = False
+                bound = np.minimum(np.minimum(found[starts[1:]] - found[starts[:-1]], n[i]), n[others])
+                ok = (100 * bound >= percent * (n[i] + n[others] - bound)) & (root[others] != root[i]) & (rep[others] != rep[i]) & allowed(i, others)
+                out.extend((rep[i], n[i], rep[j], n[j]) for j in others[ok])
+
+        if (side == 1).all():
+            test(left[root[left] != major], right, lambda i, js: (root[js] == major) | (rep[js] > rep[i]))
+        else:
+            test(left[root[left] != major], right, lambda i, js: True)
+            test(right[root[right] != major], left[root[left] == major], lambda i, js: True)
+        columns = list(zip(*out, strict=True)) or [[], [], [], []]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["rep", "n", "hub", "hn"])
 
-def _likely(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of different components in one block pair of a cell whose sketches agree often enough."""
-    rep, n, root, side = (table.column(c).to_numpy() for c in ("rep", "n", "root", "side"))
-    low = np.frombuffer(b"".join(table.column("low").to_pylist()), dtype=np.uint8).reshape(len(rep), BINS)
-    left, right = np.flatnonzero(side < 2), np.flatnonzero(side > 0)  # side: 0 first block, 2 second, 1 both are one block
-    out = []
-    for i in left:
-        js = right[(root[right] != root[i]) & (rep[right] != rep[i])]
-        js = js[(low[js] == low[i]).sum(axis=1) >= LIKELY * BINS]
-        out += [(rep[i], n[i], rep[j], n[j]) for j in js if side[i] != 1 or rep[i] < rep[j]]
-    columns = list(zip(*out, strict=True)) or [[], [], [], []]
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["rep", "n", "hub", "hn"])
+    return run
 
 
-def _across(here: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def _across(here: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """All pairs across components in a cell that can reach the similarity."""
     sizes = here.groupBy("cell").agg(F.count("*").alias("m"))
     sized = here.join(sizes, "cell")
@@ -155,12 +180,12 @@ def _across(here: DataFrame, docs: DataFrame, width: int, id_col: str, text_col:
     other = small.select("cell", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("root").alias("hroot"))
     few = small.join(other, "cell").filter("rep < hub AND root <> hroot").select("rep", "n", "hub", "hn")
     large = sized.filter(F.col("m") > FEW)
-    low = _low_bytes(docs, large.select(F.col("rep").alias("id")).distinct(), width, id_col, text_col)
+    short = _short_sets(docs, large.select(F.col("rep").alias("id")).distinct(), width, id_col, text_col)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = large.join(low.withColumnRenamed("id", "rep"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    own = large.join(short.withColumnRenamed("id", "rep"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     side = F.when(F.col("own") == F.col("with"), 1).when(F.col("own") < F.col("with"), 0).otherwise(2)
-    placed = own.select("cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "rep", "n", "root", side.alias("side"), "low")
-    return few.unionByName(placed.groupBy("cell", "i", "j").applyInArrow(_likely, "rep bigint, n bigint, hub bigint, hn bigint"))
+    placed = own.select("cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "rep", "n", "root", side.alias("side"), "short")
+    return few.unionByName(placed.groupBy("cell", "i", "j").applyInArrow(_possible(percent), "rep bigint, n bigint, hub bigint, hn bigint"))
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +247,7 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "d
             top = roots.groupBy("cell").agg(F.max(F.struct("c", "h", F.col("root").alias("hroot"))).alias("t")).select("cell", "t.h.hub", "t.h.hn", "t.hroot")
             pairs = here.join(top, "cell").filter("rep <> hub AND root <> hroot").select("rep", "n", "hub", "hn")
         else:
-            pairs = _across(here, docs, width, id_col, text_col)
+            pairs = _across(here, docs, width, percent, id_col, text_col)
         # sizes alone rule out a pair whose smaller set is under percent of the larger
         pairs = pairs.filter(F.lit(100) * F.least("n", "hn") >= F.lit(percent) * F.greatest("n", "hn")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), F.when(F.col("rep") < F.col("hub"), F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(F.col("rep") < F.col("hub"), F.col("hn")).otherwise(F.col("n")).alias("nb")).distinct()
         if tested is not None:
