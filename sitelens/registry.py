@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .operators import palette, profile
+from .plans.oracles import ORACLES  # noqa: F401
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**profile.QUERIES, **palette.QUERIES}
