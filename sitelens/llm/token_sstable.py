@@ -18,7 +18,9 @@ from __future__ import annotations
 import bisect
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +36,7 @@ BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 10, 7
 MAGIC = b"SSTTOK01"
 #: index offset, bloom offset, footer offset, entries, tokens, id width, magic
 FOOTER = struct.Struct("<QQQQQI8s")
-KEPT = 150_000
+KEPT = 250_000
 _PART = re.compile(r" (?=\S)")
 
 
@@ -218,7 +220,10 @@ class LibraryEncoder:
 
     def pack(self, ids: list[int]) -> bytes:
         """Little-endian bytes of ids."""
-        return np.asarray(ids, dtype="<u2" if self.width == 2 else "<u4").tobytes()
+        packed = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of whole texts."""
