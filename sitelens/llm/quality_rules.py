@@ -67,10 +67,10 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     """(id, host, text hash, line hash, words in the line) for each line with a word; no text leaves the scan."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    def facts(x: Column) -> Column:
-        line = F.trim(F.lower(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
-        return F.struct(F.xxhash64(line).alias("line"), (F.length(line) - F.length(F.translate(line, " ", "")) + 1).alias("n"))
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\u0000")).alias("_host"), F.xxhash64(text).alias("_text"), F.explode(F.transform(lines, facts)).alias("_l")).select("_id", "_host", "_text", "_l.line", "_l.n")
+    # each step is a transform of its own, so that a line is normalised once however often its facts use it
+    normal = F.transform(lines, lambda x: F.filter(F.split(F.translate(F.lower(x), SPACES[1:], " " * 5), " "), lambda w: w != ""))
+    facts = F.transform(normal, lambda w: F.struct(F.xxhash64(F.array_join(w, " ")).alias("line"), F.size(w).alias("n")))
+    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\u0000")).alias("_host"), F.xxhash64(text).alias("_text"), F.explode(facts).alias("_l")).select("_id", "_host", "_text", "_l.line", "_l.n")
 
 
 def frequent_lines(docs: DataFrame, rows: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
