@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import palette, profile
-from .plans.oracles import ORACLES  # noqa: F401
+from .operators import palette, profile, sheets
+from .plans import oracles, sheet_oracles
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**profile.QUERIES, **palette.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**profile.QUERIES, **palette.QUERIES, **sheets.QUERIES}
+ORACLES: dict[str, str] = {**oracles.ORACLES, **sheet_oracles.ORACLES}
