@@ -9,8 +9,9 @@ right part; an arc y leaves a state if the arc of y's left part left it when y w
 ``Automaton.arc`` reads this off by walking right parts of x and left parts of y, and keeps the answer in the
 transition table.
 
-To encode a pre-split word its byte prefixes are scanned: each prefix has exactly one accepted path, whose last label
-is found among the vocabulary's strings ending there by one table look-up for the arc from the state before it.
+To encode a pre-split word the automaton is followed from its start: at each place the longest label that spells the next
+bytes is tried first, then the shorter ones, each by one table look-up for its arc; where none goes on, the last arc is taken
+back. Each prefix of a word has exactly one accepted path, so every place is entered once at most.
 Words are read once and kept in two generations of a bounded table. Decoding joins the arc labels' bytes.
 
 Defined results: null and empty texts have no tokens; the added special token's string in a text is one token, as
@@ -62,7 +63,24 @@ class Automaton:
         made = set(self.made) | set(self.start.values())
         self.table: dict[tuple[int, int], bool] = {}
         self.by_end: dict[bytes, int] = {b: i for b, i in self.ids.items() if i in made and self.alone(i)}
-        self.longest = max(map(len, self.by_end), default=1)
+        self.sizes = {i: len(b) for b, i in self.by_end.items()}
+        self.shorter: dict[int, int] = {}
+        self.step: dict[int, int] = {}
+        self.longest = [-1]
+        self._scan()
+
+    def _scan(self) -> None:
+        """Compiles the vocabulary's strings into a byte table: state and byte to state, the longest label read so far, its next shorter."""
+        for b, i in sorted(self.by_end.items(), key=lambda x: len(x[0])):
+            s = 0
+            for c in b:
+                t = self.step.get(s << 8 | c)
+                if t is None:
+                    t = self.step[s << 8 | c] = len(self.longest)
+                    self.longest.append(self.longest[s])
+                s = t
+            self.shorter[i] = self.longest[s]
+            self.longest[s] = i
 
     def gadget(self, rank: int, u: int, v: int, uv: int) -> None:
         """Applies one merge: the state that u enters loses its v arc to a copy, and uv becomes an arc beside u."""
@@ -94,29 +112,46 @@ class Automaton:
         return known
 
     def encode_word(self, word: bytes) -> list[int]:
-        """Labels of the only accepted path that spells a word."""
-        n = len(word)
+        """Labels of the only accepted path that spells a word.
+
+        A prefix of a word has one accepted path, so a place from which the end could not be reached is never tried twice.
+        """
         whole = self.by_end.get(word)
         if whole is not None:
             return [whole]
-        last, back, arc, table, find, longest = [-1] * (n + 1), [0] * (n + 1), self.arc, self.table, self.by_end.get, self.longest
-        for end in range(1, n + 1):
-            for begin in range(end - longest if end > longest else 0, end):
-                label = find(word[begin:end])
-                if label is not None:
-                    if begin:
-                        known = table.get((last[begin], label))
-                        if not (arc(last[begin], label) if known is None else known):
-                            continue
-                    last[end], back[end] = label, begin
-                    break
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at = back[at]
-        return out[::-1]
-
-    @lru_cache(maxsize=100_000)  # noqa: B019  one automaton lives as long as its worker
+        n, step, longest, shorter, sizes, table, arc = len(word), self.step.get, self.longest, self.shorter, self.sizes, self.table, self.arc
+        out: list[int] = []
+        dead: set[int] = set()
+        at, last, label = 0, -1, None
+        while at < n:
+            if label is None:
+                s = 0
+                for c in word[at:] if at else word:
+                    t = step(s << 8 | c)
+                    if t is None:
+                        break
+                    s = t
+                label = longest[s]
+            while label >= 0:
+                if at + sizes[label] not in dead:
+                    if last < 0:
+                        break
+                    known = table.get((last, label))
+                    if arc(last, label) if known is None else known:
+                        break
+                label = shorter[label]
+            if label >= 0:
+                out.append(label)
+                at += sizes[label]
+                last, label = label, None
+            else:
+                dead.add(at)
+                failed = out.pop()
+                at -= sizes[failed]
+                last, label = out[-1] if out else -1, shorter[failed]
+        return out
+
+    @lru_cache(maxsize=250_000)  # noqa: B019  one automaton lives as long as its worker
     def word(self, word: str) -> tuple[int, ...]:
         """Labels of a pre-split word, kept for words that return with other punctuation around them."""
         return tuple(self.encode_word(word.encode()))
@@ -164,12 +199,14 @@ class Table(dict):
     def __init__(self, automaton: Automaton, prefix: str) -> None:
         super().__init__()
         self.automaton, self.prefix, self.old = automaton, prefix, {}
+        self.decimal = {i: str(i) for i in automaton.labels}.__getitem__
 
     def __missing__(self, part: str) -> tuple[tuple[int, ...], str]:
         got = self.old.get(part)
         if got is None:
-            ids = tuple(chain.from_iterable(map(self.automaton.word, SPLIT.findall(self.prefix + part))))
-            got = (ids, ",".join(map(str, ids)))
+            words = [self.prefix + part] if part.isascii() and part.isalpha() else SPLIT.findall(self.prefix + part)
+            ids = tuple(self.automaton.encode_word(words[0].encode())) if len(words) == 1 else tuple(chain.from_iterable(map(self.automaton.word, words)))
+            got = (ids, ",".join(map(self.decimal, ids)))
         if len(self) >= KEPT:
             self.old = dict(self)
             self.clear()
