@@ -215,6 +215,9 @@ class LibraryEncoder:
         self.lib.no_padding()
         self.width = 2 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        sizes = {i: len(s) for s, i in self.lib.get_vocab(with_added_tokens=False).items()}
+        self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)], dtype=np.int64)
+        self.joins = not any(" " in s for s in self.special)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -225,6 +228,25 @@ class LibraryEncoder:
             packed.byteswap()
         return packed.tobytes()
 
+    def _learn(self, inner: list[str], others: list[str]) -> None:
+        """Encodes new parts. Inner ones start with a space and a non-space, where every split has a boundary: they go to
+        the library as one text, whose ids are cut where the bytes of the parts end. The others go to it one by one."""
+        if inner and self.joins:
+            (whole,) = self.lib.encode_batch_fast(["".join(inner)], add_special_tokens=False)
+            ids = whole.ids
+            ends = np.cumsum(self.sizes[ids])
+            want = np.cumsum([len(p.encode()) for p in inner])
+            cuts = np.searchsorted(ends, want)
+            if ends[-1] == want[-1] and np.array_equal(ends[cuts], want):
+                packed, at = self.pack(ids), 0
+                for p, cut in zip(inner, ((cuts + 1) * self.width).tolist(), strict=True):
+                    self.young[p] = packed[at:cut]
+                    at = cut
+                inner = []
+        others = others + inner
+        for p, e in zip(others, self.lib.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.young[p] = self.pack(e.ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of whole texts."""
         split: list[list[str]] = []
@@ -245,8 +267,8 @@ class LibraryEncoder:
                 missing.append(p)
             else:
                 self.young[p] = known
-        for p, e in zip(missing, self.lib.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.young[p] = self.pack(e.ids)
+        inner = [p[:1] == " " and p[1:2].strip() != "" for p in missing]
+        self._learn([p for p, i in zip(missing, inner, strict=True) if i], [p for p, i in zip(missing, inner, strict=True) if not i])
         return [b"".join(map(self.young.__getitem__, s)) for s in split]
 
 
