@@ -26,6 +26,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -35,8 +36,10 @@ from pyspark.sql import DataFrame
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A place where every split has a boundary: before a space that a non-space follows.
 _PART = re.compile(r" (?=\S)")
+#: Ids and decimal string of an encoded part.
+_IDS, _DECIMAL = itemgetter(0), itemgetter(1)
 #: Parts kept in each of the two generations of a worker's table.
-KEPT = 150_000
+KEPT = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -274,7 +277,7 @@ def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: tu
     """Encodes and decodes each whole text: keep, n_tokens, ids_sha256, decoded_sha256. No shuffle."""
 
     def decoded(e: Encoder, parts: list, text: str) -> str:
-        emitted = b"".join(map(e.automaton.labels.__getitem__, chain.from_iterable(p[0] for p in parts)))
+        emitted = b"".join(map(e.automaton.labels.__getitem__, chain.from_iterable(map(_IDS, parts))))
         try:
             emitted.decode("utf-8")
         except UnicodeDecodeError:
@@ -282,8 +285,8 @@ def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: tu
         return hashlib.sha256(emitted).hexdigest()
 
     return _map(docs, tokenizer, text_col, [
-        ("n_tokens", "bigint", pa.int64(), lambda e, parts, text: sum(len(p[0]) for p in parts)),
-        ("ids_sha256", "string", pa.string(), lambda e, parts, text: hashlib.sha256(",".join([p[1] for p in parts if p[1]]).encode()).hexdigest()),
+        ("n_tokens", "bigint", pa.int64(), lambda e, parts, text: sum(map(len, map(_IDS, parts)))),
+        ("ids_sha256", "string", pa.string(), lambda e, parts, text: hashlib.sha256(",".join(filter(None, map(_DECIMAL, parts))).encode()).hexdigest()),
         ("decoded_sha256", "string", pa.string(), decoded),
     ], keep)
 
