@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from sitelens.functions import colour as C
 from sitelens.functions import text as T
 from sitelens.functions import url as U
+from sitelens.operators import crawl as K
+from sitelens.operators import faces as A
 
 
 def one(spark, column):
@@ -45,3 +47,26 @@ def test_text(spark):
     assert one(spark, T.stem(F.lit("class"))) == "class"
     assert one(spark, T.term_count(F.lit("Powerful and powerful, up to now"), T.LEXICONS["power"])) == 4
     assert one(spark, T.html_to_text(F.lit("<nav>x</nav><p>a &amp;  b</p><script>c</script>"))) == "a & b"
+
+
+@pytest.mark.parametrize("raw, value, url", [("  the website for   linear ", "linear", False), ("linear official site", "linear", False), ("@vercel", "vercel", False), ("GOV.UK", "GOV.UK", False), ("gov.uk", "gov.uk", True), ("www.x.y/z", "www.x.y/z", True), ("site", "site", False), ("@a/b", "@a/b", False)])
+def test_inputs(spark, raw, value, url):
+    assert one(spark, K.clean_input(F.lit(raw))) == value
+    assert one(spark, K.looks_like_url(F.lit(value))) is url
+
+
+def test_outcomes(spark):
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = K.outcomes(t([(i,) for i in range(4)], "u long"), t([(0,), (0,)], "u long"), t([(1, "empty_content"), (2, "timeout")], "u long, code string"), "u")
+    assert sorted(map(tuple, got.collect())) == [(0, True, True, None), (1, False, True, None), (2, False, False, "timeout"), (3, False, False, "not returned")]
+
+
+@pytest.mark.parametrize("family, kind", [("PlayfairDisplay", "serif"), ("Space Grotesk", "sans"), ("JetBrains Mono", "mono"), ("Acme Tight", "display"), ("Acme", "sans")])
+def test_family_kind(spark, family, kind):
+    assert one(spark, A.kind(F.lit(family))) == kind
+    assert one(spark, A.weight(F.lit(" Semibold "))) == "600" and one(spark, A.weight(F.lit("100 900"))) == "100 900"
+
+
+def test_attributes(spark):
+    got = one(spark, K.attributes(F.lit("<a HREF=\"x\" b = 'y z' c=1>")))
+    assert [tuple(a) for a in got] == [("href", "x"), ("b", "y z"), ("c", "1")]
