@@ -34,6 +34,15 @@ def test_bpe_equals_library():
         assert mine.automaton.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_joined_parts_equal_library():
+    lib = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    mine = token_sstable.LibraryEncoder(queries.tokenizer_path())
+    rng = random.Random(5)
+    texts = [t or "" for t in TEXTS] + ["  a  b ", "a\n\n  b  c\u3000d", " \x1c x", "".join(rng.choice("ab thé 1\n <|") for _ in range(3000))]
+    texts += ["".join(rng.choice("aabtheing \n1é<|\x85") for _ in range(60)) for _ in range(300)]
+    assert mine.encode(texts) == [mine.pack(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_html():
     page = "<html><head><title>x</title></head><body><nav><a href=/>Home</a></nav><div class='ad'>Buy the things that you want from us today and tomorrow at the shop.</div><article><h1>A  title &amp; more</h1><p><b>First.<br><p>Tom &lt; Jerry<aside>no</aside><div class='comments'>nice post</div></article><form>f</form><footer>&copy;</footer>"
     assert html_extract.main_text(page) == "A title & more\nFirst.\nTom < Jerry"
