@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import crawl, faces, palette, profile, sheets
-from .plans import crawl_oracles, face_oracles, oracles, sheet_oracles
+from .operators import crawl, faces, palette, profile, sheets, voice
+from .plans import crawl_oracles, face_oracles, oracles, sheet_oracles, voice_oracles
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**profile.QUERIES, **palette.QUERIES, **sheets.QUERIES, **crawl.QUERIES, **faces.QUERIES}
-ORACLES: dict[str, str] = {**oracles.ORACLES, **sheet_oracles.ORACLES, **crawl_oracles.ORACLES, **face_oracles.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**profile.QUERIES, **palette.QUERIES, **sheets.QUERIES, **crawl.QUERIES, **faces.QUERIES, **voice.QUERIES}
+ORACLES: dict[str, str] = {**oracles.ORACLES, **sheet_oracles.ORACLES, **crawl_oracles.ORACLES, **face_oracles.ORACLES, **voice_oracles.ORACLES}
