@@ -2,10 +2,10 @@
 
 Each word (and the end of a text) is drawn in the restaurant of the word before it; a new table there orders its dish
 from the parent restaurant, which all contexts share, and a new table of the parent from a uniform base over the
-training vocabulary and one unknown word. Seating is sampled by Gibbs: customers of a dish leave their table and sit
-again with the Pitman-Yor probabilities, in all dishes of a worker at once; dishes with more than EACH customers are
-reseated in blocks of geometrically growing size by binomial draws. The predictive probability is averaged over the
-samples after burn-in; with discount d, strength s, counts c, tables t and the means over samples of t,
+training vocabulary and one unknown word. Seating is sampled by blocked Gibbs: given a gamma variable for each
+restaurant its dishes are independent, and each sweep draws every dish's number of tables, with all its customers, from
+its exact conditional (generalised Stirling weights). The predictive probability is averaged over the samples after
+burn-in; with discount d, strength s, counts c, tables t and the means over samples of t,
     p(w | u) = (c_uw - d t_uw + (s + d t_u) p(w)) / (s + c_u),  p(w) = (t_w - d r_w + (s + d r) / (V + 1)) / (s + t).
 A document's score is the sum of log10 p over its words and its end; perplexity is 10 ** (-score / n_tokens).
 
@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import written
 from .words import mix, word_hashes
 
-BLOCK_ROWS, EACH, BURN_IN, SAMPLES, MOVES, STRENGTH = 2048, 64, 2, 3, 4, 1.0
+BLOCK_ROWS, BURN_IN, SAMPLES, STRENGTH = 2048, 2, 3, 1.0
+#: Rounds of the estimate that seating starts from; numbers in a matrix of table weights.
+START, CELLS = 10, 1 << 20
 #: Shards for each shuffle partition: a worker holds the pairs of one shard at a time.
 SHARDS_A_PARTITION = 4
 _END, _BEGIN = np.uint64(0x5EED_0001_E4D0_0001), np.uint64(0x5EED_0002_B361_0002)
@@ -122,6 +124,33 @@ def _pairs(tokens: np.ndarray, first: np.ndarray, hot: np.ndarray, shards: int)
 # --- seating -------------------------------------------------------------------------------------------------------
 
 
+def _reach(count: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Tables that a dish has no more of but with negligible probability: they are at most one more than a Poisson draw of mean ``fresh``."""
+    return np.minimum(count, np.ceil(1 + fresh + 10 * np.sqrt(fresh) + 30)).astype(np.int64)
+
+
+def _stirling(counts: np.ndarray, widths: np.ndarray, d: float) -> list[np.ndarray]:
+    """log S(c, t) / S(c, 1) for t = 1 to width, for each of the increasing counts; S are the generalised Stirling numbers of discount d.
+
+    S(c + 1, t) = S(c, t - 1) + (c - d t) S(c, t), kept as ratios of neighbours in t, so that nothing over- or underflows.
+    """
+    need = np.maximum.accumulate(widths[::-1])[::-1]
+    ratio = np.zeros(max(int(need[0]) - 1, 0))  # S(c, t) / S(c, t - 1) for t from 2
+    dt = d * np.arange(2, len(ratio) + 2)
+    out, c = [], 1
+    for target, wide, width in zip(counts.tolist(), need.tolist(), widths.tolist(), strict=True):
+        ratio, dt = ratio[: wide - 1].copy(), dt[: wide - 1]
+        while c < target:
+            m = min(c, len(ratio))  # later ratios are still 0
+            if m:
+                q = 1 + (c - dt[:m]) * ratio[:m]
+                ratio[1:m] = ratio[: m - 1] * q[1:] / q[:-1]
+                ratio[0] = q[0] / (c - d)
+            c += 1
+        out.append(np.concatenate([[0.0], np.cumsum(np.log(ratio[: width - 1]))]))
+    return out
+
+
 def seat(room: np.ndarray, count: np.ndarray, parent: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
     """Mean tables of each dish over the samples, and the discount. room: restaurant of each dish; count: its customers, 1 at least."""
     n = len(count)
@@ -130,52 +159,40 @@ def seat(room: np.ndarray, count: np.ndarray, parent: np.ndarray, rng: np.random
     one, two = int((count == 1).sum()), int((count == 2).sum())
     d = float(np.clip(one / (one + 2 * two), 0.3, 0.95)) if one + two else 0.75
     rooms = int(room.max()) + 1
-    tables = np.ones(n)
-    total = np.bincount(room, minlength=rooms).astype(float)
     by_size = np.argsort(count, kind="stable")
-    groups = []
-    bounds = np.searchsorted(count[by_size], np.arange(2, EACH + 2))
-    for c, lo, hi in zip(range(2, EACH + 1), bounds[:-1], bounds[1:], strict=True):
-        for a in range(lo, hi, 50_000):
-            own = by_size[a : min(hi, a + 50_000)]
-            sizes = np.zeros((len(own), c), dtype=np.int16)
-            sizes[:, 0] = c  # a valid seating to begin with: one table
-            groups.append((c, own, sizes))
-    large = by_size[bounds[-1] :]
-    mean = np.zeros(n)
-    for sweep in range(BURN_IN + SAMPLES):
-        for c, own, sizes in groups:
-            r, p, rows = room[own], parent[own], np.arange(len(own))
-            for _ in range(min(c, MOVES)):
-                left = (np.cumsum(sizes, axis=1) <= (rng.random(len(own)) * c)[:, None]).sum(axis=1)
-                sizes[rows, left] -= 1
-                gone = sizes[rows, left] == 0
-                here = tables[own] - gone
-                rest = total[r] - gone
-                fresh = (STRENGTH + d * rest) * p
-                old = c - 1 - d * here
-                pick = rng.random(len(own)) * (fresh + old) - fresh
-                weights = np.where(sizes > 0, sizes - d, 0.0)
-                at = np.minimum((np.cumsum(weights, axis=1) <= pick[:, None]).sum(axis=1), c - 1)
-                at = np.where(pick < 0, (sizes == 0).argmax(axis=1), at)
-                at = np.where((pick >= 0) & (sizes[rows, at] == 0), sizes.argmax(axis=1), at)
-                new = sizes[rows, at] == 0
-                sizes[rows, at] += 1
-                tables[own] = here + new
-                total += np.bincount(r, weights=new.astype(float) - gone, minlength=rooms)
-        if len(large):
-            c, r, p = count[large].astype(float), room[large], parent[large]
-            rest = total[r] - tables[large]
-            k, t = np.ones(len(large)), np.ones(len(large))
-            while (k < c).any():
-                m = np.minimum(np.maximum(1, np.floor(k / 4)), c - k)
-                fresh = (STRENGTH + d * (rest + t)) * p
-                t += rng.binomial(m.astype(np.int64), np.clip(fresh / (fresh + k - d * t), 0, 1))
-                k += m
-            total += np.bincount(r, weights=t - tables[large], minlength=rooms)
-            tables[large] = t
+    by_size = by_size[np.searchsorted(count[by_size], 2) :]  # one customer has one table
+    c, r, p = count[by_size], room[by_size], parent[by_size]
+    sizes, first = np.unique(c, return_index=True)
+    edges = np.append(first, len(c))
+    alone = np.bincount(room, minlength=rooms) - np.bincount(r, minlength=rooms)
+    t = c.astype(float) ** d  # near the tables to come, so that little has to be burnt in
+    for _ in range(START):
+        total = alone + np.bincount(r, weights=t, minlength=rooms)
+        t = np.minimum(c, 1 + np.minimum((total + STRENGTH / d)[r] * p, t))
+    rows: list[np.ndarray] = []
+    widths = np.zeros(len(sizes), dtype=np.int64)
+    mean = np.ones(n)
+    mean[by_size] = 0
+    for sweep in range((BURN_IN + SAMPLES) if len(c) else 0):
+        total = alone + np.bincount(r, weights=t, minlength=rooms)
+        # a gamma variable of each room makes its dishes independent: P(t) ~ S(c, t) (d u p) ** t
+        fresh = rng.gamma(total + STRENGTH / d)[r] * p
+        reach = np.maximum.reduceat(_reach(c, fresh), first)
+        if (reach > widths).any():
+            widths = np.maximum(widths, np.minimum(sizes, reach + reach // 2))
+            rows = _stirling(sizes, widths, d)
+        scale = np.log(np.maximum(d * fresh, 1e-300))
+        chance = rng.random(len(c))
+        t = np.empty(len(c))
+        for row, wide, lo, hi in zip(rows, reach.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            steps = np.arange(wide)
+            for a in range(lo, hi, max(1, CELLS // wide)):
+                b = min(hi, a + max(1, CELLS // wide))
+                weights = row[:wide] + scale[a:b, None] * steps
+                weights = np.cumsum(np.exp(weights - weights.max(axis=1, keepdims=True)), axis=1)
+                t[a:b] = 1 + (weights[:, :-1] <= (chance[a:b] * weights[:, -1])[:, None]).sum(axis=1)
         if sweep >= BURN_IN:
-            mean += tables / SAMPLES
+            mean[by_size] += t / SAMPLES
     return mean, d
 
 
