@@ -2,8 +2,9 @@
 
 Words are runs of ASCII letters, digits and non-ASCII bytes. A run of numbers becomes the slot <number>, a unit after a
 number <unit>, a run of capitalised words inside a sentence <name>; other words are lower-cased. Windows of WINDOW
-template words of documents and items are joined by hash. A pair counts if the matching windows of the item cover at
-least COVER of its template words and its slots are consistent: along the matched alignment one item value of a slot
+template words of documents and items are joined by hash; windows with fewer than MIN_PLAIN plain words are hashed by
+their slots' own values instead, so they match verbatim. A pair counts if the matching windows of the item cover at
+least COVER of its template words, or RUN of them in a row, and its slots are consistent: along the matched alignment one item value of a slot
 type always stands for one document value and the other way round. So a question that was given other numbers or names
 is found, and a chance likeness with clashing slots is not.
 
@@ -11,7 +12,7 @@ Scale: the benchmark's template index is sent to the executors only while its te
 size that is measured first; beyond it the windows of both sides meet in a shuffled hash join, candidates are verified
 in the same way. Documents are read once, whole, and nothing is collected.
 Defined results: null and empty texts match nothing; items with fewer than WINDOW template words match by a window of
-their own length if MIN_PLAIN of them are plain words; windows with fewer plain words are ignored on both sides.
+their own length, those of fewer than MIN_PLAIN only if all are plain words.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .words import chunks, hashes, mix, spans
 
-WINDOW, MIN_PLAIN, COVER, SMALL_BYTES = 8, 4, 0.5, 8 << 20
+WINDOW, MIN_PLAIN, COVER, RUN, SMALL_BYTES = 8, 4, 0.5, 13, 8 << 20
 #: Units of measure.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t gram grams kilogram kilograms kilometre kilometres kilometer kilometers metre metres meter meters ton tons tonne tonnes oz ounce ounces lb lbs pound pounds "
@@ -40,6 +41,7 @@ _GAP[0x80:] = False
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?:;\n\"|"]] = True
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0xA5A5_0001, 0xA5A5_0002, 0xA5A5_0003))
+_VERBATIM = np.uint64(0xA5A5_0004_7C15_9E37)
 _FACTORS = np.array([pow(0xD1342543DE82EF95, k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
 
 
@@ -53,11 +55,11 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
-def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template words of a chunk: hashes, whether each is a slot, starts, ends, first of each document."""
+def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template words of a chunk: hashes, whether each is a slot, starts, ends, first of each document, hashes of the values."""
     starts, ends, first = spans(data, offsets, _GAP)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, bool), starts, ends, first
+        return np.zeros(0, np.uint64), np.zeros(0, bool), starts, ends, first, np.zeros(0, np.uint64)
     h = hashes(data, starts, ends)
     head = data[starts]
     second = data[np.minimum(starts + 1, len(data) - 1)]
@@ -76,14 +78,18 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     name &= ~unit
     kind = number * 1 + name * 2 + unit * 3
     again = np.concatenate([[False], (kind[1:] == kind[:-1]) & ((kind[1:] == 1) | (kind[1:] == 2))]) & ~opening_doc
+    value = h
     h = np.where(number, _NUMBER, np.where(name, _NAME, np.where(unit, _UNIT, h)))
     keep = np.flatnonzero(~again)
     last = np.concatenate([keep[1:], [len(starts)]]) - 1
-    return h[keep], kind[keep] > 0, starts[keep], ends[last], np.searchsorted(keep, first, side="left")
+    # a slot's words in their order
+    place = np.arange(len(value)) - np.repeat(keep, last - keep + 1)
+    value = np.add.reduceat(value * _FACTORS[place % len(_FACTORS)], keep)
+    return h[keep], kind[keep] > 0, starts[keep], ends[last], np.searchsorted(keep, first, side="left"), value
 
 
-def windows(h: np.ndarray, slot: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the n-word windows within one document that hold enough plain words."""
+def windows(h: np.ndarray, slot: np.ndarray, first: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the n-word windows within one document; by values where a window holds few plain words."""
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -92,8 +98,14 @@ def windows(h: np.ndarray, slot: np.ndarray, first: np.ndarray, n: int) -> tuple
         total += h[k : k + m] * _FACTORS[k]
     plain = np.concatenate([[0], np.cumsum(~slot)])
     doc = np.searchsorted(first, np.arange(len(h)), side="right")
-    ok = (doc[:m] == doc[n - 1 : n - 1 + m]) & (plain[n : n + m] - plain[:m] >= min(MIN_PLAIN, n))
-    at = np.flatnonzero(ok)
+    within = doc[:m] == doc[n - 1 : n - 1 + m]
+    few = np.flatnonzero(within & (plain[n : n + m] - plain[:m] < min(MIN_PLAIN, n)))
+    total[few] = _VERBATIM
+    for k in range(n):
+        total[few] += value[few + k] * _FACTORS[k]
+    if n < MIN_PLAIN:  # one to three words, a slot among them: any text may hold them by chance
+        within[few] = False
+    at = np.flatnonzero(within)
     return at, mix(total[at] + np.uint64(n))
 
 
@@ -105,11 +117,11 @@ class Index:
         found: list[tuple[int, int, int, int]] = []
         for k, text in enumerate(texts):
             data = np.frombuffer((text or "").encode(), dtype=np.uint8)
-            h, slot, starts, ends, first = templates(data, np.array([0, len(data)]))
+            h, slot, starts, ends, first, value = templates(data, np.array([0, len(data)]))
             n = min(WINDOW, len(h))
             self.items.append((len(h), n, slot, [bytes(data[a:b]).lower() for a, b in zip(starts, ends, strict=True)], h))
             if n:
-                found += [(int(w), k, int(p), n) for p, w in zip(*windows(h, slot, np.array([0, len(h)]), n), strict=True)]
+                found += [(int(w), k, int(p), n) for p, w in zip(*windows(h, slot, np.array([0, len(h)]), value, n), strict=True)]
         found.sort()
         self.keys = np.array([f[0] for f in found], dtype=np.uint64)
         self.places = found
@@ -119,10 +131,10 @@ class Index:
         """Yields (document, item, covered words, words of the item, slots, whether all slots are equal) of a chunk."""
         if not len(self.keys):
             return
-        h, slot, starts, ends, first = templates(data, offsets)
+        h, slot, starts, ends, first, value = templates(data, offsets)
         hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for n in self.lengths:
-            at, w = windows(h, slot, first, n)
+            at, w = windows(h, slot, first, value, n)
             lo = np.searchsorted(self.keys, w, side="left")
             hi = np.searchsorted(self.keys, w, side="right")
             for i in np.flatnonzero(hi > lo):
@@ -136,17 +148,34 @@ class Index:
             for at, p in places:
                 runs[at - p].update(range(p, p + n))
             best = (0, 0, True)
+            long = (0, 0, True)  # the best of the copied passages
             # alignments that differ by few words are one edited copy; each chain of them is judged as a whole
             chain: list[int] = []
             for shift in [*sorted(runs), None]:
                 if chain and (shift is None or shift - chain[-1] > size):
                     best = max(best, self._judge(chain, runs, islot, values, data, starts, ends))
+                    for s in chain:
+                        for passage in self._passages(runs[s]):
+                            long = max(long, self._judge([s], {s: passage}, islot, values, data, starts, ends))
                     chain = []
                 if shift is not None:
                     chain.append(shift)
-            if best[0] >= COVER * size:
+            if best[0] < COVER * size:
+                best = long
+            if best[0] >= min(COVER * size, RUN):
                 yield doc, item, best[0], size, best[1], best[2]
 
+    @staticmethod
+    def _passages(covered: set[int]) -> Iterator[set[int]]:
+        """The runs of at least RUN words in a row."""
+        places = sorted(covered)
+        begin = 0
+        for k in range(1, len(places) + 1):
+            if k == len(places) or places[k] != places[k - 1] + 1:
+                if k - begin >= RUN:
+                    yield set(places[begin:k])
+                begin = k
+
     @staticmethod
     def _judge(chain: list[int], runs: dict[int, set[int]], islot: np.ndarray, values: list[bytes], data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, bool]:
         covered, slots, equal = set(), 0, True
@@ -217,10 +246,10 @@ def _windows(df: DataFrame, id_col: str, text_col: str, lengths: list[int] | Non
         for b in batches:
             ids = b.column(id_col)
             for lo, hi, data, offsets in chunks(b.column(text_col)):
-                h, slot, _, _, first = templates(data, offsets)
+                h, slot, _, _, first, value = templates(data, offsets)
                 sizes = np.diff(first)
                 for n in lengths or sorted({WINDOW, *(int(x) for x in sizes if 0 < x < WINDOW)}):
-                    at, w = windows(h, slot, first, n)
+                    at, w = windows(h, slot, first, value, n)
                     doc = np.searchsorted(first, at, side="right") - 1
                     keep = np.ones(len(at), bool) if lengths else sizes[doc] >= WINDOW if n == WINDOW else sizes[doc] == n
                     yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(doc[keep])), pa.array(w[keep].view(np.int64)), pa.array(np.full(int(keep.sum()), n))], [id_col, "w", "n"])
