@@ -6,22 +6,28 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; texts are long, so the batches are kept short.
-ARROW_ROWS = "1000"
+ARROW_ROWS, ARROW_BYTES = "1000", str(32 << 20)
+#: Bits of a membership filter: 8 MB.
+FILTER_BITS = 1 << 26
 _own: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Reads a table of the input folder."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. A local session, as in tests, may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="sitelens-"))
         folder = _own[0]
@@ -38,4 +44,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes written tables that no result reads any more."""
+    for t in tables:
+        path = getattr(t, "_written_at", None)
+        if path:
+            jvm = t.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """df with the boolean _maybe: false only where the bigint column key equals no id of ids (one column, ``id``).
+
+    The identifiers' hashes set bits of a map of FILTER_BITS bits, cut into rows of 4 kB, so at most FILTER_BITS / 8 bytes
+    are broadcast however many there are; beyond a few per FILTER_BITS more rows are marked than need be, none is missed.
+    """
+    place = F.pmod(F.xxhash64(F.col("id"), F.lit(41)), F.lit(FILTER_BITS))
+    bits = ids.select(place.alias("_p")).groupBy(F.shiftright("_p", 15).alias("_bits_row")).agg(F.bitmap_construct_agg(F.col("_p").bitwiseAND(F.lit(32767))).alias("_bits"))
+    own = F.pmod(F.xxhash64(F.col(key), F.lit(41)), F.lit(FILTER_BITS))
+    at = own.bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bits_byte AS int) + 1, 1)")), 16, 10).cast("int")
+    marked = df.withColumn("_bits_row", F.shiftright(own, 15)).withColumn("_bits_byte", F.shiftright(at, 3)).withColumn("_bits_bit", at.bitwiseAND(F.lit(7)).cast("int"))
+    marked = marked.join(F.broadcast(bits), "_bits_row", "left")  # FILTER_BITS / 8 bytes at most
+    bit = F.coalesce(byte, F.lit(0)).bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("_bits_bit")))
+    return marked.withColumn("_maybe", bit != 0).select(*df.columns, "_maybe")
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose bigint column key is null or equals no id of ids. Only rows that may equal one are exchanged."""
+    marked = maybe_in(df, key, ids)
+    open_ = marked.filter("_maybe").drop("_maybe").join(ids.select(F.col("id").alias("_gone")), F.col(key) == F.col("_gone"), "left_anti")
+    return marked.filter("NOT _maybe").drop("_maybe").unionByName(open_)

@@ -17,8 +17,9 @@ that joins two components is lost.
 
 Components: union-find in one executor task while there are at most ONE_TASK links, a count that is taken first; beyond
 that alternating large-star and small-star steps on written tables.
-Scale: what is exchanged is band hashes (BANDS longs a class) and, for tested pairs alone, shingle sets; hot classes are
-pre-aggregated; nothing is collected. Defined results: documents without words are linked with nothing; a text with
+Scale: what is exchanged is band hashes (BANDS longs a class) and, for tested pairs alone, shingle sets. Sets are built
+once, by the scan, for documents that share a cell (a filter of bounded size finds them there), so no text is exchanged;
+hot classes are pre-aggregated; nothing is collected. Defined results: documents without words are linked with nothing; a text with
 fewer words than a shingle is its whole sequence; identifiers are taken as unique, a null identifier links to nothing.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, maybe_in, written
 from .words import mix, word_hashes
 
 BINS, BANDS, STARS = 128, 32, 2
@@ -107,7 +108,7 @@ def sketch_table(docs: DataFrame, width: int, id_col: str, text_col: str) -> Dat
 
 
 def _set_table(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, set) of the wanted identifiers."""
+    """(id, set) of the wanted identifiers, and of few others. Texts are read where they are scanned; none is exchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,22 +117,22 @@ def _set_table(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), lists], ["id", "set"])
 
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return own.join(wanted, "id", "left_semi").mapInArrow(run, "id bigint, set array<bigint>")
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    return maybe_in(own, "id", wanted).filter("_maybe").select("id", "text").mapInArrow(run, "id bigint, set array<bigint>")
 
 
-def _short_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, 16-bit fingerprints of the set) of the wanted identifiers."""
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """16-bit fingerprints of sets."""
+    for b in batches:
+        lists = b.column("set")
+        at, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        short = (values & np.uint64(0xFFFF)).astype(np.uint16)
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([short[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "short"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi, words, first in word_hashes(b.column("text")):
-                sets, at = shingle_sets(words, first, width)
-                short = (sets & np.uint64(0xFFFF)).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pa.array([short[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "short"])
 
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return own.join(wanted, "id", "left_semi").mapInArrow(run, "id bigint, short binary")
+def _held(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """Sets of the identifiers and of few others, so that only these are exchanged."""
+    return maybe_in(sets, "id", ids).filter("_maybe").select("id", "set")
 
 
 def _possible(percent: int):
@@ -172,7 +173,7 @@ def _possible(percent: int):
     return run
 
 
-def _across(here: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _across(here: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs across components in a cell that can reach the similarity."""
     sizes = here.groupBy("cell").agg(F.count("*").alias("m"))
     sized = here.join(sizes, "cell")
@@ -180,7 +181,7 @@ def _across(here: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
     other = small.select("cell", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("root").alias("hroot"))
     few = small.join(other, "cell").filter("rep < hub AND root <> hroot").select("rep", "n", "hub", "hn")
     large = sized.filter(F.col("m") > FEW)
-    short = _short_sets(docs, large.select(F.col("rep").alias("id")).distinct(), width, id_col, text_col)
+    short = _held(sets, large.select(F.col("rep").alias("id"))).mapInArrow(_short, "id bigint, short binary")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = large.join(short.withColumnRenamed("id", "rep"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     side = F.when(F.col("own") == F.col("with"), 1).when(F.col("own") < F.col("with"), 0).otherwise(2)
@@ -233,41 +234,67 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "d
     cells = base.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "n", F.posexplode("bands").alias("band", "h")).select("rep", "n", F.xxhash64("band", "h").alias("cell"))
     shared = cells.groupBy("cell").agg(F.count("*").alias("m")).filter("m > 1").select("cell")
     members = written(cells.join(shared, "cell"), "members")
+    sets = written(_set_table(docs, members.select(F.col("rep").alias("id")), width, id_col, text_col), "sets")
     links, tested, comp = None, None, None
+    spent = [members, sets]
     for star in range(STARS + 1):
         if comp is None:
+            if 0 < star < STARS:
+                continue  # the hubs would be the same again
             here = members.withColumn("root", F.col("rep"))
         else:
             known = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
             open_ = known.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("cell")
             here = written(known.join(open_, "cell"), "open")
-        if star < STARS:
-            salt = F.xxhash64("rep") if comp is None else F.xxhash64("cell", "rep")
-            roots = here.groupBy("cell", "root").agg(F.count("*").alias("c"), F.max(F.struct(salt.alias("p"), F.col("rep").alias("hub"), F.col("n").alias("hn"))).alias("h")) if comp is not None else here.select("cell", "root", F.lit(1).alias("c"), F.struct(salt.alias("p"), F.col("rep").alias("hub"), F.col("n").alias("hn")).alias("h"))
-            top = roots.groupBy("cell").agg(F.max(F.struct("c", "h", F.col("root").alias("hroot"))).alias("t")).select("cell", "t.h.hub", "t.h.hn", "t.hroot")
-            pairs = here.join(top, "cell").filter("rep <> hub AND root <> hroot").select("rep", "n", "hub", "hn")
-        else:
-            pairs = _across(here, docs, width, percent, id_col, text_col)
+            spent.append(here)
+        pairs = _hubs(here, comp is None) if star < STARS else _across(here, sets, percent)
         # sizes alone rule out a pair whose smaller set is under percent of the larger
-        pairs = pairs.filter(F.lit(100) * F.least("n", "hn") >= F.lit(percent) * F.greatest("n", "hn")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), F.when(F.col("rep") < F.col("hub"), F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(F.col("rep") < F.col("hub"), F.col("hn")).otherwise(F.col("n")).alias("nb")).distinct()
+        pairs = pairs.filter(F.lit(100) * F.least("n", "hn") >= F.lit(percent) * F.greatest("n", "hn"))
+        first = F.col("rep") < F.col("hub")
+        pairs = pairs.select(
+            F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"),
+            F.when(first, F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(first, F.col("hn")).otherwise(F.col("n")).alias("nb"),
+        ).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        spent.append(pairs)
         if pairs.isEmpty():
-            if comp is None:
-                break
             continue
         done = pairs.select("a", "b")
         tested = done if tested is None else tested.unionByName(done)
-        sets = written(_set_table(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), width, id_col, text_col), "sets")
-        checked = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        good = written(checked.filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links")
+        good = written(_verified(pairs, sets, percent), "links")
+        spent.append(good)
         links = good if links is None else links.unionByName(good)
-        comp = written(components(links), "components")
+        old, comp = comp, written(components(links), "components")
+        discard(old)
+    discard(*spent)
     docs_ = base.select("id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left")
     if comp is not None:
         docs_ = docs_.join(comp.select(F.col("node").alias("rep"), "root"), "rep", "left")
     else:
         docs_ = docs_.withColumn("root", F.lit(None).cast("bigint"))
     component = F.when(F.col("id").isNull() | (F.col("n") == 0), F.col("id")).otherwise(F.coalesce("root", "rep", "id"))
-    return docs_.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))
+    return docs_.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", kept)
+
+
+def _hubs(here: DataFrame, fresh: bool) -> DataFrame:
+    """Pairs of each cell's hub with its members of other components; the hub stands in the component with most members there."""
+    salt = F.xxhash64("rep") if fresh else F.xxhash64("cell", "rep")
+    hub = F.struct(salt.alias("p"), F.col("rep").alias("hub"), F.col("n").alias("hn"))
+    if fresh:
+        roots = here.select("cell", "root", F.lit(1).alias("c"), hub.alias("h"))
+    else:
+        roots = here.groupBy("cell", "root").agg(F.count("*").alias("c"), F.max(hub).alias("h"))
+    top = roots.groupBy("cell").agg(F.max(F.struct("c", "h", F.col("root").alias("hroot"))).alias("t")).select("cell", "t.h.hub", "t.h.hn", "t.hroot")
+    return here.join(top, "cell").filter("rep <> hub AND root <> hroot").select("rep", "n", "hub", "hn")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the similarity."""
+    one = _held(sets, pairs.select(F.col("a").alias("id"))).select(F.col("id").alias("a"), F.col("set").alias("sa"))
+    two = _held(sets, pairs.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    checked = pairs.join(one, "a").join(two, "b").withColumn("both", both)
+    return checked.filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
