@@ -6,17 +6,18 @@ and first token of each block), a Bloom filter over the keys and a fixed-length
 asks the filter, finds the block by binary search in the index and scans that block alone.
 
 Keys: one byte 0 for null, or 1 and the identifier as an order-preserving 8-byte integer; repeated keys are kept, in
-order of their texts. Values are little-endian ids, two bytes each where the vocabulary allows it, else four. Blocks
+order of their texts' hashes. Values are little-endian ids, two bytes each where the vocabulary allows it, else four. Blocks
 carry a CRC. Shards are written under a task's own name and then renamed, so a repeated task replaces equal bytes.
 
-Scale: one range exchange by key; a task streams its sorted rows and holds one block, the index and the filter.
+Scale: one range exchange by key; a task streams its sorted rows and holds one block, the index and 8 bytes a key for the
+filter. Repeated identifiers (null among them) may fill several shards: rows are dealt by (key, hash of the text).
 Defined results: null and empty texts have only the end id; an empty table makes no shard and returns no rows.
 """
 
 from __future__ import annotations
 
 import bisect
-import re
+import os
 import struct
 import sys
 import zlib
@@ -32,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .parts import Parts
+
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 10, 7
 MAGIC = b"SSTTOK01"
 #: index offset, bloom offset, footer offset, entries, tokens, id width, magic
 FOOTER = struct.Struct("<QQQQQI8s")
-KEPT = 250_000
-_PART = re.compile(r" (?=\S)")
 
 
 def key_of(value: int | None) -> bytes:
@@ -70,15 +71,17 @@ def _read_varint(b: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def bloom(keys: list[bytes]) -> bytes:
-    """A filter of about BLOOM_BITS bits a key."""
-    m = max(64, len(keys) * BLOOM_BITS + 7 & ~7)
-    bits = np.zeros(m, dtype=np.uint8)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), dtype=np.uint64, count=len(keys))
-    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    for i in range(BLOOM_HASHES):
-        bits[((a + np.uint64(i) * b) % np.uint64(m)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+def bloom(hashes: array) -> bytes:
+    """A filter of about BLOOM_BITS bits a key, from the keys' 64-bit hashes."""
+    m = max(64, len(hashes) * BLOOM_BITS + 7 & ~7)
+    bits = np.zeros(m >> 3, dtype=np.uint8)
+    h = np.frombuffer(hashes, dtype=np.uint64)
+    for lo in range(0, len(h), 1 << 16):
+        a, b = h[lo : lo + (1 << 16)] & np.uint64(0xFFFFFFFF), (h[lo : lo + (1 << 16)] >> np.uint64(32)) | np.uint64(1)
+        for i in range(BLOOM_HASHES):
+            p = (a + np.uint64(i) * b) % np.uint64(m)
+            np.bitwise_or.at(bits, (p >> np.uint64(3)).astype(np.int64), np.uint8(0x80) >> (p & np.uint64(7)).astype(np.uint8))
+    return bits.tobytes()
 
 
 def in_bloom(bits: bytes, key: bytes) -> bool:
@@ -95,7 +98,8 @@ class ShardWriter:
         self.out, self.width, self.offset = out, width, 0
         self.block, self.last, self.first = bytearray(), b"", b""
         self.index: list[bytes] = []
-        self.keys: list[bytes] = []
+        self.hashes = array("Q")
+        self.previous: bytes | None = None
         self.entries = self.tokens = self.block_token = 0
 
     def add(self, key: bytes, ids: bytes) -> None:
@@ -108,8 +112,9 @@ class ShardWriter:
                 break
             shared += 1
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(ids)) + key[shared:] + ids
-        if not self.keys or self.keys[-1] != key:
-            self.keys.append(key)
+        if self.previous != key:
+            self.hashes.append(xxhash.xxh3_64_intdigest(key))
+            self.previous = key
         self.last = key
         self.entries += 1
         self.tokens += len(ids) // self.width
@@ -128,7 +133,7 @@ class ShardWriter:
         """Writes index, filter and footer."""
         self._flush()
         index = struct.pack("<I", len(self.index)) + b"".join(self.index)
-        bits = bloom(self.keys)
+        bits = bloom(self.hashes)
         self.out.write(index + bits + FOOTER.pack(self.offset, self.offset + len(index), self.offset + len(index) + len(bits), self.entries, self.tokens, self.width, MAGIC))
         self.out.close()
 
@@ -202,11 +207,9 @@ def open_shard(path: str) -> Shard:
 
 
 class LibraryEncoder:
-    """Encodes with the tokenizers library; parts between safe boundaries are encoded once and kept in two generations."""
+    """Encodes with the tokenizers library; a part's value is its packed ids."""
 
     def __init__(self, path: str) -> None:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -214,12 +217,11 @@ class LibraryEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.width = 2 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         sizes = {i: len(s) for s, i in self.lib.get_vocab(with_added_tokens=False).items()}
         self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)], dtype=np.int64)
-        self.joins = not any(" " in s for s in self.special)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.joins = not any(" " in s for s in special)
+        self.parts = Parts(self._make, [s.encode() for s in special])
 
     def pack(self, ids: list[int]) -> bytes:
         """Little-endian bytes of ids."""
@@ -228,48 +230,34 @@ class LibraryEncoder:
             packed.byteswap()
         return packed.tobytes()
 
-    def _learn(self, inner: list[str], others: list[str]) -> None:
-        """Encodes new parts. Inner ones start with a space and a non-space, where every split has a boundary: they go to
-        the library as one text, whose ids are cut where the bytes of the parts end. The others go to it one by one."""
-        if inner and self.joins:
-            (whole,) = self.lib.encode_batch_fast(["".join(inner)], add_special_tokens=False)
-            ids = whole.ids
+    def _make(self, parts: list[bytes]) -> list[tuple[bytes]]:
+        """Ids of new parts. Those that start with a space and a printable character, where every split has a boundary, go
+        to the library as one text, whose ids are cut where the bytes of the parts end. The others go to it one by one."""
+        out: list[tuple[bytes]] = [()] * len(parts)
+        inner = [i for i, p in enumerate(parts) if p[0] == 0x20 and p[1:2].isalnum()] if self.joins else []
+        rest = range(len(parts))
+        if inner:
+            (whole,) = self.lib.encode_batch_fast([b"".join([parts[i] for i in inner]).decode()], add_special_tokens=False)
+            ids = np.array(whole.ids, dtype=np.int64)
             ends = np.cumsum(self.sizes[ids])
-            want = np.cumsum([len(p.encode()) for p in inner])
+            want = np.cumsum([len(parts[i]) for i in inner])
             cuts = np.searchsorted(ends, want)
             if ends[-1] == want[-1] and np.array_equal(ends[cuts], want):
-                packed, at = self.pack(ids), 0
-                for p, cut in zip(inner, ((cuts + 1) * self.width).tolist(), strict=True):
-                    self.young[p] = packed[at:cut]
+                packed, at = ids.astype(f"<u{self.width}").tobytes(), 0
+                for i, cut in zip(inner, ((cuts + 1) * self.width).tolist(), strict=True):
+                    out[i] = (packed[at:cut],)
                     at = cut
-                inner = []
-        others = others + inner
-        for p, e in zip(others, self.lib.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.young[p] = self.pack(e.ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of whole texts."""
-        split: list[list[str]] = []
-        for t in texts:
-            if any(s in t for s in self.special):
-                split.append([t])
-            elif t:
-                head, *rest = _PART.split(t)
-                split.append([head, *map(" ".__add__, rest)])
-            else:
-                split.append([])
-        missing = []
-        if len(self.young) > KEPT:
-            self.old, self.young = self.young, {}
-        for p in set().union(*split) - self.young.keys():
-            known = self.old.get(p)
-            if known is None:
-                missing.append(p)
-            else:
-                self.young[p] = known
-        inner = [p[:1] == " " and p[1:2].strip() != "" for p in missing]
-        self._learn([p for p, i in zip(missing, inner, strict=True) if i], [p for p, i in zip(missing, inner, strict=True) if not i])
-        return [b"".join(map(self.young.__getitem__, s)) for s in split]
+                rest = [i for i in rest if not out[i]]
+        if rest:
+            for i, e in zip(rest, self.lib.encode_batch_fast([parts[i].decode() for i in rest], add_special_tokens=False), strict=True):
+                out[i] = (self.pack(e.ids),)
+        return out
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, memoryview]]:
+        """Yields (first row, byte offsets of the rows, packed ids of the rows) for runs of whole texts."""
+        for lo, hi, columns in self.parts.columns(texts):
+            at, raw = columns[0] if columns else (np.zeros(hi - lo + 1, np.int64), memoryview(b""))
+            yield lo, at, raw
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -279,7 +267,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, shards: int | None = Non
     """Writes the shards in key order; returns (path, entries, tokens) of each, in key order: one small row a shard."""
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).repartitionByRange(n, "k").sortWithinPartitions("k", "t")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).repartitionByRange(n, "k", F.xxhash64("t")).sortWithinPartitions("k", F.xxhash64("t"), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -292,13 +280,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, shards: int | None = Non
         end = e.pack([end_id])
         first: bytes | None = None
         for b in batches:
-            keys, texts = b.column("k").to_pylist(), b.column("t")
-            for lo in range(0, len(keys), 64):
-                for key, ids in zip(keys[lo : lo + 64], e.encode(texts[lo : lo + 64].to_pylist()), strict=True):
-                    if writer is None:
-                        fs.create_dir(base, recursive=True)
-                        writer, first = ShardWriter(fs.open_output_stream(own), e.width), key_of(key)
-                    writer.add(key_of(key), ids + end)
+            keys = list(map(key_of, b.column("k").to_pylist()))
+            for lo, at, raw in e.encode(b.column("t")):
+                if writer is None:
+                    fs.create_dir(base, recursive=True)
+                    writer, first = ShardWriter(fs.open_output_stream(own), e.width), keys[lo]
+                edges = at.tolist()
+                for key, x, y in zip(keys[lo : lo + len(edges) - 1], edges[:-1], edges[1:], strict=True):
+                    writer.add(key, bytes(raw[x:y]) + end)
         if writer is not None:
             writer.close()
             fs.move(own, name)
