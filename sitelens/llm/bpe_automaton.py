@@ -1,18 +1,21 @@
 """Byte-pair encoding by a deterministic tokenisation automaton, and decoding by its arc labels.
 
-The automaton reads tokens. It starts as one state with a loop for every byte. Merges are applied in rank order:
-for a merge (u, v), each path s -u-> q -v-> t has its first arc redirected to a copy of q that lacks the v arc, and s
-gets an arc labelled uv to t. After the last merge the automaton accepts exactly the correct tokenisations, and each
-byte string has one. All arcs with one label enter one state at any time, so the gadgets are kept as facts about
-labels: label x enters the chain of copies made for x (rank of each removed arc), starting from the chain of its
-right part; an arc y leaves a state if the arc of y's left part left it when y was made and no later copy removed it.
-``Automaton.arc`` reads this off by walking right parts of x and left parts of y, and keeps the answer in the
-transition table.
-
-To encode a pre-split word the automaton is followed from its start: at each place the longest label that spells the next
-bytes is tried first, then the shorter ones, each by one table look-up for its arc; where none goes on, the last arc is taken
-back. Each prefix of a word has exactly one accepted path, so every place is entered once at most.
-Words are read once and kept in two generations of a bounded table. Decoding joins the arc labels' bytes.
+The automaton reads tokens. It starts as one state with a loop for every byte. Merges are applied in rank order, each by
+a gadget: for a merge (u, v), each path s -u-> q -v-> t has its first arc redirected to a copy of q that lacks the v arc,
+and s gets an arc labelled uv to t. Every state accepts. After the last merge the accepted label strings are exactly the
+correct tokenisations, and each byte string has one.
+
+All arcs with one label enter one state, so a gadget moves one entry of ``enters``: the copy q' keeps what q had lost by
+then and loses v as well; q itself stays for the labels that still enter it. A state stores only what its own gadgets
+took away and the state that it was copied from. What arcs a state has follows: a label made from u is an arc of s if u
+was one when the label was made. Labels are numbered in preorder of the tree "made from its left part", children by
+rank, so what a state lacks is a few runs of numbers; ``runs`` holds the run boundaries of a state, and a transition is
+one binary search in them. States that no text has visited are not expanded.
+
+Encoding steps through a pre-split word once: each prefix has exactly one accepted path, so each place in the word has
+one state. A place's state is found from the labels that end there (an Aho-Corasick scan of the bytes yields them): the
+only one whose arc leaves the state at its own beginning. There is no backtracking; time and memory grow with the length
+of the word. Decoding emits the arcs' labels.
 
 Defined results: null and empty texts have no tokens; the added special token's string in a text is one token, as
 the library does; bytes that are no UTF-8 after decoding become U+FFFD.
@@ -23,23 +26,23 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
-from operator import itemgetter
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .parts import Parts
+
 #: The pattern by which byte-level BPE splits a text into words.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: A place where every split has a boundary: before a space that a non-space follows.
-_PART = re.compile(r" (?=\S)")
-#: Ids and decimal string of an encoded part.
-_IDS, _DECIMAL = itemgetter(0), itemgetter(1)
-#: Parts kept in each of the two generations of a worker's table.
-KEPT = 250_000
+_EVER = 1 << 60
+_INT32 = [struct.Struct(f"<{n}i").pack for n in range(32)]
 
 
 def byte_letters() -> dict[str, int]:
@@ -50,138 +53,137 @@ def byte_letters() -> dict[str, int]:
 
 
 class Automaton:
-    """The tokenisation automaton of a merge list."""
+    """The tokenisation automaton of a merge list. State 0 is the start."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]) -> None:
         letters = byte_letters()
-        self.labels: dict[int, bytes] = {i: bytes(letters[c] for c in s) for s, i in vocab.items() if all(c in letters for c in s)}
+        self.labels: dict[int, bytes] = {i: bytes(letters[c] for c in s) for s, i in vocab.items() if s not in special and all(c in letters for c in s)}
         self.labels |= {i: s.encode() for s, i in special.items()}
         self.special = special
-        self.ids = {self.labels[i]: i for s, i in vocab.items() if i in self.labels and s not in special}
-        self.start = {b[0]: i for b, i in self.ids.items() if len(b) == 1}
-        self.removed: dict[tuple[int, int], int] = {}
-        self.made: dict[int, tuple[int, int, int]] = {}
+        bytes_ = [vocab[c] for c in letters if c in vocab]
+        self.enters = dict.fromkeys(bytes_, 0)
+        self.made: dict[int, tuple[int, int]] = {}  # label: its left part and the merge's rank
+        self.lost: list[dict[int, int]] = [{}]  # state: arcs that its own gadgets took, and when
+        self.origin: list[tuple[int, int]] = [(-1, 0)]  # state: what it was copied from, and when
+        self.users = [len(bytes_) + 1]  # labels that enter a state; the start is one more
         for rank, (u, v) in enumerate(merges):
-            self.gadget(rank, vocab[u], vocab[v], vocab[u + v])
-        made = set(self.made) | set(self.start.values())
-        self.table: dict[tuple[int, int], bool] = {}
-        self.by_end: dict[bytes, int] = {b: i for b, i in self.ids.items() if i in made and self.alone(i)}
-        self.sizes = {i: len(b) for b, i in self.by_end.items()}
-        self.shorter: dict[int, int] = {}
-        self.step: dict[int, int] = {}
-        self.longest = [-1]
-        self._scan()
-
-    def _scan(self) -> None:
-        """Compiles the vocabulary's strings into a byte table: state and byte to state, the longest label read so far, its next shorter."""
-        for b, i in sorted(self.by_end.items(), key=lambda x: len(x[0])):
-            s = 0
-            for c in b:
-                t = self.step.get(s << 8 | c)
-                if t is None:
-                    t = self.step[s << 8 | c] = len(self.longest)
-                    self.longest.append(self.longest[s])
-                s = t
-            self.shorter[i] = self.longest[s]
-            self.longest[s] = i
+            if u in vocab and v in vocab and u + v in vocab:
+                self.gadget(rank, vocab[u], vocab[v], vocab[u + v])
+        self.sizes = {i: len(b) for i, b in self.labels.items()}
+        self._number(bytes_)
+        self._runs: dict[int, list[int]] = {}
+        self.scan = ahocorasick.Automaton()
+        for y, q in self.enters.items():
+            self.scan.add_word(self.labels[y].decode("latin-1"), (len(self.labels[y]), self.number[y], q, y))
+        self.scan.make_automaton()
+
+    def _taken(self, state: int, label: int) -> int | None:
+        """When an arc was taken from a state or from what it was copied from; None if never."""
+        before = _EVER
+        while state >= 0:
+            rank = self.lost[state].get(label)
+            if rank is not None and rank < before:
+                return rank
+            state, before = self.origin[state][0], min(before, self.origin[state][1])
+        return None
+
+    def has_arc(self, state: int, label: int) -> bool:
+        """Whether a state has an arc, read off the gadgets applied so far."""
+        until = _EVER
+        while True:
+            rank = self._taken(state, label)
+            if rank is not None and rank <= until:
+                return False
+            if label not in self.made:
+                return True
+            label, until = self.made[label]
 
     def gadget(self, rank: int, u: int, v: int, uv: int) -> None:
-        """Applies one merge: the state that u enters loses its v arc to a copy, and uv becomes an arc beside u."""
-        self.removed.setdefault((u, v), rank)
-        self.made.setdefault(uv, (u, v, rank))
-
-    def arc(self, x: int, y: int) -> bool:
-        """Whether the state that label x enters has an arc labelled y."""
-        known = self.table.get((x, y))
+        """Applies one merge; it changes nothing where the state that u enters has no v arc."""
+        q, t = self.enters.get(u), self.enters.get(v)
+        if q is None or t is None or not self.has_arc(q, v):
+            return
+        if uv not in self.enters:
+            self.enters[uv] = t
+            self.users[t] += 1
+            self.made[uv] = (u, rank)
+        if self.users[q] > 1:
+            self.users[q] -= 1
+            self.enters[u] = len(self.lost)
+            self.lost.append({v: rank})
+            self.origin.append((q, rank))
+            self.users.append(1)
+        else:
+            self.lost[q][v] = rank
+
+    def _number(self, roots: list[int]) -> None:
+        """Preorder numbers of the labels, children by rank, and where each label's descendants end."""
+        self.children: dict[int, list[tuple[int, int]]] = {}
+        for y, (left, rank) in self.made.items():
+            self.children.setdefault(left, []).append((rank, y))
+        self.number: dict[int, int] = {}
+        self.last: dict[int, int] = {}
+        todo = [(y, False) for y in reversed(roots)]
+        while todo:
+            y, left = todo.pop()
+            if left:
+                self.last[y] = len(self.number)
+                continue
+            self.number[y] = len(self.number)
+            todo.append((y, True))
+            todo += [(child, False) for _, child in reversed(self.children.get(y, []))]
+
+    def runs(self, state: int) -> list[int]:
+        """Sorted boundaries of the runs of label numbers that a state has no arc for: an odd place is inside a run."""
+        known = self._runs.get(state)
         if known is None:
-            known = True
-            end_x, a = 1 << 60, x
-            while known:
-                end_y, b = 1 << 60, y
-                while True:
-                    rank = self.removed.get((a, b))
-                    if rank is not None and rank < end_x and rank <= end_y:
-                        known = False
-                        break
-                    if b not in self.made:
-                        break
-                    b, _, end_y = self.made[b]
-                if a not in self.made:
-                    break
-                _, a, end_x = self.made[a]
-            if len(self.table) > 2_000_000:
-                self.table.clear()
-            self.table[x, y] = known
+            spans: list[tuple[int, int]] = []
+            seen: set[int] = set()
+            at, before = state, _EVER
+            while at >= 0:
+                for label, rank in self.lost[at].items():
+                    if rank < before and label not in seen:
+                        seen.add(label)
+                        n = self.number[label]
+                        spans.append((n, n + 1))
+                        made = self.children.get(label, [])
+                        later = bisect_left(made, (rank, -1))
+                        if later < len(made):
+                            spans.append((self.number[made[later][1]], self.last[label]))
+                at, before = self.origin[at][0], min(before, self.origin[at][1])
+            known = []
+            for a, b in sorted(spans):
+                if known and a <= known[-1]:
+                    known[-1] = max(known[-1], b)
+                else:
+                    known += [a, b]
+            self._runs[state] = known
         return known
 
     def encode_word(self, word: bytes) -> list[int]:
-        """Labels of the only accepted path that spells a word.
-
-        A prefix of a word has one accepted path, so a place from which the end could not be reached is never tried twice.
-        """
-        whole = self.by_end.get(word)
-        if whole is not None:
-            return [whole]
-        n, step, longest, shorter, sizes, table, arc = len(word), self.step.get, self.longest, self.shorter, self.sizes, self.table, self.arc
-        out: list[int] = []
-        dead: set[int] = set()
-        at, last, label = 0, -1, None
-        while at < n:
-            if label is None:
-                s = 0
-                for c in word[at:] if at else word:
-                    t = step(s << 8 | c)
-                    if t is None:
-                        break
-                    s = t
-                label = longest[s]
-            while label >= 0:
-                if at + sizes[label] not in dead:
-                    if last < 0:
-                        break
-                    known = table.get((last, label))
-                    if arc(last, label) if known is None else known:
-                        break
-                label = shorter[label]
-            if label >= 0:
-                out.append(label)
-                at += sizes[label]
-                last, label = label, None
-            else:
-                dead.add(at)
-                failed = out.pop()
-                at -= sizes[failed]
-                last, label = out[-1] if out else -1, shorter[failed]
+        """Labels of the only accepted path that spells a word."""
+        states, labels, at = [0] * (len(word) + 1), [0] * (len(word) + 1), 0
+        runs = self._runs
+        for end, (size, number, target, label) in self.scan.iter(word.decode("latin-1")):
+            if end < at:
+                continue  # this place has its state
+            q = states[end + 1 - size]
+            boundaries = runs.get(q)
+            if boundaries is None:
+                boundaries = self.runs(q)
+            if not bisect_right(boundaries, number) & 1:
+                at = end + 1
+                states[at], labels[at] = target, label
+        if at < len(word):
+            raise ValueError("the vocabulary lacks a byte")
+        out = []
+        while at:
+            label = labels[at]
+            out.append(label)
+            at -= self.sizes[label]
+        out.reverse()
         return out
 
-    @lru_cache(maxsize=250_000)  # noqa: B019  one automaton lives as long as its worker
-    def word(self, word: str) -> tuple[int, ...]:
-        """Labels of a pre-split word, kept for words that return with other punctuation around them."""
-        return tuple(self.encode_word(word.encode()))
-
-    @lru_cache(maxsize=None)  # noqa: B019  one automaton lives as long as its worker
-    def alone(self, label: int) -> bool:
-        """Whether a label is itself a correct tokenisation: its two parts could follow each other until its own merge."""
-        if label not in self.made:
-            return True
-        u, v, rank = self.made[label]
-        return self.alone(u) and self.alone(v) and self._until(u, v, rank)
-
-    def _until(self, x: int, y: int, before: int) -> bool:
-        end_x, a = before, x
-        while True:
-            end_y, b = before, y
-            while True:
-                rank = self.removed.get((a, b))
-                if rank is not None and rank < end_x and rank <= end_y and rank < before:
-                    return False
-                if b not in self.made:
-                    break
-                b, _, end_y = self.made[b]
-            if a not in self.made:
-                return True
-            _, a, end_x = self.made[a]
-
     def decode(self, ids: list[int]) -> str:
         """Emits the arcs' labels."""
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", errors="replace")
@@ -196,52 +198,31 @@ def load(path: str) -> Automaton:
     return Automaton(spec["model"]["vocab"], pairs, {t["content"]: t["id"] for t in spec["added_tokens"]})
 
 
-class Table(dict):
-    """Encoded parts in two generations: when the young one is full it becomes the old one."""
-
-    def __init__(self, automaton: Automaton, prefix: str) -> None:
-        super().__init__()
-        self.automaton, self.prefix, self.old = automaton, prefix, {}
-        self.decimal = {i: str(i) for i in automaton.labels}.__getitem__
-
-    def __missing__(self, part: str) -> tuple[tuple[int, ...], str]:
-        got = self.old.get(part)
-        if got is None:
-            words = [self.prefix + part] if part.isascii() and part.isalpha() else SPLIT.findall(self.prefix + part)
-            ids = tuple(self.automaton.encode_word(words[0].encode())) if len(words) == 1 else tuple(chain.from_iterable(map(self.automaton.word, words)))
-            got = (ids, ",".join(map(self.decimal, ids)))
-        if len(self) >= KEPT:
-            self.old = dict(self)
-            self.clear()
-        self[part] = got
-        return got
-
-
 class Encoder:
-    """Encodes whole texts with one automaton."""
+    """Encodes whole texts with one automaton. A part's value: ids as int32, their decimal strings each with a comma, emitted labels."""
 
     def __init__(self, path: str) -> None:
         self.automaton = load(path)
-        self.first, self.later = Table(self.automaton, ""), Table(self.automaton, " ")
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.automaton.special, key=len, reverse=True))) + ")") if self.automaton.special else None
-
-    def _plain(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        parts = _PART.split(text)
-        return [self.first[parts[0]], *map(self.later.__getitem__, parts[1:])]
-
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Ids and their decimal strings for each part of a text, in order."""
-        if self.special and self.special.search(text):
-            out: list[tuple[tuple[int, ...], str]] = []
-            for piece in self.special.split(text):
-                i = self.automaton.special.get(piece)
-                out += [((i,), str(i))] if i is not None else self._plain(piece) if piece else []
-            return out
-        return self._plain(text) if text else []
+        names = sorted(self.automaton.special, key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        self.parts = Parts(lambda new: [self._value(p) for p in new], [s.encode() for s in names])
+
+    def _value(self, part: bytes) -> tuple[bytes, bytes, bytes]:
+        # a space and ASCII letters are one word, which needs no splitting
+        ids = self.automaton.encode_word(part) if part[1:].isalpha() and (part[0] == 0x20 or part[:1].isalpha()) else self.encode(part.decode())
+        emitted = b"".join([self.automaton.labels[i] for i in ids])
+        return _INT32[len(ids)](*ids) if len(ids) < len(_INT32) else struct.pack(f"<{len(ids)}i", *ids), (",".join(map(str, ids)) + ",").encode(), emitted
 
     def encode(self, text: str | None) -> list[int]:
-        """Ids of a whole text."""
-        return list(chain.from_iterable(ids for ids, _ in self.parts(text or "")))
+        """Ids of a text, word by word."""
+        out: list[int] = []
+        for piece in self.special.split(text or "") if self.special else [text or ""]:
+            if piece in self.automaton.special:
+                out.append(self.automaton.special[piece])
+            else:
+                for word in SPLIT.findall(piece):
+                    out += self.automaton.encode_word(word.encode())
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -256,13 +237,20 @@ def encoder(path: str) -> Encoder:
 
 def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", to: str = "ids") -> DataFrame:
     """Adds the ids of each whole text as array<int>."""
-    return _map(docs, tokenizer, text_col, [(to, "array<int>", pa.list_(pa.int32()), lambda e, parts, text: list(chain.from_iterable(p[0] for p in parts)))])
+
+    def made(columns: list[tuple[np.ndarray, memoryview]], n: int) -> list[pa.Array]:
+        (at, raw), *_ = columns or [(np.zeros(n + 1, np.int64), memoryview(b""))]
+        ids = np.frombuffer(raw[at[0] : at[-1]], dtype="<i4")
+        return [pa.ListArray.from_arrays(pa.array(((at - at[0]) // 4).astype(np.int32)), pa.array(ids))]
+
+    return _map(docs, tokenizer, text_col, [(to, "array<int>")], made)
 
 
 def decode(docs: DataFrame, tokenizer: str, ids_col: str = "ids", to: str = "text") -> DataFrame:
     """Adds the text of each array of ids; a null array gives an empty text."""
     names = [c for c in docs.columns if c != to]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), f"`{to}` string"])
+    inputs = list(dict.fromkeys([*names, ids_col]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = load(tokenizer)
@@ -270,40 +258,45 @@ def decode(docs: DataFrame, tokenizer: str, ids_col: str = "ids", to: str = "tex
             texts = [automaton.decode(x or []) for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string())], [*names, to])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*inputs).mapInArrow(run, schema)
+
+
+def _digest(raw: memoryview, lo: int, hi: int) -> str:
+    return hashlib.sha256(raw[lo:hi]).hexdigest()
+
+
+def _text_digest(raw: memoryview, lo: int, hi: int) -> str:
+    try:
+        str(raw[lo:hi], "utf-8")
+    except UnicodeDecodeError:
+        return hashlib.sha256(bytes(raw[lo:hi]).decode("utf-8", errors="replace").encode()).hexdigest()
+    return _digest(raw, lo, hi)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Encodes and decodes each whole text: keep, n_tokens, ids_sha256, decoded_sha256. No shuffle."""
 
-    def decoded(e: Encoder, parts: list, text: str) -> str:
-        emitted = b"".join(map(e.automaton.labels.__getitem__, chain.from_iterable(map(_IDS, parts))))
-        try:
-            emitted.decode("utf-8")
-        except UnicodeDecodeError:
-            emitted = emitted.decode("utf-8", errors="replace").encode()
-        return hashlib.sha256(emitted).hexdigest()
+    def made(columns: list[tuple[np.ndarray, memoryview]], n: int) -> list[pa.Array]:
+        (ids, _), (decimal, digits), (emitted, text) = columns or [(np.zeros(n + 1, np.int64), memoryview(b""))] * 3
+        of, to = decimal.tolist(), emitted.tolist()
+        return [
+            pa.array(np.diff(ids) // 4),
+            pa.array([_digest(digits, a, max(a, b - 1)) for a, b in zip(of[:-1], of[1:], strict=True)], pa.string()),
+            pa.array([_text_digest(text, a, b) for a, b in zip(to[:-1], to[1:], strict=True)], pa.string()),
+        ]
 
-    return _map(docs, tokenizer, text_col, [
-        ("n_tokens", "bigint", pa.int64(), lambda e, parts, text: sum(map(len, map(_IDS, parts)))),
-        ("ids_sha256", "string", pa.string(), lambda e, parts, text: hashlib.sha256(",".join(filter(None, map(_DECIMAL, parts))).encode()).hexdigest()),
-        ("decoded_sha256", "string", pa.string(), decoded),
-    ], keep)
+    return _map(docs, tokenizer, text_col, [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")], made, keep)
 
 
-def _map(docs: DataFrame, tokenizer: str, text_col: str, makes: list, keep: tuple[str, ...] | None = None) -> DataFrame:
-    made = {name for name, *_ in makes}
-    names = [c for c in (keep or docs.columns) if c not in made]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), *(f"`{n}` {kind}" for n, kind, *_ in makes)])
+def _map(docs: DataFrame, tokenizer: str, text_col: str, adds: list[tuple[str, str]], made, keep: tuple[str, ...] | None = None) -> DataFrame:
+    new = [name for name, _ in adds]
+    names = [c for c in (keep or docs.columns) if c not in new]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), *(f"`{n}` {kind}" for n, kind in adds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         for b in batches:
-            columns: list[list] = [[] for _ in makes]
-            for text in b.column(text_col).to_pylist():
-                parts = e.parts(text or "")
-                for column, (*_, f) in zip(columns, makes, strict=True):
-                    column.append(f(e, parts, text))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(c, kind) for c, (_, _, kind, _) in zip(columns, makes, strict=True))], [*names, *(m[0] for m in makes)])
+            for lo, hi, columns in e.parts.columns(b.column(text_col)):
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in names), *made(columns, hi - lo)], [*names, *new])
 
     return docs.select(*dict.fromkeys([*names, text_col])).mapInArrow(run, schema)
