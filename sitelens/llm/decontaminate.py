@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import maybe_in, without, written
 from .words import chunks, hashes, mix, spans
 
 WINDOW, MIN_PLAIN, COVER, RUN, SMALL_BYTES = 8, 4, 0.5, 13, 8 << 20
@@ -204,12 +205,10 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", small_bytes: int = SMALL_BYTES) -> DataFrame:
     """One row for each pair of document and item that matches: doc_id, item_id, covered, item_words, slots, exact."""
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("item_text"))
+    items = _items(benchmark, item_col, item_text)
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("item_text") + 8)).first()[0] or 0
-    if size <= small_bytes:
-        rows = items.orderBy("item_id", "item_text").collect()  # under small_bytes
-        index = docs.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.item_text for r in rows]))
+    index = _small(items, small_bytes)
+    if index is not None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idx = Index(*index.value)
@@ -219,14 +218,56 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 yield _rows(found)
 
         return own.mapInArrow(run, _OUT)
-    doc_windows = _windows(own, "doc_id", "text").select("doc_id", "w")
+    return _joined(own, items)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """The rows of docs that hold no item, all columns. With a small benchmark no row is exchanged."""
+    items = _items(benchmark, item_col, item_text)
+    index = _small(items, small_bytes)
+    if index is None:
+        key = F.xxhash64(F.lit(3), F.coalesce(F.col(text_col), F.lit("")))
+        found = written(_joined(docs.select(key.alias("doc_id"), F.col(text_col).alias("text")), items).select(F.col("doc_id").alias("id")).distinct(), "found")
+        return without(docs.withColumn("_text_key", key), "_text_key", found).drop("_text_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idx = Index(*index.value)
+        for b in batches:
+            keep = np.ones(b.num_rows, dtype=bool)
+            for lo, _, data, offsets in chunks(b.column(text_col)):
+                keep[[lo + d for d, *_ in idx.match(data, offsets)]] = False
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("item_text"))
+
+
+def _small(items: DataFrame, small_bytes: int):
+    """The items as a broadcast, if their texts have at most small_bytes; None beyond that."""
+    size = items.agg(F.sum(F.octet_length("item_text") + 8)).first()[0] or 0
+    if size > small_bytes:
+        return None
+    rows = items.orderBy("item_id", "item_text").collect()  # under small_bytes
+    return items.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.item_text for r in rows]))
+
+
+def _joined(own: DataFrame, items: DataFrame) -> DataFrame:
+    """Matches by a shuffled join of windows; a row stands for all rows of its identifier and text, null identifiers too."""
+    own = own.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    doc_windows = _windows(own, "_key", "text").select("_key", "w")
     lengths = [r[0] for r in _windows(items, "item_id", "item_text").select("n").distinct().collect()]  # at most WINDOW numbers
     item_windows = _windows(items, "item_id", "item_text").select("item_id", "w").distinct()
     short = [n for n in lengths if n < WINDOW]
     if short:
-        doc_windows = doc_windows.unionByName(_windows(own, "doc_id", "text", short).select("doc_id", "w"))
-    pairs = doc_windows.join(item_windows, "w").select("doc_id", "item_id").distinct()
-    candidates = pairs.join(own, "doc_id").join(items, "item_id")
+        doc_windows = doc_windows.unionByName(_windows(own, "_key", "text", short).select("_key", "w"))
+    # only windows that some item may hold are exchanged, each once a document: a hot window meets its items' few rows
+    held = maybe_in(doc_windows, "w", item_windows.select(F.col("w").alias("id"))).filter("_maybe").select("_key", "w").distinct()
+    pairs = written(held.join(item_windows, "w").select("_key", "item_id").distinct(), "candidates")
+    wanted = maybe_in(own, "_key", pairs.select(F.col("_key").alias("id"))).filter("_maybe").drop("_maybe")
+    candidates = pairs.join(wanted, "_key").join(items, "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

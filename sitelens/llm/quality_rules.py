@@ -8,7 +8,8 @@ KEEP_SHARE of its words after that is depleted and rejected. Base rules reject s
 Scale: counting is two map-side combined aggregations over (host, line hash, text hash); the join that finds removed
 lines carries no text (lines are hashed once, into a written table), and its frequent side holds at most (lines / MIN_DOCS) rows, so a hot host or line is split by
 the skew join and not gathered. Every per-document measure stays in the document's own row.
-Defined results: null and empty texts have no words and fail; a null host is a host of its own; extra columns are ignored.
+Defined results: null and empty texts have no words and fail; a null host is a host of its own; a row is judged by its
+own text and host, so equal, repeated or null identifiers change nothing; extra columns with the names of measures give way.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import maybe_in, without, written
 
 MIN_DOCS, MAX_SHARE, KEEP_SHARE = 20, 0.10, 0.30
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -64,13 +65,13 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(id, host, text hash, line hash, words in the line) for each line with a word; no text leaves the scan."""
+    """(row key, host, text hash, line hash, words in the line) for each line with a word; no text leaves the scan."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
     # each step is a transform of its own, so that a line is normalised once however often its facts use it
     normal = F.transform(lines, lambda x: F.filter(F.split(F.translate(F.lower(x), SPACES[1:], " " * 5), " "), lambda w: w != ""))
     facts = F.transform(normal, lambda w: F.struct(F.xxhash64(F.array_join(w, " ")).alias("line"), F.size(w).alias("n")))
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\u0000")).alias("_host"), F.xxhash64(text).alias("_text"), F.explode(facts).alias("_l")).select("_id", "_host", "_text", "_l.line", "_l.n")
+    return docs.select(_row_key(id_col, text_col, host_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\u0000")).alias("_host"), F.xxhash64(text).alias("_text"), F.explode(facts).alias("_l")).select("_id", "_host", "_text", "_l.line", "_l.n")
 
 
 def frequent_lines(docs: DataFrame, rows: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -80,10 +81,40 @@ def frequent_lines(docs: DataFrame, rows: DataFrame, text_col: str = "text", hos
     return per_line.join(hosts, F.col("_host") == F.col("_h")).filter(F.col("docs") > F.lit(MAX_SHARE) * F.col("all")).select("_host", "line")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """All columns of docs, the measures, removed_words and kept. The identifier is taken as unique."""
+def _row_key(id_col: str, text_col: str, host_col: str) -> Column:
+    """A hash of what the verdict of a row depends on, and of its identifier; equal rows share it and their verdict."""
+    return F.xxhash64(F.lit(7), F.col(id_col).isNull(), F.col(id_col), F.coalesce(F.col(host_col).cast("string"), F.lit("\u0000")), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _removals(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """(key, line words, removed words) of documents that lose a line. Equal rows add up in both numbers alike."""
     rows = written(line_rows(docs, id_col, text_col, host_col), "lines")
-    removed = rows.join(frequent_lines(docs, rows, text_col, host_col), ["_host", "line"], "left_semi").groupBy("_id").agg(F.sum("n").alias("removed_words"))
-    judged = measures(docs, text_col).join(removed, F.col(id_col) == F.col("_id"), "left").drop("_id").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("bigint"))
-    depleted = F.col("n_words") - F.col("removed_words") < F.lit(KEEP_SHARE) * F.col("n_words")
-    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    frequent = frequent_lines(docs, rows, text_col, host_col).withColumn("_frequent", F.lit(True))
+    marked = rows.join(frequent, ["_host", "line"], "left_semi").groupBy("_id").agg(F.sum("n").alias("_gone"))
+    words = maybe_in(rows.select("_id", "n"), "_id", marked.select(F.col("_id").alias("id"))).filter("_maybe").groupBy("_id").agg(F.sum("n").alias("_words"))
+    return marked.join(words, "_id").select(F.col("_id").alias("_key"), "_words", "_gone")
+
+
+def _depleted(words: Column, removed: Column) -> Column:
+    return words - removed < F.lit(KEEP_SHARE) * words
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The other columns of docs but the text, the measures, removed_words and kept."""
+    removed = _removals(docs, id_col, text_col, host_col)
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    own = [c for c in docs.columns if c != text_col and c not in (*added, "removed_words", "kept")]
+    facts = measures(docs, text_col).select(*own, *added, _row_key(id_col, text_col, host_col).alias("_row"))
+    judged = facts.join(removed, F.col("_row") == F.col("_key"), "left")
+    lost = F.coalesce(F.expr("_gone * n_words div _words"), F.lit(0)).cast("bigint")
+    judged = judged.withColumn("removed_words", lost).drop("_row", "_key", "_words", "_gone")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~_depleted(F.col("n_words"), F.col("removed_words")))
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of docs that judge keeps, all columns; texts are not exchanged but for rows that may be rejected."""
+    key = _row_key(id_col, text_col, host_col)
+    failed = measures(docs.select(key.alias("id"), text_col), text_col).filter("base_failed").select("id")
+    depleted = _removals(docs, id_col, text_col, host_col).filter(_depleted(F.col("_words"), F.col("_gone"))).select(F.col("_key").alias("id"))
+    rejected = written(failed.unionByName(depleted), "rejected")
+    return without(docs.withColumn("_row", key), "_row", rejected).drop("_row")
