@@ -11,9 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitelens.llm import bpe_automaton, decontaminate, language_id, near_dedup, quality_rules
-from sitelens.llm.common import table, written
+from sitelens.llm.common import discard, table, without, written
 from sitelens.llm.queries import tokenizer_path
 
 
@@ -25,19 +26,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are not depleted."""
-    return quality_rules.judge(docs).filter("kept").select(*docs.columns)
+    return quality_rules.keep(docs)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component."""
-    gone = near_dedup.cluster(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(near_dedup.cluster(docs).filter("NOT kept").select(F.col("doc_id").alias("id")).distinct(), "duplicates")
+    return without(docs, "doc_id", gone)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("bpe", bpe_stage),
 ]
 
-#: No SQL expresses language ID, sketching or BPE; the tests compare each stage with a brute-force version.
+#: No SQL expresses language ID, sketching or BPE; tests/llm/test_pipeline.py compares the filtering stages with plain versions.
 ORACLE_SQL = None
 
 
@@ -62,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
