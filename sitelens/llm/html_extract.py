@@ -2,8 +2,10 @@
 
 First pass: each block is decided from its own features. Blocks in page furniture (navigation, header, footer,
 aside, form, or an element whose class, id or role names an advert, notice, sidebar or comment list) and blocks
-made mostly of link text are boilerplate; long blocks with many stop words and few links are content; the rest
-stay undecided. Second pass: an undecided block takes the label of its nearest decided neighbours within the same
+made mostly of link text (inside an article only where they are list items or cells) are boilerplate; long blocks with
+many stop words and few links are content; the rest stay undecided. A mark is only a name, so it does not count where the
+page speaks against it: on an element around the article, if all articles stand in marked elements, and, on a page
+without articles, on an element that holds most of the page's text. Words after has, with or no are no marks. Second pass: an undecided block takes the label of its nearest decided neighbours within the same
 article, or within the page body where it stands in no article; between two different labels the nearer wins, and
 a tie is content inside an article. Inside an article or main element nothing else is a reason to drop a block, so
 junk or one-word paragraphs of an article stay; an article without any decided block is kept whole.
@@ -41,11 +43,16 @@ MARKS = frozenset("ad ads advert adverts advertisement adverts banner breadcrumb
 #: An element that one of these closes when it opens, as browsers do.
 CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"])}
 
+LISTED = frozenset("li dt dd td th".split())
+
 LONG_CHARS, STOP_SHARE, LINK_SHARE = 70, 0.25, 0.4
+#: Marked elements around a block that are told apart; those further in belong to the last of them.
+DEEP = 64
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTR = re.compile(r"([^\s=\"'/]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"']++)))?")
+_INVISIBLE = re.compile(r"display\s*:\s*none")
+_CONTRAST = re.compile(r"^(?:has|with|no|without)[-_].*")
 _WORD = re.compile(r"[^\W\d_]+")
 _MARK_WORD = re.compile(r"[a-z]+")
 
@@ -58,97 +65,159 @@ class Block:
     link_chars: int
     furniture: bool
     article: int
+    listed: bool = False
+    #: Numbers of the marked elements around the block, and how many of them are around its article.
+    marks: tuple[int, ...] = ()
+    around: int = 0
 
 
-def _marked(attrs: str) -> bool:
-    if _HIDDEN.search(attrs):
-        return True
+def _marked(attrs: str) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether its names mark furniture."""
+    hidden = marked = False
     for m in _ATTR.finditer(attrs):
-        if not MARKS.isdisjoint(_MARK_WORD.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _INVISIBLE.search(value):
+            hidden = True
+        elif name in ("class", "id", "role"):
+            marked = marked or any(not MARKS.isdisjoint(_MARK_WORD.findall(_CONTRAST.sub("", token))) for token in value.split())
+    return hidden, marked
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order. article: 0 outside any article, else the number of the outermost one."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # name, silent, furniture, article
-    parts: list[str] = []
-    linked = [0]
-    articles = 0
-    silent, furniture, article, links = False, False, 0, 0
-
-    def flush() -> None:
-        if parts:
-            text = " ".join("".join(parts).split())
+class _Reader:
+    """Open elements and the text since the last block boundary. Every step is constant or paid for by what it closes."""
+
+    def __init__(self) -> None:
+        self.out: list[Block] = []
+        self.stack: list[tuple[str, bool, bool, int, tuple[int, ...], int]] = []  # name, silent, furniture, article, marks, around
+        self.places: dict[str, list[int]] = {}  # where elements of a name are open
+        self.open_blocks: list[int] = []
+        self.parts: list[str] = []
+        self.linked = self.links = self.articles = self.marked = 0
+        self.state: tuple[bool, bool, int, tuple[int, ...], int] = (False, False, 0, (), 0)
+
+    def flush(self) -> None:
+        """Ends a block."""
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
             if text:
-                out.append(Block(text, linked[0], furniture, article))
-            parts.clear()
-        linked[0] = 0
+                _, furniture, article, marks, around = self.state
+                listed = bool(self.open_blocks) and self.stack[self.open_blocks[-1]][0] in LISTED
+                self.out.append(Block(text, self.linked, furniture, article, listed, marks, around))
+            self.parts.clear()
+        self.linked = 0
 
-    def add(raw: str) -> None:
-        if raw and not silent:
+    def add(self, raw: str) -> None:
+        """Takes text in."""
+        if raw and not self.state[0]:
             text = _html.unescape(raw)
-            parts.append(text)
-            if links:
-                linked[0] += len("".join(text.split()))
-
-    def leave(depth: int) -> None:
-        nonlocal silent, furniture, article, links
-        if any(name in BLOCK for name, *_ in stack[depth:]):
-            flush()
-        links -= sum(name == "a" for name, *_ in stack[depth:])
-        del stack[depth:]
-        silent, furniture, article = stack[-1][1:] if stack else (False, False, 0)
+            self.parts.append(text)
+            if self.links:
+                self.linked += len("".join(text.split()))
+
+    def leave(self, depth: int) -> None:
+        """Closes all elements from a depth on."""
+        if self.open_blocks and self.open_blocks[-1] >= depth:
+            self.flush()
+        for name, *_ in reversed(self.stack[depth:]):
+            self.places[name].pop()
+            self.links -= name == "a"
+        while self.open_blocks and self.open_blocks[-1] >= depth:
+            self.open_blocks.pop()
+        del self.stack[depth:]
+        self.state = self.stack[-1][1:] if self.stack else (False, False, 0, (), 0)
+
+    def end(self, name: str) -> None:
+        """An end tag; one of an inline element doesn't reach beyond the innermost open block."""
+        at = self.places.get(name)
+        if at and (name in BLOCK or not self.open_blocks or at[-1] > self.open_blocks[-1]):
+            self.leave(at[-1])
+        elif name in BLOCK:
+            self.flush()
+
+    def start(self, name: str, attrs: str) -> None:
+        """A start tag."""
+        if name in BLOCK:
+            self.flush()
+            if self.open_blocks and name in CLOSES["p"] and self.stack[self.open_blocks[-1]][0] == "p":
+                self.leave(self.open_blocks[-1])
+            if self.open_blocks:
+                last = self.stack[self.open_blocks[-1]][0]
+                if last != "p" and name in CLOSES.get(last, ()):
+                    self.leave(self.open_blocks[-1])
+        if name in VOID or attrs.endswith("/") and name in SILENT:
+            return
+        silent, furniture, article, marks, around = self.state
+        if name in ARTICLE and not article:
+            self.articles += 1
+            article, around = self.articles, len(marks)
+        if name in FURNITURE or name == "header" and not article:
+            furniture = True
+        elif attrs and name not in ("html", "body"):
+            hidden, marked = _marked(attrs)
+            furniture = furniture or hidden
+            if marked and name not in ARTICLE:
+                self.marked += 1
+                marks = (*marks, self.marked) if len(marks) < DEEP else marks
+        if name in BLOCK:
+            self.open_blocks.append(len(self.stack))
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, silent or name in SILENT, furniture, article, marks, around))
+        self.state = self.stack[-1][1:]
+        self.links += name == "a"
+
 
+def blocks(page: str) -> list[Block]:
+    """Text blocks in page order. article: 0 outside any article, else the number of the outermost one."""
+    reader = _Reader()
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if not m:
-            add(page[at:])
+            reader.add(page[at:])
             break
-        add(page[at : m.start()])
+        reader.add(page[at : m.start()])
         at = m.end()
         if m["cdata"] is not None:
-            add(m["cdata"])
+            reader.add(m["cdata"])
             continue
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
             continue
-        attrs = m["attrs"] if m["name"] else m["attrs2"]
         if m["end"] or m["end2"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None and (name in BLOCK or not any(x[0] in BLOCK for x in stack[depth + 1 :])):
-                leave(depth)
-            elif name in BLOCK:
-                flush()
-            continue
-        if name == "br":
-            add(" ")
-            continue
-        if name in BLOCK:
-            flush()
-            if stack and name in CLOSES.get("p", ()):
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), None)
-                if depth is not None and stack[depth][0] == "p":
-                    leave(depth)
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), None)
-            if depth is not None and name in CLOSES.get(stack[depth][0], ()) and stack[depth][0] != "p":
-                leave(depth)
-        if name in VOID or attrs.endswith("/") and name in SILENT:
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        if name in ARTICLE and not article:
-            articles += 1
-        own = name in FURNITURE or name == "header" and not article or name not in ("html", "body") and name not in ARTICLE and bool(attrs) and _marked(attrs)
-        stack.append((name, silent or name in SILENT, furniture or own, article or (articles if name in ARTICLE else 0)))
-        silent, furniture, article = stack[-1][1:]
-        links += name == "a"
-    flush()
-    return out
+            reader.end(name)
+        elif name == "br":
+            reader.add(" ")
+        else:
+            if name in RAW:
+                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = end.end() if end else n
+                if name in BLOCK or name not in VOID:
+                    continue
+            reader.start(name, m["attrs"] if m["name"] else m["attrs2"])
+    reader.flush()
+    return _weighed(reader.out)
+
+
+def _weighed(found: list[Block]) -> list[Block]:
+    """Applies the marks that count as furniture."""
+    if not any(b.marks for b in found):
+        return found
+    ignored: set[int] = set()
+    inside = [b for b in found if b.article and not b.furniture]
+    if inside:
+        if not any(b.around == 0 for b in inside):
+            ignored = {k for b in inside for k in b.marks[: b.around]}
+    else:
+        sizes: dict[int, int] = {}
+        seen = [b for b in found if not b.furniture]
+        for b in seen:
+            for k in b.marks:
+                sizes[k] = sizes.get(k, 0) + len(b.text)
+        total = sum(len(b.text) for b in seen)
+        ignored = {k for k, size in sizes.items() if 2 * size > total}
+    for b in found:
+        b.furniture = b.furniture or any(k not in ignored for k in b.marks)
+    return found
 
 
 def decide(found: list[Block]) -> list[bool]:
@@ -156,12 +225,13 @@ def decide(found: list[Block]) -> list[bool]:
     labels: list[bool | None] = []
     for b in found:
         chars = max(1, len(b.text.replace(" ", "")))
-        if b.furniture or b.link_chars > LINK_SHARE * chars and not (b.article and len(b.text) >= 3 * LONG_CHARS):
+        if b.furniture or b.link_chars > LINK_SHARE * chars and not (b.article and (not b.listed or len(b.text) >= 3 * LONG_CHARS)):
             labels.append(False)
             continue
         words = [w.lower() for w in _WORD.findall(b.text)]
         stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
         labels.append(True if len(b.text) >= LONG_CHARS and stop >= STOP_SHARE else None)
+    no_article = not any(b.article for b in found)
     ahead: list[tuple[int, bool] | None] = [None] * len(found)
     last: dict[int, tuple[int, bool]] = {}
     for i in range(len(found) - 1, -1, -1):
@@ -180,7 +250,7 @@ def decide(found: list[Block]) -> list[bool]:
                 label = before[1] if i - before[0] < after[0] - i else after[1] if i - before[0] > after[0] - i else False
             else:
                 near = before or after
-                label = near[1] if near else not any(x.article for x in found)
+                label = near[1] if near else no_article
         if labels[i] is not None and not (b.furniture and b.article):
             last[b.article] = (i, label)
         out.append(label)
