@@ -9,15 +9,20 @@ burn-in; with discount d, strength s, counts c, tables t and the means over samp
     p(w | u) = (c_uw - d t_uw + (s + d t_u) p(w)) / (s + c_u),  p(w) = (t_w - d r_w + (s + d r) / (V + 1)) / (s + t).
 A document's score is the sum of log10 p over its words and its end; perplexity is 10 ** (-score / n_tokens).
 
-How it is distributed. A block is BLOCK_ROWS rows of the scan. Blocks send what they count as compressed packets (one
-for each shard): their distinct words with training counts, and their distinct (context, word) pairs with training
-counts, also pairs of held-out texts with count 0. Context shards merge the packets, seat the customers (using the
-shard's own dish counts as the parent's first estimate, as in approximate distributed inference), answer each packet
-entry by entry in its own order, and send their tables to the word shards, which seat the parent and answer the word
-packets. A block recomputes its own order, so answers need no keys, and scores its documents. Contexts holding more
-than 1/(2 x shards) of the training tokens (at most twice as many as there are shards) are split over all shards by
-word; their totals are summed and sent to all. What is exchanged follows the number of distinct pairs by block;
-nothing that grows with the corpus is collected or broadcast, and no count is cut off.
+How it is distributed. A block is up to BLOCK_BYTES of text of one scan partition. Blocks send what they count as
+compressed packets, one for each shard that they have anything for: their distinct words with training counts, and their
+distinct (context, word) pairs with training counts, also pairs of held-out texts with count 0. The number of shards
+follows from the table's bytes alone, so the seating, and with it each score, depends on the rows and not on the
+cluster's settings. Word shards first count the whole vocabulary, which gives the number of words and tokens and the
+contexts holding more than 1 / (2 x shards) of the training tokens (at most twice as many as there are shards); these are
+split over all shards by word, each part knowing its share of the room, and their totals are summed and sent to all.
+Context shards merge the packets, seat the customers, answer each packet entry by entry in its own order, and send their
+tables to the word shards, which seat the parent as one restaurant (base 1 / (V + 1) and the total of all tables, of which
+each shard holds its share) and answer the word packets. A block recomputes its own order, so answers need no keys, and
+scores its documents. Approximations: a context shard takes the parent's first estimate from its own dish counts (it holds
+a million tokens), and parent and child are seated once in turn, not again; discounts are estimated shard by shard.
+What is exchanged follows the number of distinct pairs by block; nothing that grows with the corpus is collected or
+broadcast, and no count is cut off.
 
 Defined results: null and empty texts are one end token; a null identifier is a training document; ``n_known`` counts
 tokens (the end too) with a training count; with no training document all probabilities come from the base.
@@ -29,20 +34,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .words import mix, word_hashes
 
-BLOCK_ROWS, BURN_IN, SAMPLES, STRENGTH = 2048, 2, 3, 1.0
+BLOCK_BYTES, BURN_IN, SAMPLES, STRENGTH = 8 << 20, 2, 3, 1.0
 #: Rounds of the estimate that seating starts from; numbers in a matrix of table weights.
 START, CELLS = 10, 1 << 20
-#: Shards for each shuffle partition: a worker holds the pairs of one shard at a time.
-SHARDS_A_PARTITION = 4
+#: Bytes of text for each shard, about a million tokens: a worker holds the pairs of one shard at a time.
+SHARD_BYTES = 6 << 20
 _END, _BEGIN = np.uint64(0x5EED_0001_E4D0_0001), np.uint64(0x5EED_0002_B361_0002)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 _PACKET = "kind string, block bigint, shard int, payload binary"
+_COUNTED = _PACKET + ", tokens bigint, texts bigint"
 _NAMES = ["kind", "block", "shard", "payload"]
 
 
@@ -151,8 +158,11 @@ def _stirling(counts: np.ndarray, widths: np.ndarray, d: float) -> list[np.ndarr
     return out
 
 
-def seat(room: np.ndarray, count: np.ndarray, parent: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
-    """Mean tables of each dish over the samples, and the discount. room: restaurant of each dish; count: its customers, 1 at least."""
+def seat(room: np.ndarray, count: np.ndarray, parent: np.ndarray, rng: np.random.Generator, share: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Mean tables of each dish over the samples, and the discount.
+
+    room: restaurant of each dish; count: its customers, 1 at least; share: the part of each restaurant that is here, if not all.
+    """
     n = len(count)
     if not n:
         return np.zeros(0), 0.75
@@ -165,16 +175,17 @@ def seat(room: np.ndarray, count: np.ndarray, parent: np.ndarray, rng: np.random
     sizes, first = np.unique(c, return_index=True)
     edges = np.append(first, len(c))
     alone = np.bincount(room, minlength=rooms) - np.bincount(r, minlength=rooms)
+    share = np.ones(rooms) if share is None else share
     t = c.astype(float) ** d  # near the tables to come, so that little has to be burnt in
     for _ in range(START):
-        total = alone + np.bincount(r, weights=t, minlength=rooms)
+        total = (alone + np.bincount(r, weights=t, minlength=rooms)) / share
         t = np.minimum(c, 1 + np.minimum((total + STRENGTH / d)[r] * p, t))
     rows: list[np.ndarray] = []
     widths = np.zeros(len(sizes), dtype=np.int64)
     mean = np.ones(n)
     mean[by_size] = 0
     for sweep in range((BURN_IN + SAMPLES) if len(c) else 0):
-        total = alone + np.bincount(r, weights=t, minlength=rooms)
+        total = (alone + np.bincount(r, weights=t, minlength=rooms)) / share
         # a gamma variable of each room makes its dishes independent: P(t) ~ S(c, t) (d u p) ** t
         fresh = rng.gamma(total + STRENGTH / d)[r] * p
         reach = np.maximum.reduceat(_reach(c, fresh), first)
@@ -199,33 +210,57 @@ def seat(room: np.ndarray, count: np.ndarray, parent: np.ndarray, rng: np.random
 # --- the four passes -----------------------------------------------------------------------------------------------
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Yields (block, rows) of a scan partition, cut where a block has BLOCK_BYTES; the same partition gives the same cuts."""
+    number, held = 0, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        base = b.column("row")[0].as_py() >> 33 << 33  # the partition's
+        sizes = pa.compute.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+        lo = 0
+        while lo < len(sizes):
+            fit = int(np.searchsorted(np.cumsum(sizes[lo:]), BLOCK_BYTES - held, side="right"))
+            if not fit and held:
+                number, held = number + 1, 0
+                continue
+            fit = max(fit, 1)
+            yield base + number, b.slice(lo, fit)
+            held += int(sizes[lo : lo + fit].sum()) + fit
+            lo += fit
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds its block to each row."""
+    for block, b in _pieces(batches):
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, block, np.int64))], [*b.schema.names, "block"])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Yields (block, tokens, row beginnings, whether each row is for training); a block's rows follow each other."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    block = None
+    now = None
 
     def joined() -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         shift = np.cumsum([0, *(len(t) for t, _, _ in held)])
-        return block, np.concatenate([t for t, _, _ in held]), np.concatenate([*(f[:-1] + s for (_, f, _), s in zip(held, shift[:-1], strict=True)), shift[-1:]]), np.concatenate([x for _, _, x in held])
-
-    for b in batches:
-        blocks = b.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if lo == hi:
-                continue
-            if block is not None and blocks[lo] != block:
-                yield joined()
-                held = []
-            block = int(blocks[lo])
-            tokens, first = _tokens(b.column("text").slice(lo, hi - lo))
-            held.append((tokens, first, b.column("train").slice(lo, hi - lo).to_numpy(zero_copy_only=False)))
+        first = np.concatenate([*(f[:-1] + s for (_, f, _), s in zip(held, shift[:-1], strict=True)), shift[-1:]])
+        return now, np.concatenate([t for t, _, _ in held]), first, np.concatenate([x for _, _, x in held])
+
+    for block, b in _pieces(batches):
+        if held and block != now:
+            yield joined()
+            held = []
+        now = block
+        held.append((*_tokens(b.column("text")), b.column("train").to_numpy(zero_copy_only=False)))
     if held:
         yield joined()
 
 
-def _batch(kind: str, block: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows)), pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], _NAMES)
+def _batch(kind: str, block: int, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of (shard, payload, further numbers)."""
+    more = [pa.array([r[k] for r in rows], pa.int64()) for k in range(2, len(rows[0]))]
+    columns = [pa.array([kind] * len(rows), pa.string()), pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())]
+    return pa.RecordBatch.from_arrays([*columns, *more], [*_NAMES, "tokens", "texts"][: 4 + len(more)])
 
 
 def _cuts(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -239,23 +274,42 @@ def _word_packets(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, tokens, first, train in _blocks(batches):
             words, inverse = np.unique(tokens, return_inverse=True)
-            own = np.repeat(train, np.diff(first))
-            counts = np.bincount(inverse, weights=own, minlength=len(words)).astype(np.uint32)
-            yield _batch("word", block, [(s, _pack(_delta(words[lo:hi]), counts[lo:hi])) for s, lo, hi in _cuts(_shard(words, shards))])
-            # contexts that may be hot: a block has fewer than 8 x shards of them
-            often = np.flatnonzero(counts > own.sum() / (8 * shards))
-            often = np.concatenate([words[often].view(np.int64), [_BEGIN.astype(np.int64)]])
-            sizes = np.concatenate([counts[np.flatnonzero(counts > own.sum() / (8 * shards))], [train.sum()]])
-            yield _batch("often", block, [(0, _pack(np.asarray(often, np.int64), np.asarray(sizes, np.int64)))])
+            counts = np.bincount(inverse, weights=np.repeat(train, np.diff(first)), minlength=len(words)).astype(np.uint32)
+            texts = int(train.sum())
+            rows = []
+            for s, lo, hi in _cuts(_shard(words, shards)):
+                rows.append((s, _pack(_delta(words[lo:hi]), counts[lo:hi]), int(counts[lo:hi].sum()), texts))
+                texts = 0  # a block's texts count once
+            if rows:
+                yield _batch("word", block, rows)
 
     return run
 
 
-def _unfold_often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for payload in b.column("payload").to_pylist():
-            words, counts = _unpack(payload, np.int64, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], ["word", "n"])
+def _merged(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Distinct words of packets, their training counts, each entry's place among them, and the packets' lengths."""
+    words, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    for p in payloads:
+        w, n = _unpack(p, np.uint64, np.uint32)
+        words.append(np.cumsum(w, dtype=np.uint64))
+        counts.append(n)
+    known, at = np.unique(np.concatenate(words), return_inverse=True)
+    return known, np.bincount(at, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64), at, [len(w) for w in words[1:]]
+
+
+_VOCABULARY = "word bigint, n bigint"
+
+
+def _count_words(often: int):
+    """For each word shard: how many words have a training count (a row without a word), and the words with ``often`` at least."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        known, total, _, _ = _merged(table.column("payload").to_pylist())
+        many = np.flatnonzero(total >= often)
+        words = [None, *known[many].view(np.int64).tolist()]
+        return pa.table([pa.array(words, pa.int64()), pa.array([int((total > 0).sum()), *total[many].tolist()], pa.int64())], names=["word", "n"])
+
+    return run
 
 
 def _pair_packets(shards: int, hot: np.ndarray):
@@ -270,7 +324,8 @@ def _pair_packets(shards: int, hot: np.ndarray):
                 if len(rows) >= 64:
                     yield _batch("pair", block, rows)
                     rows = []
-            yield _batch("pair", block, rows)
+            if rows:
+                yield _batch("pair", block, rows)
 
     return run
 
@@ -278,7 +333,7 @@ def _pair_packets(shards: int, hot: np.ndarray):
 _SEATED = "kind string, block bigint, shard int, payload binary, context bigint, customers double, tables double"
 
 
-def _seat_contexts(shards: int, hot: np.ndarray, hot_shards_seed: int = 7):
+def _seat_contexts(shards: int, hot: np.ndarray, vocabulary: int, seed: int = 7):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         order = np.argsort(table.column("block").to_numpy(), kind="stable")
@@ -300,9 +355,11 @@ def _seat_contexts(shards: int, hot: np.ndarray, hot_shards_seed: int = 7):
         dishes, dish = np.unique(w[at], return_inverse=True)
         by_dish = np.bincount(dish, weights=total, minlength=len(dishes))
         seen = np.flatnonzero(total > 0)
-        parent = ((by_dish + 0.5) / (by_dish.sum() + 0.5 * (len(dishes) + 1)))[dish[seen]]
+        parent = ((by_dish + 0.5) / (by_dish.sum() + 0.5 * (vocabulary + 1)))[dish[seen]]
         tables = np.zeros(len(at))
-        tables[seen], d = seat(room[seen], total[seen], parent, np.random.default_rng([shard, hot_shards_seed]))
+        taken, own = np.unique(room[seen], return_inverse=True)
+        share = np.where(np.isin(rooms[taken], hot), 1.0 / shards, 1.0)  # a hot context's words are spread evenly
+        tables[seen], d = seat(own, total[seen], parent, np.random.default_rng([shard, seed]), share)
         customers = np.bincount(room, weights=total, minlength=len(rooms))
         discounted = d * np.bincount(room, weights=tables, minlength=len(rooms))
         numerator = (total - d * tables).astype(np.float32)
@@ -316,7 +373,7 @@ def _seat_contexts(shards: int, hot: np.ndarray, hot_shards_seed: int = 7):
         keep = sent > 0
         dishes, sent = dishes[keep], sent[keep]
         for s, a, b in _cuts(_shard(dishes, shards)):
-            rows.append(("tables", -1, s, _pack(_delta(dishes[a:b]), sent[a:b].astype(np.float32)), None, None, None))
+            rows.append(("tables", -1, s, _pack(_delta(dishes[a:b]), sent[a:b]), None, None, None))
         for k in np.flatnonzero(np.isin(rooms, hot)):
             rows.append(("hot", -1, shard, None, int(rooms[k].astype(np.int64)), float(customers[k]), float(discounted[k])))
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64()]
@@ -325,45 +382,36 @@ def _seat_contexts(shards: int, hot: np.ndarray, hot_shards_seed: int = 7):
     return run
 
 
-_ANSWERED = "kind string, block bigint, shard int, payload binary, vocabulary bigint, tokens bigint, customers double, tables double"
+_ANSWERED = "kind string, block bigint, shard int, payload binary, customers double, tables double"
 
 
-def _seat_words():
+def _seat_words(vocabulary: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         rows: list[tuple] = []
         kinds = np.array(table.column("kind").to_pylist())
         blocks, payloads = table.column("block").to_numpy(), table.column("payload").to_pylist()
         asked = sorted((int(blocks[i]), payloads[i]) for i in np.flatnonzero(kinds == "word"))
-        words, counts = [], []
-        for _, p in asked:
-            w, n = _unpack(p, np.uint64, np.uint32)
-            words.append(np.cumsum(w, dtype=np.uint64))
-            counts.append(n)
-        sizes = [len(w) for w in words]
-        if not sizes:
-            words, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-        known, at = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64)
+        known, total, at, sizes = _merged([p for _, p in asked])
         sent = np.zeros(len(known))
         for i in np.flatnonzero(kinds == "tables"):
-            w, t = _unpack(payloads[i], np.uint64, np.float32)
+            w, t = _unpack(payloads[i], np.uint64, np.float64)
             sent += np.bincount(np.searchsorted(known, np.cumsum(w, dtype=np.uint64)), weights=t, minlength=len(known))
-        vocabulary = int((total > 0).sum())
         customers = np.where(total > 0, np.maximum(1, np.rint(sent)), 0).astype(np.int64)
         seen = np.flatnonzero(customers > 0)
         tables = np.zeros(len(known))
         base = np.full(len(seen), 1.0 / (vocabulary + 1))
-        tables[seen], d = seat(np.zeros(len(seen), dtype=np.int64), customers[seen], base, np.random.default_rng([shard, 11]))
+        share = np.array([len(seen) / max(1, vocabulary)])
+        tables[seen], d = seat(np.zeros(len(seen), dtype=np.int64), customers[seen], base, np.random.default_rng([shard, 11]), share)
         numerator = (customers - d * tables).astype(np.float32)
         lo = 0
         for (block, _), size in zip(asked, sizes, strict=True):
             own = at[lo : lo + size]
-            rows.append(("word", block, shard, _pack(total[own].astype(np.uint32) if total.max() < 1 << 32 else total[own], numerator[own]), None, None, None, None))
+            rows.append(("word", block, shard, _pack(total[own], numerator[own]), None, None))
             lo += size
-        rows.append(("stats", -1, shard, None, vocabulary, int(total.sum()), float(customers.sum()), float(d * tables.sum())))
-        types = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=[*_NAMES, "vocabulary", "tokens", "customers", "tables"])
+        rows.append(("stats", -1, shard, None, float(customers.sum()), float(d * tables.sum())))
+        types = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=[*_NAMES, "customers", "tables"])
 
     return run
 
@@ -380,7 +428,7 @@ def _score(shards: int, hot: np.ndarray, hot_customers: np.ndarray, hot_tables:
         kinds = answers.column("kind").to_pylist()
         got = sorted(zip(kinds, answers.column("shard").to_pylist(), answers.column("payload").to_pylist(), strict=True), key=lambda x: x[:2])
         words, at = np.unique(tokens, return_inverse=True)
-        parts = [_unpack(p, np.uint32, np.float32) for kind, _, p in got if kind == "word"]
+        parts = [_unpack(p, np.int64, np.float32) for kind, _, p in got if kind == "word"]
         count, numerator = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         c, w, shard, place = _pairs(tokens, first, hot, shards)
         top, room_c, room_t = [], [], []
@@ -415,26 +463,32 @@ def _score(shards: int, hot: np.ndarray, hot_customers: np.ndarray, hot_tables:
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores all documents with a model of those that are not held out (held_out: a boolean column of docs)."""
-    spark = docs.sparkSession
-    shards = SHARDS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    row = F.monotonically_increasing_id()
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"), row.alias("row"))
-    own = own.withColumn("block", F.shiftright("row", 11))  # BLOCK_ROWS rows of one partition
-    asked = written(own.select("text", "train", "block").mapInArrow(_word_packets(shards), _PACKET), "words")
-    often = asked.filter("kind = 'often'").select("payload").mapInArrow(_unfold_often, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    # contexts holding 1 / (2 x shards) of what the frequent ones hold together: at most 2 x shards rows
-    together = often.agg(F.sum("n")).first()[0] or 0
-    frequent = often.filter(F.col("n") * (2 * shards) >= max(1, together)).collect()
-    hot = np.sort(np.array([r.word for r in frequent], dtype=np.int64).view(np.uint64))
-    pairs = own.select("text", "train", "block").mapInArrow(_pair_packets(shards, hot), _PACKET)
-    seated = written(pairs.groupBy("shard").applyInArrow(_seat_contexts(shards, hot), _SEATED), "contexts")
+    own = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"), F.monotonically_increasing_id().alias("row")
+    )
+    scanned = own.select("text", "train", "row")
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 1)).first()[0] or 0
+    shards = 1 + size // SHARD_BYTES
+    asked = written(scanned.mapInArrow(_word_packets(shards), _COUNTED), "words")
+    tokens, texts = (x or 0 for x in asked.agg(F.sum("tokens"), F.sum("texts")).first())
+    # contexts with 1 / (2 x shards) of the tokens: at most 2 x shards rows, and one row a shard
+    often = max(2, -(-tokens // (2 * shards)))
+    counted = asked.select(*_NAMES).groupBy("shard").applyInArrow(_count_words(often), _VOCABULARY).groupBy("word").agg(F.sum("n").alias("n")).collect()
+    vocabulary = sum(r.n for r in counted if r.word is None)
+    end, begin = (int(x.astype(np.int64)) for x in (_END, _BEGIN))
+    frequent = [r.word for r in counted if r.word is not None and r.word != end] + [begin] * (texts >= often)
+    hot = np.sort(np.array(frequent, dtype=np.int64).view(np.uint64))
+    pairs = scanned.mapInArrow(_pair_packets(shards, hot), _PACKET)
+    seated = written(pairs.groupBy("shard").applyInArrow(_seat_contexts(shards, hot, vocabulary), _SEATED), "contexts")
     sums = {r.context: (r.c, r.t) for r in seated.filter("kind = 'hot'").groupBy("context").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect()}  # at most 2 x shards
     hot_sums = [sums.get(int(h), (0.0, 0.0)) for h in hot.view(np.int64)]
-    both = asked.filter("kind = 'word'").select(*_NAMES).unionByName(seated.filter("kind = 'tables'").select(*_NAMES))
-    answered = written(both.groupBy("shard").applyInArrow(_seat_words(), _ANSWERED), "answers")
-    stats = answered.filter("kind = 'stats'").agg(F.sum("vocabulary"), F.sum("tokens"), F.sum("customers"), F.sum("tables")).first()
-    stats = tuple(x or 0 for x in stats)
+    both = asked.select(*_NAMES).unionByName(seated.filter("kind = 'tables'").select(*_NAMES))
+    answered = written(both.groupBy("shard").applyInArrow(_seat_words(vocabulary), _ANSWERED), "answers")
+    discard(asked)
+    parent = answered.filter("kind = 'stats'").agg(F.sum("customers"), F.sum("tables")).first()
+    stats = (vocabulary, tokens, *(x or 0.0 for x in parent))
     answers = answered.filter("kind = 'word'").select(*_NAMES).unionByName(seated.filter("kind = 'pair'").select(*_NAMES))
     run = _score(shards, hot, np.array([s[0] for s in hot_sums]), np.array([s[1] for s in hot_sums]), stats)
-    out = own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _SCORES)
+    placed = own.mapInArrow(_numbered, "doc_id bigint, text string, train boolean, row bigint, block bigint")
+    out = placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _SCORES)
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
