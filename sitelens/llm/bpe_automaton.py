@@ -37,7 +37,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .parts import Parts
+from .parts import Parts, joined
 
 #: The pattern by which byte-level BPE splits a text into words.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -199,19 +199,26 @@ def load(path: str) -> Automaton:
 
 
 class Encoder:
-    """Encodes whole texts with one automaton. A part's value: ids as int32, their decimal strings each with a comma, emitted labels."""
+    """Encodes whole texts with one automaton. A part's value is its ids as int32."""
 
     def __init__(self, path: str) -> None:
         self.automaton = load(path)
         names = sorted(self.automaton.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.parts = Parts(lambda new: [self._value(p) for p in new], [s.encode() for s in names])
+        ids = range(max(self.automaton.labels, default=0) + 1)
+        self.decimals = pa.array([f"{i},".encode() for i in ids], pa.large_binary())
+        self.emitted = pa.array([self.automaton.labels.get(i, b"") for i in ids], pa.large_binary())
 
-    def _value(self, part: bytes) -> tuple[bytes, bytes, bytes]:
+    def _value(self, part: bytes) -> bytes:
         # a space and ASCII letters are one word, which needs no splitting
         ids = self.automaton.encode_word(part) if part[1:].isalpha() and (part[0] == 0x20 or part[:1].isalpha()) else self.encode(part.decode())
-        emitted = b"".join([self.automaton.labels[i] for i in ids])
-        return _INT32[len(ids)](*ids) if len(ids) < len(_INT32) else struct.pack(f"<{len(ids)}i", *ids), (",".join(map(str, ids)) + ",").encode(), emitted
+        return _INT32[len(ids)](*ids) if len(ids) < len(_INT32) else struct.pack(f"<{len(ids)}i", *ids)
+
+    def rows(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Yields (first row, where each row's ids begin, ids) for runs of whole texts."""
+        for lo, at, raw in self.parts.rows(texts):
+            yield lo, at // 4, np.frombuffer(raw, dtype="<i4", count=int(at[-1]) // 4)
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text, word by word."""
@@ -238,10 +245,8 @@ def encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", to: str = "ids") -> DataFrame:
     """Adds the ids of each whole text as array<int>."""
 
-    def made(columns: list[tuple[np.ndarray, memoryview]], n: int) -> list[pa.Array]:
-        (at, raw), *_ = columns or [(np.zeros(n + 1, np.int64), memoryview(b""))]
-        ids = np.frombuffer(raw[at[0] : at[-1]], dtype="<i4")
-        return [pa.ListArray.from_arrays(pa.array(((at - at[0]) // 4).astype(np.int32)), pa.array(ids))]
+    def made(e: Encoder, first: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))]
 
     return _map(docs, tokenizer, text_col, [(to, "array<int>")], made)
 
@@ -276,13 +281,14 @@ def _text_digest(raw: memoryview, lo: int, hi: int) -> str:
 def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Encodes and decodes each whole text: keep, n_tokens, ids_sha256, decoded_sha256. No shuffle."""
 
-    def made(columns: list[tuple[np.ndarray, memoryview]], n: int) -> list[pa.Array]:
-        (ids, _), (decimal, digits), (emitted, text) = columns or [(np.zeros(n + 1, np.int64), memoryview(b""))] * 3
-        of, to = decimal.tolist(), emitted.tolist()
+    def made(e: Encoder, first: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
+        places = pa.array(ids)
+        of, digits = joined(e.decimals, places, first)
+        to, text = joined(e.emitted, places, first)
         return [
-            pa.array(np.diff(ids) // 4),
-            pa.array([_digest(digits, a, max(a, b - 1)) for a, b in zip(of[:-1], of[1:], strict=True)], pa.string()),
-            pa.array([_text_digest(text, a, b) for a, b in zip(to[:-1], to[1:], strict=True)], pa.string()),
+            pa.array(np.diff(first)),
+            pa.array([_digest(digits, a, max(a, b - 1)) for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True)], pa.string()),
+            pa.array([_text_digest(text, a, b) for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)], pa.string()),
         ]
 
     return _map(docs, tokenizer, text_col, [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")], made, keep)
@@ -296,7 +302,7 @@ def _map(docs: DataFrame, tokenizer: str, text_col: str, adds: list[tuple[str, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         for b in batches:
-            for lo, hi, columns in e.parts.columns(b.column(text_col)):
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in names), *made(columns, hi - lo)], [*names, *new])
+            for lo, first, ids in e.rows(b.column(text_col)):
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, len(first) - 1) for c in names), *made(e, first, ids)], [*names, *new])
 
     return docs.select(*dict.fromkeys([*names, text_col])).mapInArrow(run, schema)

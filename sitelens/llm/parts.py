@@ -18,8 +18,8 @@ import pyarrow as pa
 from .words import chunks
 
 #: Bytes of a chunk; of the values kept in a generation, at ENTRY_BYTES each; parts longer than LONG_PART are not kept.
-CHUNK_BYTES, KEPT_BYTES, LONG_PART = 4 << 20, 96 << 20, 1 << 8
-ENTRY_BYTES = 400
+CHUNK_BYTES, KEPT_BYTES, LONG_PART = 2 << 20, 32 << 20, 1 << 8
+ENTRY_BYTES = 240
 
 _GRAPH = np.zeros(256, dtype=bool)
 _GRAPH[0x21:0x7F] = True
@@ -54,16 +54,24 @@ def starts(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray | None = Non
     return np.flatnonzero(cut)
 
 
+def joined(values: pa.Array, places: pa.Array, first: np.ndarray) -> tuple[np.ndarray, memoryview]:
+    """Values taken in the order of places, as one run of bytes, and where in it the rows begin whose first places are given."""
+    taken = values.take(places)
+    _, where, raw = taken.buffers()
+    sizes = np.frombuffer(where, dtype=np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    return sizes[first], memoryview(raw) if raw is not None else memoryview(b"")
+
+
 class Parts:
-    """Values of parts, made once by ``make(list of new parts)``; a value is a tuple of byte strings."""
+    """Values of parts, byte strings made once by ``make(list of new parts)``."""
 
-    def __init__(self, make: Callable[[list[bytes]], list[tuple[bytes, ...]]], special: list[bytes]) -> None:
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]], special: list[bytes]) -> None:
         self.make, self.special = make, [s for s in special if s]
-        self.young: dict[bytes, tuple[bytes, ...]] = {}
-        self.old: dict[bytes, tuple[bytes, ...]] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.held = 0
 
-    def values(self, parts: list[bytes]) -> list[tuple[bytes, ...]]:
+    def values(self, parts: list[bytes]) -> list[bytes]:
         """Values of distinct parts, in order."""
         if self.held > KEPT_BYTES:
             self.old, self.young, self.held = self.young, {}, 0
@@ -86,22 +94,15 @@ class Parts:
                     young.pop(p, None)
         return out
 
-    def columns(self, texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray, memoryview]]]]:
-        """Yields (first row, end row, for each place of the value: byte offsets of the rows and the joined bytes)."""
-        for lo, hi, data, offsets in chunks(texts, CHUNK_BYTES):
+    def rows(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, memoryview]]:
+        """Yields (first row, byte offsets of the rows' joined values, the values) for runs of rows."""
+        for lo, _, data, offsets in chunks(texts, CHUNK_BYTES):
             at = starts(data, offsets, self._whole(data, offsets))
             first = np.searchsorted(at, offsets, side="left")
             ends = np.append(at, len(data)).astype(np.int64)
             array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
             coded = array.dictionary_encode()
-            values = self.values(coded.dictionary.to_pylist())
-            out = []
-            for column in zip(*values, strict=True) if values else ():
-                joined = pa.array(column, pa.large_binary()).take(coded.indices)
-                _, where, raw = joined.buffers()
-                sizes = np.frombuffer(where, dtype=np.int64)[joined.offset : joined.offset + len(joined) + 1]
-                out.append((sizes[first], memoryview(raw) if raw is not None else memoryview(b"")))
-            yield lo, hi, out
+            yield lo, *joined(pa.array(self.values(coded.dictionary.to_pylist()), pa.large_binary()), coded.indices, first)
 
     def _whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray | None:
         """Rows with a special token's string."""

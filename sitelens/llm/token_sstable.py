@@ -230,10 +230,10 @@ class LibraryEncoder:
             packed.byteswap()
         return packed.tobytes()
 
-    def _make(self, parts: list[bytes]) -> list[tuple[bytes]]:
+    def _make(self, parts: list[bytes]) -> list[bytes]:
         """Ids of new parts. Those that start with a space and a printable character, where every split has a boundary, go
         to the library as one text, whose ids are cut where the bytes of the parts end. The others go to it one by one."""
-        out: list[tuple[bytes]] = [()] * len(parts)
+        out = [b""] * len(parts)
         inner = [i for i, p in enumerate(parts) if p[0] == 0x20 and p[1:2].isalnum()] if self.joins else []
         rest = range(len(parts))
         if inner:
@@ -245,19 +245,17 @@ class LibraryEncoder:
             if ends[-1] == want[-1] and np.array_equal(ends[cuts], want):
                 packed, at = ids.astype(f"<u{self.width}").tobytes(), 0
                 for i, cut in zip(inner, ((cuts + 1) * self.width).tolist(), strict=True):
-                    out[i] = (packed[at:cut],)
+                    out[i] = packed[at:cut]
                     at = cut
                 rest = [i for i in rest if not out[i]]
         if rest:
             for i, e in zip(rest, self.lib.encode_batch_fast([parts[i].decode() for i in rest], add_special_tokens=False), strict=True):
-                out[i] = (self.pack(e.ids),)
+                out[i] = self.pack(e.ids)
         return out
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, memoryview]]:
         """Yields (first row, byte offsets of the rows, packed ids of the rows) for runs of whole texts."""
-        for lo, hi, columns in self.parts.columns(texts):
-            at, raw = columns[0] if columns else (np.zeros(hi - lo + 1, np.int64), memoryview(b""))
-            yield lo, at, raw
+        return self.parts.rows(texts)
 
 
 _encoders: dict[str, LibraryEncoder] = {}
