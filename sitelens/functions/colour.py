@@ -125,25 +125,41 @@ def lab(r: Column, g: Column, b: Column) -> Column:
     return F.struct((116 * f(y) - 16).alias("l"), (500 * (f(x) - f(y))).alias("a"), (200 * (f(y) - f(z))).alias("b"))
 
 
+def _held(x: Column, f) -> Column:
+    """f of x, with x computed once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def delta_e(p: Column, q: Column) -> Column:
     """CIEDE2000 of two Lab structs, four places (Sharma, Wu and Dalal 2005)."""
-    c1, c2 = F.hypot(p["a"], p["b"]), F.hypot(q["a"], q["b"])
-    m7 = F.pow((c1 + c2) / 2, F.lit(7.0))
-    g = 0.5 * (1 - F.sqrt(m7 / (m7 + 6103515625.0)))
-    a1, a2 = p["a"] * (1 + g), q["a"] * (1 + g)
-    d1, d2 = F.hypot(a1, p["b"]), F.hypot(a2, q["b"])
-    angle = lambda y, x: F.when((x == 0) & (y == 0), F.lit(0.0)).otherwise(F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)))
-    h1, h2 = angle(p["b"], a1), angle(q["b"], a2)
-    none = d1 * d2 == 0
-    turn = h2 - h1
-    dh = F.when(none, F.lit(0.0)).when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn)
-    hm = F.when(none, h1 + h2).when(F.abs(h1 - h2) <= 180, (h1 + h2) / 2).when(h1 + h2 < 360, (h1 + h2 + 360) / 2).otherwise((h1 + h2 - 360) / 2)
-    lm, cm = (p["l"] + q["l"]) / 2, (d1 + d2) / 2
     cos = lambda x: F.cos(F.radians(x))
-    t = 1 - 0.17 * cos(hm - 30) + 0.24 * cos(2 * hm) + 0.32 * cos(3 * hm + 6) - 0.20 * cos(4 * hm - 63)
-    sl = 1 + 0.015 * F.pow(lm - 50, F.lit(2.0)) / F.sqrt(20 + F.pow(lm - 50, F.lit(2.0)))
-    sc, sh = 1 + 0.045 * cm, 1 + 0.015 * cm * t
-    cm7 = F.pow(cm, F.lit(7.0))
-    rt = -F.sin(F.radians(60 * F.exp(-F.pow((hm - 275) / 25, F.lit(2.0))))) * 2 * F.sqrt(cm7 / (cm7 + 6103515625.0))
-    dl, dc, dd = (q["l"] - p["l"]) / sl, (d2 - d1) / sc, 2 * F.sqrt(d1 * d2) * F.sin(F.radians(dh / 2)) / sh
-    return fixed(F.sqrt(dl * dl + dc * dc + dd * dd + rt * dc * dd), 4)
+    angle = lambda y, x: F.when((x == 0) & (y == 0), F.lit(0.0)).otherwise(F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)))
+
+    def primed(v: Column) -> Column:
+        m7 = F.pow((F.hypot(v["p"]["a"], v["p"]["b"]) + F.hypot(v["q"]["a"], v["q"]["b"])) / 2, F.lit(7.0))
+        return F.struct(v["p"].alias("p"), v["q"].alias("q"), (1.5 - 0.5 * F.sqrt(m7 / (m7 + 6103515625.0))).alias("g"))
+
+    def polar(v: Column) -> Column:
+        a1, a2, b1, b2 = v["p"]["a"] * v["g"], v["q"]["a"] * v["g"], v["p"]["b"], v["q"]["b"]
+        return F.struct(v["p"]["l"].alias("l1"), v["q"]["l"].alias("l2"), F.hypot(a1, b1).alias("d1"), F.hypot(a2, b2).alias("d2"), angle(b1, a1).alias("h1"), angle(b2, a2).alias("h2"))
+
+    def means(v: Column) -> Column:
+        h1, h2, none = v["h1"], v["h2"], v["d1"] * v["d2"] == 0
+        dh = F.when(none, F.lit(0.0)).when(h2 - h1 > 180, h2 - h1 - 360).when(h2 - h1 < -180, h2 - h1 + 360).otherwise(h2 - h1)
+        hm = F.when(none, h1 + h2).when(F.abs(h1 - h2) <= 180, (h1 + h2) / 2).when(h1 + h2 < 360, (h1 + h2 + 360) / 2).otherwise((h1 + h2 - 360) / 2)
+        low = F.pow((v["l1"] + v["l2"]) / 2 - 50, F.lit(2.0))
+        return F.struct(v.alias("v"), dh.alias("dh"), hm.alias("hm"), low.alias("low"), ((v["d1"] + v["d2"]) / 2).alias("cm"))
+
+    def distance(m: Column) -> Column:
+        v, hm, cm = m["v"], m["hm"], m["cm"]
+        t = 1 - 0.17 * cos(hm - 30) + 0.24 * cos(2 * hm) + 0.32 * cos(3 * hm + 6) - 0.20 * cos(4 * hm - 63)
+        turn = -F.sin(F.radians(60 * F.exp(-F.pow((hm - 275) / 25, F.lit(2.0))))) * 2
+        cm7 = F.pow(cm, F.lit(7.0))
+        dl = (v["l2"] - v["l1"]) / (1 + 0.015 * m["low"] / F.sqrt(20 + m["low"]))
+        dc = (v["d2"] - v["d1"]) / (1 + 0.045 * cm)
+        dd = 2 * F.sqrt(v["d1"] * v["d2"]) * F.sin(F.radians(m["dh"] / 2)) / (1 + 0.015 * cm * t)
+        parts = F.struct(dl.alias("l"), dc.alias("c"), dd.alias("h"), (turn * F.sqrt(cm7 / (cm7 + 6103515625.0))).alias("r"))
+        return _held(parts, lambda x: F.sqrt(x["l"] * x["l"] + x["c"] * x["c"] + x["h"] * x["h"] + x["r"] * x["c"] * x["h"]))
+
+    both = F.struct(p.alias("p"), q.alias("q"))
+    return fixed(_held(both, lambda a: _held(primed(a), lambda b: _held(polar(b), lambda c: _held(means(c), distance)))), 4)

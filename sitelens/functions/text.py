@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,19 +35,60 @@ def sentences(text: Column) -> Column:
     """Distinct sentences of 28 to 320 characters that hold a space, a letter, at most two stops and no boilerplate."""
     split = F.split(F.regexp_replace(text, r"([.!?…])\s+", "$1\n"), "\n")
     trimmed = F.transform(split, lambda s: F.trim(s))
-    low = lambda s: F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda m: F.contains(F.lower(s), m))
-    return F.array_distinct(F.filter(trimmed, lambda s: F.length(s).between(28, 320) & s.rlike("[A-Za-z]") & F.contains(s, F.lit(" ")) & (F.length(s) - F.length(F.translate(s, ".!?", "")) <= 2) & s.rlike("^[A-Z0-9\"']") & ~low(s)))
+    return F.array_distinct(F.filter(trimmed, lambda s: F.length(s).between(28, 320) & s.rlike("[A-Za-z]") & F.contains(s, F.lit(" ")) & (F.length(s) - F.length(F.translate(s, ".!?", "")) <= 2) & s.rlike("^[A-Z0-9\"']") & ~F.lower(s).rlike(_any(BOILERPLATE))))
+
+
+def _any(terms: list[str]) -> str:
+    return "(?:" + "|".join(re.escape(t) for t in terms) + ")"
+
+
+def _apart(terms: list[str], bounded: bool) -> list[list[str]]:
+    """Groups of terms of which no two can match at overlapping places, so that one pass counts a whole group."""
+
+    def clash(x: str, y: str) -> bool:
+        edge = r"(?<![a-z0-9_])%s(?![a-z0-9_])" if bounded else "%s"
+        if x == y or re.search(edge % re.escape(x), y) or re.search(edge % re.escape(y), x):
+            return True
+        return not bounded and any(x.endswith(y[:n]) or y.endswith(x[:n]) for n in range(1, min(len(x), len(y))))
+
+    groups: list[list[str]] = []
+    for t in terms:
+        for g in groups:
+            if not any(clash(t, x) for x in g):
+                g.append(t)
+                break
+        else:
+            groups.append([t])
+    return groups
+
+
+def tokens(text: Column) -> Column:
+    """Runs of ASCII letters, digits and underscores of lower-cased text, with empty strings at the ends."""
+    return F.split(F.lower(text), "[^a-z0-9_]+")
+
+
+def _among(words: Column, terms: list[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(terms)))
+
 
+def term_count(text: Column, terms: list[str], words: Column | None = None) -> Column:
+    """Occurrences of all terms in lower-cased text: words on ASCII boundaries, phrases as substrings.
 
-def term_count(text: Column, terms: list[str]) -> Column:
-    """Occurrences of all terms in lower-cased text: words on ASCII boundaries, phrases as substrings."""
+    words: the text's ``tokens``, where several counts share them; terms that are no single token take a pass each group.
+    """
     low = F.lower(text)
-    words = [t for t in terms if " " not in t]
+    words = tokens(text) if words is None else words
     total: Column = F.lit(0)
-    for t in sorted(set(words)):
-        total = total + F.regexp_count(low, F.lit(f"(?<![A-Za-z0-9_]){t}(?![A-Za-z0-9_])")) * words.count(t)
-    for t in (x for x in terms if " " in x):
-        total = total + F.regexp_count(low, F.lit(t))
+    plain = [t for t in terms if re.fullmatch("[a-z0-9_]+", t)]
+    while plain:  # a term listed twice counts twice
+        once = list(dict.fromkeys(plain))
+        total = total + _among(words, once)
+        for t in once:
+            plain.remove(t)
+    for g in _apart([t for t in terms if " " not in t and not re.fullmatch("[a-z0-9_]+", t)], True):
+        total = total + F.regexp_count(low, F.lit(f"(?<![A-Za-z0-9_]){_any(g)}(?![A-Za-z0-9_])"))
+    for g in _apart([t for t in terms if " " in t], False):
+        total = total + F.regexp_count(low, F.lit(_any(g)))
     return total
 
 

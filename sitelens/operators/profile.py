@@ -11,7 +11,14 @@ from ..functions.numbers import clamp01, fixed
 from ..sources.tables import read
 
 #: Words that carry no message.
-STOP = "a an and are as at be by for from has in is it of on or that the this to was were with you your we our".split()
+STOP = (
+    "a an the and or but if then than that this these those for with without from into over under about "
+    "your you our we us they their it its is are was were be been being do does did have has had will "
+    "can could should would may might must not no yes all any some more most less least new every each "
+    "how what why when where who which while as by at of to in on up out so such only own same too very "
+    "just now here there also get got make made use used using help helps like love best great good better "
+    "one two three first second next last other another via per plus vs"
+).split()
 
 
 def _copy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +56,9 @@ def html_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexicon_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexicon hits of each source's documents."""
     d = read(spark, sf_dir, "documents")
-    return d.groupBy("source").agg(*[F.sum(T.term_count(F.col("text"), terms)).cast("bigint").alias(name) for name, terms in T.LEXICONS.items()])
+    d = d.select("source", "text", T.tokens(F.col("text")).alias("words"))
+    counts = d.select("source", *[T.term_count(F.col("text"), terms, F.col("words")).alias(name) for name, terms in T.LEXICONS.items()])
+    return counts.groupBy("source").agg(*[F.sum(name).cast("bigint").alias(name) for name in T.LEXICONS])
 
 
 def syllable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +67,16 @@ def syllable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-level headings of pages: text and words."""
-    h = F.explode(F.regexp_extract_all("html", F.lit("(?is)<h1[^>]*>(.*?)</h1>"), 1))
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.col("h"), "<[^>]+>", " "), r"[ \t\r\n]+", " "))
-    return read(spark, sf_dir, "pages").select("page_id", h.alias("h")).select("page_id", clean.alias("heading")).filter(F.length("heading").between(4, 220)).withColumn("words", F.size(F.split("heading", " ")))
+    """Headings of pages with their level: 4 to 220 characters, at most 24 words, no navigation."""
+    found = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)(<h([1-6])[^>]*>.*?</h\2>)"), 1))
+    rows = read(spark, sf_dir, "pages").select("page_id", found.alias("h"))
+    inner = F.regexp_replace(F.regexp_replace("h", "<[^>]+>", " "), r"[ \t\r\n]+", " ")
+    rows = rows.select("page_id", F.substring("h", 3, 1).cast("int").alias("level"), F.trim(inner).alias("heading")).withColumn("words", F.size(F.split("heading", " ")))
+    return rows.filter(F.length("heading").between(4, 220) & (F.col("words") <= 24) & ~F.col("heading").rlike(f"(?i)^{NAVIGATION}") & F.col("heading").rlike("[A-Za-z0-9_]"))
+
+
+#: How headings that are navigation begin.
+NAVIGATION = "(home|menu|search|sign in|log ?in|sign ?up|contact|about|blog|news|privacy|terms|cookie|skip to|next|previous|close|open|toggle)"
 
 
 def _terms(df: DataFrame, col: str) -> DataFrame:
@@ -72,7 +87,7 @@ def _terms(df: DataFrame, col: str) -> DataFrame:
 
 def salience(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tf x ln(1 + N / df) of heading terms, the top 50 by weight and term."""
-    h = headings(spark, sf_dir)
+    h = headings(spark, sf_dir).filter("level <= 3")
     n = h.agg(F.count("*").alias("total"))
     t = _terms(h, "heading").groupBy("term").agg(F.count("*").alias("tf"), F.countDistinct("page_id").alias("doc_freq"))
     w = t.join(F.broadcast(n)).select("term", "tf", "doc_freq", fixed(F.col("tf") * F.log(1 + F.col("total") / F.col("doc_freq")), 3).alias("weight"))
@@ -86,7 +101,7 @@ def pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tagline_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of each heading as a tagline."""
-    h = headings(spark, sf_dir)
+    h = headings(spark, sf_dir).filter("level = 1")
     low = F.lower("heading")
     s = 10 - 1.2 * F.abs(F.col("words") - 7) - F.when(F.col("heading").rlike("[.!?]$"), 2).otherwise(0) + 3 + F.when(low.rlike("(?<![a-z0-9_])(free|today|now|fastest|best|leading|all-in-one)(?![a-z0-9_])"), 1).otherwise(0)
     return h.select("page_id", "heading", fixed(s.cast("double"), 2).alias("score"))

@@ -24,9 +24,12 @@ BANDS = (
 def tone_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven tone axes from 0 to 1 of each document, from lexicon rates; a document without words has the axes of no hits."""
     t = F.lower(F.coalesce("text", F.lit("")))
-    count = lambda name: F.regexp_count(t, F.lit(COPY[name]))
+    count = lambda name: F.regexp_count(F.col("t"), F.lit(COPY[name]))
     words = F.size(F.filter(F.split(F.translate(t, "\t\n\r", "   "), " "), lambda w: w != ""))
-    d = read(spark, sf_dir, "documents").select("doc_id", words.alias("words"), *[count(n).alias(n) for n in ("you", "we", "they", "exclamations")], *[T.term_count(t, T.LEXICONS[n]).alias(n) for n in ("hedges", "power", "formality", "casual", "jargon")])
+    d = read(spark, sf_dir, "documents").select("doc_id", t.alias("t"), words.alias("words"), T.tokens(t).alias("tokens"))
+    t = F.col("t")
+    copy = [count(n).alias(n) for n in ("you", "we", "they", "exclamations")]
+    d = d.select("doc_id", "words", *copy, *[T.term_count(t, T.LEXICONS[n], F.col("tokens")).alias(n) for n in ("hedges", "power", "formality", "casual", "jargon")])
     rate = lambda n: F.col(n) * 1000.0 / F.greatest("words", F.lit(1))
     scale = F.greatest(F.lit(1.0), F.col("words") / 250.0)
     axis = lambda x: fixed(clamp01(x), 3)

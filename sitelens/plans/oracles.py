@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import BOILERPLATE, LEXICONS
-from ..operators.profile import STOP
+from ..operators.profile import NAVIGATION, STOP
 
 
 def _fixed(x: str, n: int) -> str:
@@ -56,7 +56,11 @@ j AS (SELECT t.brand, count(*) AS n, count(m.{col}) AS common FROM t LEFT JOIN m
 SELECT brand, {_fixed('common / (n + (SELECT count(*) FROM m) - common)', 2)} AS jaccard, common::INT AS shared, ((SELECT count(*) FROM m) - common)::INT AS only_subject FROM j"""
 
 
-_HEAD = r"h AS (SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS heading FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) AS h FROM pages)), hh AS (SELECT page_id, heading, len(string_split(heading, ' '))::INT AS words FROM h WHERE length(heading) BETWEEN 4 AND 220)"
+_HEAD = (
+    r"h AS (SELECT page_id, substr(h, 3, 1)::INT AS level, trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS heading FROM (SELECT page_id, unnest(regexp_extract_all(html, "
+    + "'(?is)" + "|".join(f"<h{k}[^>]*>.*?</h{k}>" for k in range(1, 7)) + "')) AS h FROM pages)), "
+    + f"hh AS (SELECT page_id, level, heading, len(string_split(heading, ' '))::INT AS words FROM h WHERE length(heading) BETWEEN 4 AND 220 AND len(string_split(heading, ' ')) <= 24 AND NOT regexp_matches(heading, '(?i)^{NAVIGATION}') AND regexp_matches(heading, '[A-Za-z0-9_]'))"
+)
 _SAL = _HEAD + r", w AS (SELECT page_id, regexp_replace(unnest(string_split(regexp_replace(lower(heading), '[^a-z0-9 ''-]', ' ', 'g'), ' ')), '^[-'']+|[-'']+$', '', 'g') AS term FROM hh), f AS (SELECT term, count(*) AS tf, count(DISTINCT page_id) AS doc_freq FROM w WHERE length(term) >= 3 AND NOT regexp_matches(term, '^[0-9]+$') AND term NOT IN (" + ", ".join(map(_quote, STOP)) + ") GROUP BY term), sal AS (SELECT term, tf, doc_freq, " + _fixed("tf * ln(1 + (SELECT count(*) FROM hh) / doc_freq)", 3) + " AS weight FROM f ORDER BY weight DESC, term LIMIT 50)"
 
 ORACLES = {
