@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import crawl, faces, palette, profile, sheets, voice
-from .plans import crawl_oracles, face_oracles, oracles, sheet_oracles, voice_oracles
+from .operators import crawl, exports, faces, logos, messaging, palette, profile, sheets, voice
+from .plans import crawl_oracles, face_oracles, message_oracles, oracles, sheet_oracles, voice_oracles
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**profile.QUERIES, **palette.QUERIES, **sheets.QUERIES, **crawl.QUERIES, **faces.QUERIES, **voice.QUERIES}
-ORACLES: dict[str, str] = {**oracles.ORACLES, **sheet_oracles.ORACLES, **crawl_oracles.ORACLES, **face_oracles.ORACLES, **voice_oracles.ORACLES}
+_MODULES = (profile, palette, sheets, crawl, faces, voice, logos, messaging, exports)
+_PLANS = (oracles, sheet_oracles, crawl_oracles, face_oracles, voice_oracles, message_oracles)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in _PLANS for name, sql in m.ORACLES.items()}
