@@ -27,6 +27,7 @@ import hashlib
 import json
 import re
 import struct
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,6 +43,8 @@ from .parts import Parts, joined
 #: The pattern by which byte-level BPE splits a text into words.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _EVER = 1 << 60
+#: Bytes of encoded parts that a worker keeps in each of two generations.
+KEPT_BYTES = 32 << 20
 _INT32 = [struct.Struct(f"<{n}i").pack for n in range(32)]
 
 
@@ -76,6 +79,7 @@ class Automaton:
         for y, q in self.enters.items():
             self.scan.add_word(self.labels[y].decode("latin-1"), (len(self.labels[y]), self.number[y], q, y))
         self.scan.make_automaton()
+        del self.enters, self.made, self.users  # what only the construction needs
 
     def _taken(self, state: int, label: int) -> int | None:
         """When an arc was taken from a state or from what it was copied from; None if never."""
@@ -121,15 +125,17 @@ class Automaton:
         self.children: dict[int, list[tuple[int, int]]] = {}
         for y, (left, rank) in self.made.items():
             self.children.setdefault(left, []).append((rank, y))
-        self.number: dict[int, int] = {}
-        self.last: dict[int, int] = {}
+        self.number = array("i", bytes(4 * (max(self.labels, default=0) + 1)))
+        self.last = array("i", self.number)
+        count = 0
         todo = [(y, False) for y in reversed(roots)]
         while todo:
             y, left = todo.pop()
             if left:
-                self.last[y] = len(self.number)
+                self.last[y] = count
                 continue
-            self.number[y] = len(self.number)
+            self.number[y] = count
+            count += 1
             todo.append((y, True))
             todo += [(child, False) for _, child in reversed(self.children.get(y, []))]
 
@@ -205,7 +211,7 @@ class Encoder:
         self.automaton = load(path)
         names = sorted(self.automaton.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-        self.parts = Parts(lambda new: [self._value(p) for p in new], [s.encode() for s in names])
+        self.parts = Parts(lambda new: [self._value(p) for p in new], [s.encode() for s in names], KEPT_BYTES)
         ids = range(max(self.automaton.labels, default=0) + 1)
         self.decimals = pa.array([f"{i},".encode() for i in ids], pa.large_binary())
         self.emitted = pa.array([self.automaton.labels.get(i, b"") for i in ids], pa.large_binary())

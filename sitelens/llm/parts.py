@@ -5,7 +5,7 @@ character, after a newline that stands alone, and where an ASCII letter is follo
 the pre-tokeniser crosses such a place, and no word before it depends on what follows, so parts are encoded on their own.
 Splitting, finding the distinct parts and joining their values run over whole Arrow chunks.
 
-Memory: a chunk of CHUNK_BYTES (a longer text is a chunk of its own) and two generations of values, KEPT_BYTES each.
+Memory: a chunk of CHUNK_BYTES (a longer text is a chunk of its own) and two generations of values, ``kept`` bytes each.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ import pyarrow as pa
 
 from .words import chunks
 
-#: Bytes of a chunk; of the values kept in a generation, at ENTRY_BYTES each; parts longer than LONG_PART are not kept.
-CHUNK_BYTES, KEPT_BYTES, LONG_PART = 2 << 20, 32 << 20, 1 << 8
+#: Bytes of a chunk, and of a part and its value together; parts longer than LONG_PART are not kept.
+CHUNK_BYTES, LONG_PART = 1 << 20, 1 << 8
 ENTRY_BYTES = 240
 
 _GRAPH = np.zeros(256, dtype=bool)
@@ -65,7 +65,8 @@ def joined(values: pa.Array, places: pa.Array, first: np.ndarray) -> tuple[np.nd
 class Parts:
     """Values of parts, byte strings made once by ``make(list of new parts)``."""
 
-    def __init__(self, make: Callable[[list[bytes]], list[bytes]], special: list[bytes]) -> None:
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]], special: list[bytes], kept: int) -> None:
+        self.kept = kept
         self.make, self.special = make, [s for s in special if s]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -73,7 +74,7 @@ class Parts:
 
     def values(self, parts: list[bytes]) -> list[bytes]:
         """Values of distinct parts, in order."""
-        if self.held > KEPT_BYTES:
+        if self.held > self.kept:
             self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
         out = list(map(young.get, parts))
