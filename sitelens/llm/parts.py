@@ -5,7 +5,7 @@ character, after a newline that stands alone, and where an ASCII letter is follo
 the pre-tokeniser crosses such a place, and no word before it depends on what follows, so parts are encoded on their own.
 Splitting, finding the distinct parts and joining their values run over whole Arrow chunks.
 
-Memory: a chunk of CHUNK_BYTES (a longer text is a chunk of its own) and two generations of values, ``kept`` bytes each.
+Memory: a chunk (a longer text is a chunk of its own) and two generations of values, ``kept`` bytes each.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from .words import chunks
 
-#: Bytes of a chunk, and of a part and its value together; parts longer than LONG_PART are not kept.
+#: Bytes of a chunk, unless an operator asks for others, and of a part and its value together; parts longer than LONG_PART are not kept.
 CHUNK_BYTES, LONG_PART = 1 << 20, 1 << 8
 ENTRY_BYTES = 240
 
@@ -65,8 +65,8 @@ def joined(values: pa.Array, places: pa.Array, first: np.ndarray) -> tuple[np.nd
 class Parts:
     """Values of parts, byte strings made once by ``make(list of new parts)``."""
 
-    def __init__(self, make: Callable[[list[bytes]], list[bytes]], special: list[bytes], kept: int) -> None:
-        self.kept = kept
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]], special: list[bytes], kept: int, chunk: int = CHUNK_BYTES) -> None:
+        self.kept, self.chunk = kept, chunk
         self.make, self.special = make, [s for s in special if s]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -97,7 +97,7 @@ class Parts:
 
     def rows(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, memoryview]]:
         """Yields (first row, byte offsets of the rows' joined values, the values) for runs of rows."""
-        for lo, _, data, offsets in chunks(texts, CHUNK_BYTES):
+        for lo, _, data, offsets in chunks(texts, self.chunk):
             at = starts(data, offsets, self._whole(data, offsets))
             first = np.searchsorted(at, offsets, side="left")
             ends = np.append(at, len(data)).astype(np.int64)

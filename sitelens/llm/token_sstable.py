@@ -37,8 +37,8 @@ from .parts import Parts
 
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 10, 7
 MAGIC = b"SSTTOK01"
-#: Bytes of encoded parts that a worker keeps in each of two generations.
-KEPT_BYTES = 64 << 20
+#: Bytes of encoded parts that a worker keeps in each of two generations; bytes of text that are split at once.
+KEPT_BYTES, CHUNK_BYTES = 64 << 20, 4 << 20
 #: index offset, bloom offset, footer offset, entries, tokens, id width, magic
 FOOTER = struct.Struct("<QQQQQI8s")
 
@@ -223,7 +223,7 @@ class LibraryEncoder:
         sizes = {i: len(s) for s, i in self.lib.get_vocab(with_added_tokens=False).items()}
         self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)], dtype=np.int64)
         self.joins = not any(" " in s for s in special)
-        self.parts = Parts(self._make, [s.encode() for s in special], KEPT_BYTES)
+        self.parts = Parts(self._make, [s.encode() for s in special], KEPT_BYTES, CHUNK_BYTES)
 
     def pack(self, ids: list[int]) -> bytes:
         """Little-endian bytes of ids."""
