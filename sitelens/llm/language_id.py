@@ -5,13 +5,15 @@ everything but letters as one space). Each language has several centroids, found
 sample of labelled texts; a text takes the language of the centroid with the largest cosine. A text whose cosine lies
 under the language's own limit is too far from everything learned and is marked as rejected.
 
-The sample is the documented bound: about SAMPLE labelled texts for each language, chosen by a hash of the identifier.
+The sample is the documented bound: about SAMPLE labelled texts for each language, chosen by a hash of identifier and
+text, for the k-means alone. Document frequencies and the limits come from all labelled texts.
 Defined results: null text and text without any letter give ``und``, score 0, rejected; rows with a null label are
 never learned from; with no labelled row at all every text is ``und``.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +26,9 @@ from .words import LOWER, chunks
 
 #: Hashed n-gram dimensions; labelled texts learned from for each language; centroids for each language.
 DIMS, SAMPLE, CENTROIDS = 1 << 12, 400, 3
-#: A text is rejected if its cosine is under this share of the REJECT_QUANTILE of its language's own sample.
-REJECT_QUANTILE, REJECT_SHARE = 0.02, 0.35
+#: A text is rejected if its cosine is under this share of the REJECT_QUANTILE of all its language's labelled texts,
+#: read from a histogram of BINS steps.
+REJECT_QUANTILE, REJECT_SHARE, BINS = 0.02, 0.35, 2048
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -77,30 +80,69 @@ def vectors(texts: pa.Array, idf: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """Learns from about SAMPLE rows of each language; the driver holds only these."""
+    """Learns from all labelled rows; only the k-means sees a sample, about SAMPLE distinct rows of each language.
+
+    Three passes without a text in any exchange: rows by label, document frequencies, best cosines by label. The driver
+    holds the sample and at most DIMS numbers, or BINS for each label, of each pass.
+    """
+    none = Model(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], {})
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    sizes = {r[0]: r[1] for r in labelled.filter(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
+    rows = rows.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("i"))
+    # repeated rows count once, so that neither null nor repeated identifiers widen the sample
+    sizes = {r[0]: r[1] for r in rows.groupBy("l").agg(F.approx_count_distinct("i").alias("n")).collect()}
     if not sizes:
-        return Model(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], {})
+        return none
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, SAMPLE / n))])
-    pick = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(29)), F.lit(1 << 20)) < share[F.col(lang_col)] * (1 << 20)
-    sample = rows.filter(pick).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.col(id_col).cast("string").alias("i")).toPandas().sort_values(["l", "i"], kind="stable")
+    pick = F.pmod(F.xxhash64("i", F.lit(29)), F.lit(1 << 20)) < share[F.col("l")] * (1 << 20)
+    sample = rows.filter(pick).distinct().toPandas().sort_values(["l", "i"], kind="stable")
     if sample.empty:
-        return Model(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], {})
-    tf = np.concatenate([np.log1p(c).astype(np.float32) for _, _, c in counts(pa.array(sample["t"], pa.large_string()))])
-    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
-    x, own = _unit(tf * idf), sample["l"].to_numpy()
+        return none
+    found = rows.select("t").mapInArrow(_frequencies, "dim int, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+    frequency = np.zeros(DIMS + 1)
+    for r in found:
+        frequency[r.dim] = r.n
+    idf = (np.log((1 + frequency[DIMS]) / (1 + frequency[:DIMS])) + 1).astype(np.float32)
+    x, own = vectors(pa.array(sample["t"], pa.large_string()), idf), sample["l"].to_numpy()
     centroids, langs = [], []
     for lang in sorted(set(own)):
         mine = _cluster(x[own == lang])
         centroids.append(mine)
         langs += [lang] * len(mine)
     model = Model(idf, np.concatenate(centroids), langs, {})
-    best = (x @ model.centroids.T).max(axis=1)
-    model.limits = {lang: float(REJECT_SHARE * np.quantile(best[own == lang], REJECT_QUANTILE)) for lang in set(own)}
+    model.limits = _limits(rows, model)
     return model
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of a task that hold each dimension; dimension DIMS counts the texts."""
+    total = np.zeros(DIMS + 1, dtype=np.int64)
+    for b in batches:
+        for _, _, c in counts(b.column("t")):
+            total[:DIMS] += (c > 0).sum(axis=0)
+        total[DIMS] += b.num_rows
+    at = total.nonzero()[0]
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["dim", "n"])
+
+
+def _limits(rows: DataFrame, model: Model) -> dict[str, float]:
+    """REJECT_SHARE of the REJECT_QUANTILE, to one of BINS steps, of each label's best cosines over all its rows."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[str, int]] = Counter()
+        for b in batches:
+            own = b.column("l").to_pylist()
+            for lo, hi, c in counts(b.column("t")):
+                best = (_unit(np.log1p(c).astype(np.float32) * sent.value.idf) @ sent.value.centroids.T).max(axis=1)
+                held.update(zip(own[lo:hi], np.clip(best * BINS, 0, BINS - 1).astype(int).tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int32()), pa.array(list(held.values()), pa.int64())], ["l", "bin", "n"])
+
+    found: dict[str, np.ndarray] = {}
+    for r in rows.select("l", "t").mapInArrow(run, "l string, bin int, n bigint").groupBy("l", "bin").agg(F.sum("n").alias("n")).collect():
+        found.setdefault(r.l, np.zeros(BINS, dtype=np.int64))[r.bin] = r.n
+    return {lang: float(REJECT_SHARE * np.searchsorted(n.cumsum(), REJECT_QUANTILE * n.sum()) / BINS) for lang, n in found.items()}
+
+
 def _cluster(x: np.ndarray, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; the first centre is the mean, each next the row farthest from those so far."""
     centres = _unit(x.mean(axis=0, keepdims=True))

@@ -1,5 +1,7 @@
 """Held-out accuracy, rejection, and rows out of the ordinary of language identification and revisit resolution."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sitelens.llm import language_id, queries, warc
@@ -13,6 +15,20 @@ def test_held_out_accuracy(spark):
     assert got.count() > 100 and got.filter("lang = lang_pred").count() >= 0.97 * got.count()
 
 
+def test_statistics_of_all_labelled_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = docs.unionByName(docs.filter("doc_id % 3 = 0").withColumn("doc_id", F.lit(None).cast("long"))).repartition(7)
+    model = language_id.fit(odd)
+    rows = odd.filter(r"lang IS NOT NULL AND text RLIKE '\\p{L}'").toPandas()
+    held = np.concatenate([c for _, _, c in language_id.counts(pa.array(rows["text"], pa.large_string()))])
+    assert len(held) > 3 * language_id.SAMPLE
+    assert np.allclose(model.idf, np.log((1 + len(held)) / (1 + (held > 0).sum(axis=0))) + 1, atol=1e-5)
+    best = (language_id.vectors(pa.array(rows["text"], pa.large_string()), model.idf) @ model.centroids.T).max(axis=1)
+    for lang, limit in model.limits.items():
+        exact = np.quantile(best[rows["lang"] == lang], language_id.REJECT_QUANTILE, method="inverted_cdf")
+        assert abs(limit - language_id.REJECT_SHARE * exact) < 2 / language_id.BINS
+
+
 def test_far_texts_are_rejected(spark):
     learned = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     model = language_id.fit(learned)
