@@ -25,9 +25,22 @@ def style_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_brand").alias("brand"), k.alias("ord"), url.alias("url"), css.alias("css"))
 
 
+def properties(sheets: DataFrame) -> DataFrame:
+    """(brand, name, value, defined, first) of sheets (brand, ord, css): the last definition holds."""
+    rows = sheets.select("brand", "ord", F.posexplode(T.custom_properties(T.without_comments(F.col("css")))).alias("pos", "p"))
+    return rows.groupBy("brand", F.col("p.name").alias("name")).agg(F.max_by("p.value", F.struct("ord", "pos")).alias("value"), F.count("*").alias("defined"), F.min(F.struct("ord", "pos")).alias("first"))
+
+
+def resolved(props: DataFrame) -> DataFrame:
+    """props with resolved: var() followed to its end. Only values that refer to others meet the site's properties."""
+    refers = F.coalesce(F.col("value").rlike(r"(?i)^\s*var\("), F.lit(False))
+    maps = props.groupBy("brand").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("props"))
+    followed = props.filter(refers).join(maps, "brand").withColumn("resolved", T.resolve(F.col("props"), F.col("value"))).drop("props")
+    return props.filter(~refers).withColumn("resolved", F.trim("value")).unionByName(followed)
+
+
 def _properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = style_sheets(spark, sf_dir).select("brand", "ord", F.posexplode(T.custom_properties(T.without_comments(F.col("css")))).alias("pos", "p"))
-    return rows.groupBy("brand", F.col("p.name").alias("name")).agg(F.max_by("p.value", F.struct("ord", "pos")).alias("value"), F.count("*").alias("defined"))
+    return properties(style_sheets(spark, sf_dir)).drop("first")
 
 
 def css_custom_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +50,7 @@ def css_custom_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def css_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each property of a site with var() followed to its end."""
-    p = _properties(spark, sf_dir)
-    maps = p.groupBy("brand").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("props"))
-    return p.join(maps, "brand").select("brand", "name", T.resolve(F.col("props"), F.col("value")).alias("resolved"))
+    return resolved(_properties(spark, sf_dir)).select("brand", "name", "resolved")
 
 
 def css_colour_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
