@@ -18,7 +18,7 @@ from ..functions import plain_colour as P
 from ..functions import tokens as T
 from ..functions.numbers import fixed
 from ..sources.tables import read
-from .sheets import properties, resolved, style_sheets
+from .sheets import properties, resolved, style_sheets, token_uses
 
 # Thresholds, orders, stops and pairs.
 OPAQUE, SAME, NEUTRAL_SATURATION, RARE = 0.6, 4.5, 0.14, 0.04
@@ -54,14 +54,6 @@ def _literal_map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def token_uses(sheets: DataFrame, props: DataFrame) -> DataFrame:
-    """(brand, name, used): references by var() that begin with the name. Each distinct reference meets its own prefixes."""
-    css = T.without_comments(F.col("css"))
-    refs = sheets.select("brand", F.explode(F.regexp_extract_all(css, F.lit(r"var\(\s*(--[\w-]+)"), 1)).alias("ref")).groupBy("brand", "ref").agg(F.count("*").alias("n"))
-    cut = F.transform(F.sequence(F.lit(2), F.length("ref")), lambda i: F.substring(F.col("ref"), F.lit(1), i))
-    return refs.select("brand", F.explode(cut).alias("name"), "n").join(props.select("brand", "name"), ["brand", "name"]).groupBy("brand", "name").agg(F.sum("n").alias("used"))
-
-
 def colour_evidence(sheets: DataFrame, heads: DataFrame) -> DataFrame:
     """One row for each sign of a colour: where it stands in the order of signs, its source, score and what it claims.
 

@@ -43,6 +43,14 @@ def _properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return properties(style_sheets(spark, sf_dir)).drop("first")
 
 
+def token_uses(sheets: DataFrame, props: DataFrame) -> DataFrame:
+    """(brand, name, used): references by var() that begin with the name. Each distinct reference meets its own prefixes."""
+    css = T.without_comments(F.col("css"))
+    refs = sheets.select("brand", F.explode(F.regexp_extract_all(css, F.lit(r"var\(\s*(--[\w-]+)"), 1)).alias("ref")).groupBy("brand", "ref").agg(F.count("*").alias("n"))
+    cut = F.transform(F.sequence(F.lit(2), F.length("ref")), lambda i: F.substring(F.col("ref"), F.lit(1), i))
+    return refs.select("brand", F.explode(cut).alias("name"), "n").join(props.select("brand", "name"), ["brand", "name"]).groupBy("brand", "name").agg(F.sum("n").alias("used"))
+
+
 def css_custom_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Custom properties of each site; the last definition holds."""
     return _properties(spark, sf_dir)
@@ -72,9 +80,9 @@ def css_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tier, role and score of each site's tokens; uses are references to the name by var()."""
+    """Tier, role and score of each site's tokens; uses are references by var() that begin with the name."""
     p = _properties(spark, sf_dir)
-    refs = style_sheets(spark, sf_dir).select("brand", F.explode(F.regexp_extract_all("css", F.lit(r"var\(\s*(--[\w-]+)"), 1)).alias("name")).groupBy("brand", "name").agg(F.count("*").alias("used"))
+    refs = token_uses(style_sheets(spark, sf_dir), p)
     k = p.join(refs, ["brand", "name"], "left").select("brand", "name", F.coalesce("used", F.lit(0)).alias("used"), T.classify(F.col("name")).alias("k"))
     return k.select("brand", "name", "used", "k.*", fixed(T.token_score(F.col("name"), F.col("k"), F.col("used")), 3).alias("score"))
 
