@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, html_extract, language_id, near_dedup, pitman_yor, quality_rules, sharding, token_sstable, warc
+from . import bpe_automaton, decontaminate, filter_audit, html_extract, language_id, near_dedup, pitman_yor, prefix_join, quality_rules, sharding, spelling, token_sstable, warc
 from .common import fresh_path, table
 
 
@@ -78,7 +78,22 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "canonical", F.unix_timestamp("ts").alias("at_secs"), "status", "refers_to", F.unix_timestamp("refers_ts").alias("refers_at"), "digest", F.col("headers")["etag"].alias("etag"), F.col("headers")["date"].alias("date"), F.col("headers")["content-type"].alias("content_type"), F.size("headers").alias("n_headers"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_bpe_automaton, op3_pitman_yor, op4_decontamination, op5_language_id, op6_token_sstable, op7_quality_rules, op8_near_dedup, op9_sharding, op10_warc_revisits)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every order, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+def op12_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of links of 0.9 on 3-word shingles."""
+    return prefix_join.join(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words, form and root."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_bpe_automaton, op3_pitman_yor, op4_decontamination, op5_language_id, op6_token_sstable, op7_quality_rules, op8_near_dedup, op9_sharding, op10_warc_revisits, op11_filter_audit, op12_prefix_join, op13_spelling_variants)}
 
 _OP7 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS host FROM documents),
@@ -118,4 +133,24 @@ SELECT record_id, canonical, at_secs, status, CASE WHEN status IN ('resolved', '
   CAST(CASE WHEN status IN ('resolved', 'unchecked') THEN 4 WHEN untagged THEN 2 ELSE 3 END AS INTEGER) AS n_headers FROM s
 """
 
-ORACLES = {"op7_quality_rules": _OP7, "op10_warc_revisits": _OP10}
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT doc_id, t, part, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+f AS (SELECT doc_id, part, (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+  + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+  + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+x AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(c, bit)),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM x a, x b, x c, x d, x e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS prior FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, bit, sum(n) FILTER (mask & (prior | bit) = 0) AS kept, sum(n) FILTER (mask & bit > 0 AND mask & prior = 0) AS removed,
+  sum(n) FILTER (mask & bit > 0 AND mask & prior > 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+  sum(good) FILTER (mask & bit > 0 AND mask & prior = 0) AS good_lost, sum(toxic) FILTER (mask & bit > 0 AND mask & prior = 0) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r
+"""
+
+ORACLES = {"op11_filter_audit": _OP11, "op7_quality_rules": _OP7, "op10_warc_revisits": _OP10}
