@@ -8,12 +8,12 @@ verification in proportion to n. The cheapest l is taken. A pair is verified if
 the prefixes that both wrote; as both prefixes hold that l's prefix, no pair of the similarity is lost.
 
 The order needs no exact counts, only to be the same for all. Shingles are counted over all texts in a table of COUNTERS
-counters by hash, whatever the input's size, so 16 MB are broadcast; rare shingles stand in order of their counter, ties by
+counters by hash, whatever the input's size, so 8 MB are broadcast; rare shingles stand in order of their counter, ties by
 hash.
 
 Equal sets are one class, represented by its smallest identifier. Groups of near copies would give all their pairs, so in
-each shingle's cell the hub is tested with the others first, components are taken, and cells that still hold several are
-given a second hub; pairs that cross components and were not tested are then joined in full: directly in cells of at most FEW
+each shingle's cell a hub (the class that meets most others) is tested with the rest first, components are taken, and cells
+that still hold several are given another hub; pairs that cross components and were not tested are then joined in full: directly in cells of at most FEW
 classes, and in larger ones by 16-bit fingerprints in blocks (near_dedup), which drop only pairs that cannot reach the
 similarity. So the components are those of all links.
 
@@ -38,7 +38,7 @@ from .near_dedup import BLOCK, _possible, _set_table, _verified, components, shi
 from .words import mix, word_hashes
 
 #: Counters of the order, and of one row of the table that is summed.
-COUNTERS, ROW = 1 << 22, 1 << 16
+COUNTERS, ROW = 1 << 21, 1 << 16
 #: Longest multi-match prefix; cost of meeting one posting and of verifying one pair for each shingle of a set.
 DEEPEST, LIST, VERIFY = 4, 1.0, 1 / 16
 #: Partners expected at least of a shingle that the counters can't tell from their noise.
@@ -160,9 +160,18 @@ def _fits(percent: int):
 
 
 def _with_hubs(here: DataFrame, again: bool, percent: int) -> DataFrame:
-    """(rep, n, l, hub, hn, hl): each cell's hub with the cell's classes of other components."""
-    salt = F.xxhash64("root", F.lit(1)) if again else F.xxhash64("rep")
-    top = here.groupBy("cell").agg(F.max(F.struct(salt.alias("p"), F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("l").alias("hl"), F.col("root").alias("hroot"))).alias("t")).select("cell", "t.hub", "t.hn", "t.hl", "t.hroot")
+    """(rep, n, l, hub, hn, hl): each cell's hub with the cell's classes of other components.
+
+    First the hub is the class that meets most others over all its cells: the text that copies were made from has no
+    shingles of its own, its copies have. Then it is any other class of the component with most members in the cell.
+    """
+    salt = F.xxhash64("rep", F.lit(7)) if again else F.col("weight")
+    hub = F.struct(salt.alias("p"), F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("l").alias("hl"))
+    if again:
+        roots = here.groupBy("cell", "root").agg(F.count("*").alias("c"), F.max(hub).alias("h"))
+    else:
+        roots = here.select("cell", "root", F.lit(1).alias("c"), hub.alias("h"))
+    top = roots.groupBy("cell").agg(F.max(F.struct("c", "h", F.col("root").alias("hroot"))).alias("t")).select("cell", "t.h.hub", "t.h.hn", "t.h.hl", "t.hroot")
     return here.join(top, "cell").filter((F.col("root") != F.col("hroot")) & _fits(percent)).select("rep", "n", "l", "hub", "hn", "hl")
 
 
@@ -213,9 +222,10 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     classes = written(own.filter(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "classes")
     rows = prefixes(docs, classes.select(F.col("rep").alias("id")), counts_of(base, counters), width, percent, id_col, text_col)
     cells = written(rows, "prefixes")
-    met = cells.groupBy("cell").agg(F.count("*").alias("m")).filter("m > 1").select("cell")
-    members = written(cells.join(met, "cell"), "members")
-    discard(cells)
+    met = cells.groupBy("cell").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = written(cells.join(met, "cell"), "shared")
+    members = written(shared.drop("m").join(shared.groupBy("rep").agg(F.sum("m").alias("weight")), "rep"), "members")
+    discard(cells, shared)
     spent, tested, links, comp = [members], None, None, None
     for turn in ("hubs", "again", "all"):
         if comp is None:
