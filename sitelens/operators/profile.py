@@ -107,23 +107,6 @@ def tagline_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("page_id", "heading", fixed(s.cast("double"), 2).alias("score"))
 
 
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of each page with position and intent score: at most two of an intent, the first seven by score."""
-    rules = [("about", 30, "about|company|mission"), ("careers", 26, "careers?|jobs?|people"), ("customers", 24, "customers?|stories|success"), ("pricing", 20, "pricing|plans?|buy"), ("press", 16, "press|news|media"), ("blog", 14, "blog|journal|posts?")]
-    links = read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("ord", "link"))
-    low = F.lower("link")
-    intent, score = F.lit("page"), F.lit(6)
-    for name, points, pattern in reversed(rules):
-        hit = low.rlike(f"(?<![a-z0-9_])({pattern})(?![a-z0-9_])")
-        intent, score = F.when(hit, name).otherwise(intent), F.when(hit, points).otherwise(score)
-    depth = F.size(F.filter(F.split("link", "/"), lambda x: x != ""))
-    scored = links.select("page_id", "ord", "link", intent.alias("intent"), (score + F.when(depth == 1, 4).otherwise(0)).alias("score")).filter(depth <= 2)
-    k = F.row_number().over(Window.partitionBy("page_id", "intent").orderBy(F.desc("score"), "ord"))
-    few = scored.withColumn("k", k).filter((F.col("k") <= 2)).drop("k")
-    r = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "ord"))
-    return few.withColumn("rank", r).filter("rank <= 7")
-
-
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items whose first 40 characters occur in a document, with the documents counted."""
     items = read(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring("text", 1, 40)).alias("key"), F.lower(F.regexp_extract("text", r"([^ \n]+)", 1)).alias("head"))
@@ -143,4 +126,4 @@ def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "struct<k bigint>")["k"].alias("k"))
 
 
-QUERIES = {f.__name__: f for f in (page_voice_profile, url_normalise, root_host_pages, html_text_stats, lexicon_counts, syllable_counts, headings, salience, pillars, tagline_score, page_links, evidence, call_log_rollup, manifest_parse)}
+QUERIES = {f.__name__: f for f in (page_voice_profile, url_normalise, root_host_pages, html_text_stats, lexicon_counts, syllable_counts, headings, salience, pillars, tagline_score, evidence, call_log_rollup, manifest_parse)}

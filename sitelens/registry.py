@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import crawl, exports, faces, logos, messaging, palette, profile, roles, sheets, voice
-from .plans import crawl_oracles, face_oracles, message_oracles, oracles, sheet_oracles, voice_oracles
+from .operators import crawl, exports, faces, frontier, logos, messaging, palette, profile, roles, sheets, voice
+from .plans import crawl_oracles, face_oracles, frontier_oracles, message_oracles, oracles, sheet_oracles, voice_oracles
+from .sources import fetched
 
-_MODULES = (profile, palette, sheets, roles, crawl, faces, voice, logos, messaging, exports)
-_PLANS = (oracles, sheet_oracles, crawl_oracles, face_oracles, voice_oracles, message_oracles)
+_MODULES = (profile, palette, sheets, roles, crawl, frontier, fetched, faces, voice, logos, messaging, exports)
+_PLANS = (oracles, sheet_oracles, crawl_oracles, face_oracles, voice_oracles, message_oracles, frontier_oracles)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in _PLANS for name, sql in m.ORACLES.items()}
