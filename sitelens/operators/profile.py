@@ -107,14 +107,6 @@ def tagline_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("page_id", "heading", fixed(s.cast("double"), 2).alias("score"))
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items whose first 40 characters occur in a document, with the documents counted."""
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring("text", 1, 40)).alias("key"), F.lower(F.regexp_extract("text", r"([^ \n]+)", 1)).alias("head"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    heads = docs.select("doc_id", "t", F.explode(F.array_distinct(F.split("t", "[ \n]+"))).alias("head"))
-    return items.join(heads, "head").filter(F.contains("t", F.col("key"))).groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
-
-
 def call_log_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls, distinct surfaces and summed duration of each run."""
     e = read(spark, sf_dir, "events")
@@ -126,4 +118,4 @@ def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "struct<k bigint>")["k"].alias("k"))
 
 
-QUERIES = {f.__name__: f for f in (page_voice_profile, url_normalise, root_host_pages, html_text_stats, lexicon_counts, syllable_counts, headings, salience, pillars, tagline_score, evidence, call_log_rollup, manifest_parse)}
+QUERIES = {f.__name__: f for f in (page_voice_profile, url_normalise, root_host_pages, html_text_stats, lexicon_counts, syllable_counts, headings, salience, pillars, tagline_score, call_log_rollup, manifest_parse)}

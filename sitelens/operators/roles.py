@@ -214,7 +214,7 @@ def assign(hits: dict[str, str], core: list[str], vivid: str | None, status: dic
         if other:
             infer("accent", other)
     if "onPrimary" not in roles:
-        infer("onPrimary", "#ffffff" if P.contrast("#ffffff", text) >= P.contrast("#000000", text) else "#000000")
+        infer("onPrimary", "#ffffff" if P.contrast("#ffffff", roles["primary"]) >= P.contrast("#000000", roles["primary"]) else "#000000")  # what is written on primary is read against primary
     if page and "surface" not in roles:
         infer("surface", P.mixed(page, text, 0.04))
     if page and ("border" not in roles or P.delta_e(roles["border"], page) < SAME):

@@ -44,7 +44,7 @@ h AS (SELECT site, arg_min(normal, page_id) AS url FROM n GROUP BY site),
 l0 AS (SELECT site, key, url, 0 AS level, 'home' AS intent, NULL::INT AS score, 'homepage' AS reason, NULL::BIGINT AS via, stored FROM (SELECT *, regexp_replace(url, '/$', '') AS key FROM h) LEFT JOIN ids USING (key)),
 p0 AS (SELECT * FROM l0), {_level(1)}, {_level(2)} SELECT site, level::INT AS level, url, intent, score, reason, via, stored FROM p2"""
 
-_HEADS = f"""WITH n AS ({_NORMAL}), h AS (SELECT page_id, host, regexp_extract(html, '(?is)<head[^>]*>(.*?)(?:</head>|<body)', 1) AS head FROM n)
+_HEADS = f"""WITH n AS ({_NORMAL}), h AS (SELECT page_id, host, regexp_extract(html, '(?is)<head[^>]*>(.*?)(?:</head>|<body|$)', 1) AS head FROM n)
 SELECT page_id, (DATE '2024-01-01' + (page_id % 7)::INT)::DATE AS day, host, length(head)::INT AS head_chars, regexp_extract(head, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM h"""
 
 ORACLES = {"head_scan": _HEADS, "page_links": _SELECT, "site_plan": _PLAN}

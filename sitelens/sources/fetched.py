@@ -11,18 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import url as U
+from ..functions.head import head_of
 from .settled import scratch
 from .tables import read
 
 #: Parts that hosts are dealt to.
 PARTS = 32
-HEAD = "(?is)<head[^>]*>(.*?)(?:</head>|<body)"
 
 
 def keep(pages: DataFrame, path: str, parts: int = PARTS) -> None:
     """Adds pages (page_id, url, html, day) to the table at path. A page without an address goes to the part of the empty host."""
     host = F.coalesce(U.host(U.normalise(F.col("url"))), F.lit(""))
-    rows = pages.withColumn("host", host).withColumn("part", _part(F.col("host"), parts)).withColumn("head", F.regexp_extract("html", HEAD, 1))
+    rows = pages.withColumn("host", host).withColumn("part", _part(F.col("host"), parts)).withColumn("head", head_of(F.col("html")))
     rows.repartition("day", "part").sortWithinPartitions("day", "part", "host").write.mode("append").partitionBy("day", "part").parquet(path)
 
 
