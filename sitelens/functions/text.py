@@ -93,12 +93,12 @@ def term_count(text: Column, terms: list[str], words: Column | None = None) -> C
 
 
 def syllables(text: Column) -> Column:
-    """Estimated syllables of all words: one for up to three letters, else vowel groups after dropping silent endings."""
+    """Estimated syllables of all words, without their apostrophes: one for up to three letters, else vowel groups after dropping silent endings."""
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z']+)"), 1)
     def one(w: Column) -> Column:
         bare = F.regexp_replace(F.regexp_replace(w, "(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
-        return F.when(F.length(w) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(bare, F.lit("[aeiouy]{1,2}"))))
-    return F.aggregate(F.transform(words, one), F.lit(0), lambda a, x: a + x)
+        return F.when(w == "", 0).when(F.length(w) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(bare, F.lit("[aeiouy]{1,2}"))))
+    return F.aggregate(F.transform(F.transform(words, lambda w: F.replace(w, F.lit("'"), F.lit(""))), one), F.lit(0), lambda a, x: a + x)
 
 
 def stem(word: Column) -> Column:

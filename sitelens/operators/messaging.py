@@ -74,9 +74,9 @@ def positioning(category_: Column, tagline: Column, audience: Column) -> Column:
 
 
 def reading_grade(words: Column, sentences: Column, syllables: Column) -> Column:
-    """Flesch-Kincaid grade, never under 0; null without words."""
+    """Flesch-Kincaid grade; null without words."""
     grade = 0.39 * words / F.greatest(sentences, F.lit(1)) + 11.8 * syllables / words - 15.59
-    return F.when(words > 0, fixed(F.greatest(F.lit(0.0), grade), 1))
+    return F.when(words > 0, fixed(grade, 1))
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,27 +89,12 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claim_rows(paragraphs(spark, sf_dir))
 
 
-def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to 14 headings of levels 1 to 3 of each page, each text once, by level and text."""
-    h = headings(spark, sf_dir).filter("level <= 3")
-    once = first_of(h.withColumn("_k", F.lower("heading")), F.struct("page_id", "_k"), ["level", "heading"]).drop("_k")
-    return once.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("level", "heading"))).filter("rank <= 14").select("page_id", "level", "heading", "rank")
-
-
 def short_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of three words at most, or that begin like navigation or with a year: no messaging."""
     h = headings(spark, sf_dir)
     return h.filter((F.col("words") <= 3) | F.col("heading").rlike(f"(?i)^{NAVIGATION}") | F.col("heading").rlike("^(©|[0-9]{4})")).select("page_id", "level", "heading")
 
 
-def page_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Category of each page by its text, and a positioning sentence from its first heading."""
-    pages = read(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("t"))
-    top = headings(spark, sf_dir).groupBy("page_id").agg(F.min(F.struct("level", "heading"))["heading"].alias("tagline"))
-    named = pages.select("page_id", category(F.col("t")).alias("category")).join(top, "page_id", "left")
-    return named.select("page_id", "category", positioning(F.col("category"), F.col("tagline"), F.lit(None).cast("string")).alias("statement"))
-
-
 def contacts(pages: DataFrame, site: str) -> DataFrame:
     """Of each site: up to three addresses of mailto links and two LinkedIn company pages, in order of page and place, and the legal name."""
     mails = F.transform(F.regexp_extract_all("html", F.lit("(?i)mailto:([^\"'?>\\s]+)"), 1), lambda x: F.trim(F.coalesce(F.try_url_decode(x), x)))
@@ -124,11 +109,12 @@ def contacts(pages: DataFrame, site: str) -> DataFrame:
 
 
 def document_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reading grade of each English document."""
-    d = read(spark, sf_dir, "documents").filter("lang = 'en' AND text IS NOT NULL")
+    """Reading grade of each document: words of the whole text, sentences and syllables of the kept sentences alone; null without any."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     words = F.size(F.filter(F.split(F.translate("text", "\t\n\r", "   "), " "), lambda w: w != ""))
-    d = d.select("doc_id", words.alias("words"), F.regexp_count("text", F.lit("[.!?]+")).alias("sentences"), T.syllables(F.col("text")).alias("syllables"))
-    return d.select("doc_id", "words", "sentences", reading_grade(F.col("words"), F.col("sentences"), F.col("syllables")).alias("grade"))
+    d = d.select("doc_id", words.alias("words"), T.sentences(F.col("text")).alias("kept"))
+    d = d.select("doc_id", "words", F.size("kept").alias("sentences"), T.syllables(F.array_join("kept", " ")).alias("syllables"))
+    return d.select("doc_id", "words", "sentences", F.when(F.col("sentences") > 0, reading_grade(F.col("words"), F.col("sentences"), F.col("syllables"))).alias("grade"))
 
 
-QUERIES = {f.__name__: f for f in (paragraphs, claims, headlines, short_headings, page_category, document_grade)}
+QUERIES = {f.__name__: f for f in (paragraphs, claims, short_headings, document_grade)}

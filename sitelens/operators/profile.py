@@ -62,8 +62,8 @@ def lexicon_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def syllable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimated syllables of each English document."""
-    return read(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", T.syllables(F.col("text")).cast("bigint").alias("syllables"))
+    """Estimated syllables of each document."""
+    return read(spark, sf_dir, "documents").select("doc_id", T.syllables(F.coalesce("text", F.lit(""))).cast("bigint").alias("syllables"))
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,28 +79,8 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAVIGATION = "(home|menu|search|sign in|log ?in|sign ?up|contact|about|blog|news|privacy|terms|cookie|skip to|next|previous|close|open|toggle)"
 
 
-def _terms(df: DataFrame, col: str) -> DataFrame:
-    clean = F.regexp_replace(F.lower(col), r"[^a-z0-9 '-]", " ")
-    out = df.withColumn("term", F.explode(F.split(clean, " "))).withColumn("term", F.regexp_replace("term", "^[-']+|[-']+$", ""))
-    return out.filter((F.length("term") >= 3) & ~F.col("term").rlike("^[0-9]+$") & ~F.col("term").isin(STOP))
-
-
-def salience(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tf x ln(1 + N / df) of heading terms, the top 50 by weight and term."""
-    h = headings(spark, sf_dir).filter("level <= 3")
-    n = h.agg(F.count("*").alias("total"))
-    t = _terms(h, "heading").groupBy("term").agg(F.count("*").alias("tf"), F.countDistinct("page_id").alias("doc_freq"))
-    w = t.join(F.broadcast(n)).select("term", "tf", "doc_freq", fixed(F.col("tf") * F.log(1 + F.col("total") / F.col("doc_freq")), 3).alias("weight"))
-    return w.orderBy(F.desc("weight"), "term").limit(50)
-
-
-def pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Salient terms grouped by stem: best weight and variants of the top five stems."""
-    return salience(spark, sf_dir).groupBy(T.stem(F.col("term")).alias("stem")).agg(F.max("weight").alias("weight"), F.count("*").alias("variants")).orderBy(F.desc("weight"), "stem").limit(5)
-
-
 def tagline_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of each heading as a tagline."""
+    """Score of each first-level heading as a tagline."""
     h = headings(spark, sf_dir).filter("level = 1")
     low = F.lower("heading")
     s = 10 - 1.2 * F.abs(F.col("words") - 7) - F.when(F.col("heading").rlike("[.!?]$"), 2).otherwise(0) + 3 + F.when(low.rlike("(?<![a-z0-9_])(free|today|now|fastest|best|leading|all-in-one)(?![a-z0-9_])"), 1).otherwise(0)
@@ -118,4 +98,4 @@ def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "struct<k bigint>")["k"].alias("k"))
 
 
-QUERIES = {f.__name__: f for f in (page_voice_profile, url_normalise, root_host_pages, html_text_stats, lexicon_counts, syllable_counts, headings, salience, pillars, tagline_score, call_log_rollup, manifest_parse)}
+QUERIES = {f.__name__: f for f in (page_voice_profile, url_normalise, root_host_pages, html_text_stats, lexicon_counts, syllable_counts, headings, tagline_score, call_log_rollup, manifest_parse)}

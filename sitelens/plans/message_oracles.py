@@ -4,22 +4,16 @@ from __future__ import annotations
 
 from ..operators.crawl import ICONS
 from ..operators.exports import WEIGHTS
-from ..operators.messaging import CATEGORIES
-from .oracles import _COLOUR, _HEAD, _NORMAL, _RANK, _ROOT, _TEXT, _fixed, _quote
-from .oracles import ORACLES as _OTHERS
+from .oracles import _COLOUR, _HEAD, _KEEP, _NORMAL, _RANK, _ROOT, _TEXT, _fixed, _quote, _syllables
 
-_CASES = " ".join(f"WHEN regexp_matches(t, '(?i)\\b({p})\\b') THEN {_quote(n)}" for n, p in CATEGORIES)
-_CATEGORY = f"""WITH {_HEAD}, p AS (SELECT page_id, {_TEXT} AS t FROM pages), c AS (SELECT page_id, CASE {_CASES} END AS category FROM p),
-tops AS (SELECT page_id, first(heading ORDER BY level, heading) AS tagline FROM hh GROUP BY page_id)
-SELECT c.page_id, category, CASE WHEN tagline IS NULL THEN NULL ELSE coalesce(category || ' that ', '') || lower(substr(tagline, 1, 1)) || substr(tagline, 2) END AS statement FROM c LEFT JOIN tops USING (page_id)"""
-
-_HEADLINES = f"""WITH {_HEAD}, o AS (SELECT page_id, lower(heading) AS k, min(struct_pack(level := level, heading := heading)) AS x FROM hh WHERE level <= 3 GROUP BY ALL)
-SELECT page_id, x.level AS level, x.heading AS heading, row_number() OVER (PARTITION BY page_id ORDER BY x.level, x.heading)::INT AS rank FROM o QUALIFY rank <= 14"""
 _SHORT = f"WITH {_HEAD} SELECT page_id, level, heading FROM hh WHERE words <= 3 OR regexp_matches(heading, '^(©|[0-9]{{4}})')"
 
-_GRADE = f"""WITH s AS ({_OTHERS['syllable_counts']}), d AS (SELECT doc_id, len(list_filter(string_split(translate(text, chr(9) || chr(10) || chr(13), '   '), ' '), lambda w: w <> ''))::INT AS words,
-len(regexp_extract_all(text, '[.!?]+'))::INT AS sentences FROM documents WHERE lang = 'en' AND text IS NOT NULL)
-SELECT doc_id, words, sentences, CASE WHEN words > 0 THEN {_fixed('greatest(0.0::DOUBLE, 0.39::DOUBLE * words / greatest(sentences, 1) + 11.8::DOUBLE * syllables / words - 15.59::DOUBLE)', 1)} END AS grade FROM d JOIN s USING (doc_id)"""
+_GRADE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, trim(unnest(string_split(regexp_replace(text, '([.!?…])\\s+', '\\1' || chr(10), 'g'), chr(10)))) AS s FROM d) WHERE {_KEEP}),
+{_syllables('s', 's')}, y AS (SELECT doc_id, sum(n) AS syllables FROM k GROUP BY doc_id), c AS (SELECT doc_id, count(*) AS sentences FROM s GROUP BY doc_id),
+w2 AS (SELECT doc_id, len(list_filter(string_split(translate(text, chr(9) || chr(10) || chr(13), '   '), ' '), lambda w: w <> ''))::INT AS words FROM d)
+SELECT doc_id, words, coalesce(sentences, 0)::INT AS sentences, CASE WHEN words > 0 AND sentences > 0 THEN {_fixed('0.39::DOUBLE * words / sentences + 11.8::DOUBLE * coalesce(syllables, 0) / words - 15.59::DOUBLE', 1)} END AS grade
+FROM w2 LEFT JOIN c USING (doc_id) LEFT JOIN y USING (doc_id)"""
 
 _USUAL = " UNION ALL ".join(f"SELECT root AS site, {1_000_000_000 + i} AS ord, 'https://' || root || {_quote(p)} AS url, {_quote(k)} AS kind, {s + 8}::DOUBLE AS score, NULL AS size FROM (SELECT DISTINCT root FROM u)" for i, (p, k, s) in enumerate(ICONS))
 _BONUS = "CASE WHEN url LIKE '%.svg' THEN 30 WHEN url LIKE '%.ico' THEN -8 WHEN url LIKE '%.webp' THEN 4 ELSE 0 END"
@@ -48,4 +42,4 @@ SELECT brand, rank::INT AS ord, 'colour' AS kind, 'shade-' || rank AS name, hex
 UNION ALL SELECT brand, x.o, 'font', x.n, CASE WHEN contains(x.v, ' ') THEN '"' || x.v || '"' ELSE x.v END, true FROM q
 UNION ALL SELECT brand, dense_rank() OVER (PARTITION BY brand ORDER BY x.v DESC)::INT, 'size', x.n, x.v || 'px', true FROM z"""
 
-ORACLES = {"page_category": _CATEGORY, "headlines": _HEADLINES, "short_headings": _SHORT, "document_grade": _GRADE, "logo_rank": _LOGOS, "profile_confidence": _CONFIDENCE, "brand_tokens": _TOKENS}
+ORACLES = {"short_headings": _SHORT, "document_grade": _GRADE, "logo_rank": _LOGOS, "profile_confidence": _CONFIDENCE, "brand_tokens": _TOKENS}

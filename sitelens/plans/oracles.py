@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import BOILERPLATE, LEXICONS
-from ..operators.profile import NAVIGATION, STOP
+from ..operators.profile import NAVIGATION
 
 
 def _fixed(x: str, n: int) -> str:
@@ -36,6 +36,14 @@ def _count(text: str, terms: list[str]) -> str:
     return " + ".join(f"len(regexp_extract_all(lower({text}), {_quote(t if ' ' in t else chr(92) + 'b' + t + chr(92) + 'b')}))" for t in terms)
 
 
+def _syllables(table: str, text: str) -> str:
+    """k: estimated syllables of each word of each document."""
+    return (
+        f"w AS (SELECT doc_id, replace(unnest(regexp_extract_all(lower({text}), '[a-z'']+')), '''', '') AS w FROM {table}), "
+        "k AS (SELECT doc_id, CASE WHEN length(w) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(regexp_replace(regexp_replace(w, '([^laeiouy]es|ed|[^laeiouy]e)$', ''), '^y', ''), '[aeiouy]{1,2}'))) END AS n FROM w WHERE w <> '')"
+    )
+
+
 _COLOUR = "c AS (SELECT p_brand AS brand, p_partkey AS ord, (p_partkey * 37 % 256)::DOUBLE AS r, (p_partkey * 91 % 256)::DOUBLE AS g, (p_size * 5 % 256)::DOUBLE AS b FROM part), x AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo, printf('#%02x%02x%02x', r::INT, g::INT, b::INT) AS hex FROM c)"
 _SAT = "CASE WHEN hi = lo THEN 0 ELSE (hi / 255.0 - lo / 255.0) / (1 - abs(hi / 255.0 + lo / 255.0 - 1)) END"
 
@@ -61,7 +69,6 @@ _HEAD = (
     + "'(?is)" + "|".join(f"<h{k}[^>]*>.*?</h{k}>" for k in range(1, 7)) + "')) AS h FROM pages)), "
     + f"hh AS (SELECT page_id, level, heading, len(string_split(heading, ' '))::INT AS words FROM h WHERE length(heading) BETWEEN 4 AND 220 AND len(string_split(heading, ' ')) <= 24 AND NOT regexp_matches(heading, '(?i)^{NAVIGATION}') AND regexp_matches(heading, '[A-Za-z0-9_]'))"
 )
-_SAL = _HEAD + r", w AS (SELECT page_id, regexp_replace(unnest(string_split(regexp_replace(lower(heading), '[^a-z0-9 ''-]', ' ', 'g'), ' ')), '^[-'']+|[-'']+$', '', 'g') AS term FROM hh), f AS (SELECT term, count(*) AS tf, count(DISTINCT page_id) AS doc_freq FROM w WHERE length(term) >= 3 AND NOT regexp_matches(term, '^[0-9]+$') AND term NOT IN (" + ", ".join(map(_quote, STOP)) + ") GROUP BY term), sal AS (SELECT term, tf, doc_freq, " + _fixed("tf * ln(1 + (SELECT count(*) FROM hh) / doc_freq)", 3) + " AS weight FROM f ORDER BY weight DESC, term LIMIT 50)"
 
 ORACLES = {
     "page_voice_profile": f"WITH {_PAGES}, m AS (SELECT page_id, count(*) AS n, sum(len(list_filter(string_split(s, ' '), lambda x: x <> '')))::DOUBLE / count(*) AS l FROM s GROUP BY page_id HAVING count(*) >= 3), "
@@ -72,10 +79,8 @@ ORACLES = {
     "root_host_pages": f"SELECT {_ROOT} AS root, count(*) AS pages, min(page_id) AS first_page FROM ({_NORMAL}) GROUP BY 1",
     "html_text_stats": f"WITH {_PAGES} SELECT t.page_id, length(t)::INT AS chars, count(s.s)::INT AS sentences FROM t LEFT JOIN s USING (page_id) GROUP BY t.page_id, t.t",
     "lexicon_counts": "SELECT source, " + ", ".join(f"sum({_count('text', terms)})::BIGINT AS {name}" for name, terms in LEXICONS.items()) + " FROM documents GROUP BY source",
-    "syllable_counts": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS w FROM documents WHERE lang = 'en'), k AS (SELECT doc_id, CASE WHEN length(w) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(regexp_replace(regexp_replace(w, '([^laeiouy]es|ed|[^laeiouy]e)$', ''), '^y', ''), '[aeiouy]{1,2}'))) END AS n FROM w) SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS syllables FROM documents d LEFT JOIN k USING (doc_id) WHERE d.lang = 'en' GROUP BY d.doc_id",
+    "syllable_counts": f"WITH {_syllables('documents', 'text')} SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS syllables FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id",
     "headings": f"WITH {_HEAD} SELECT * FROM hh",
-    "salience": f"WITH {_SAL} SELECT * FROM sal",
-    "pillars": f"WITH {_SAL} SELECT CASE WHEN length(term) <= 3 OR regexp_matches(term, '(ss|us|is|ous|ics)$') THEN term WHEN length(term) > 4 AND term LIKE '%ies' THEN regexp_replace(term, 'ies$', 'y') WHEN regexp_matches(term, '[^s]s$') THEN regexp_replace(term, 's$', '') ELSE term END AS stem, max(weight) AS weight, count(*) AS variants FROM sal GROUP BY 1 ORDER BY weight DESC, stem LIMIT 5",
     "tagline_score": f"WITH {_HEAD} SELECT page_id, heading, " + _fixed(r"(10 - 1.2 * abs(words - 7) - CASE WHEN regexp_matches(heading, '[.!?]$') THEN 2 ELSE 0 END + 3 + CASE WHEN regexp_matches(lower(heading), '\b(free|today|now|fastest|best|leading|all-in-one)\b') THEN 1 ELSE 0 END)::DOUBLE", 2) + " AS score FROM hh",
     "evidence": "SELECT item_id, count(*) AS docs FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 1, 40))) GROUP BY item_id",
     "call_log_rollup": f"SELECT user_id AS run, count(*) AS calls, count(DISTINCT event_type) AS surfaces, {_fixed('sum(value)', 2)} AS total_ms, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS failed FROM events GROUP BY user_id",
