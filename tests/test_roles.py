@@ -38,7 +38,7 @@ def test_declared_roles(roles):
     r = roles[1]["site"]
     assert (r.primary, r.background, r.text, r.border, r.onPrimary, r.link) == ("#0f766e", "#fcfcfc", "#2b2d31", "#e4e4e6", "#fcfcfc", "#0f766e")
     assert r.accent is None and "muted" in r.inferred and "link is the same colour as #0f766e" in r.shared and not r.dark_surface
-    assert roles[1]["bare"].primary == "#532f1d"
+    assert roles[1]["bare"].primary == "#25563d"
 
 
 def test_cards_hairlines_and_greys(roles):
