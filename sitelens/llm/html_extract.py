@@ -33,17 +33,26 @@ STOP_WORDS = frozenset(
 #: Elements whose text is never shown or never prose.
 SILENT = frozenset("script style noscript template svg math head title iframe object canvas select option optgroup datalist textarea button audio video map".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
-#: Elements that are page furniture as a whole.
-FURNITURE = frozenset("nav footer aside form dialog menu".split())
+#: Elements that are page furniture as a whole. A form counts as a mark, as it may hold the whole page.
+FURNITURE = frozenset("nav footer aside dialog menu".split())
+#: What a head may hold; anything else ends a head whose end tag is left out.
+HEAD_ONLY = frozenset("html head title base link meta style script noscript template".split())
 ARTICLE = frozenset("article main".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark furniture.
 MARKS = frozenset("ad ads advert adverts advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer header login menu modal nav navbar navigation newsletter notice popup promo promoted promotion reader recommended related replies respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split())
+#: Of these, the ones that mark furniture inside an article too; the others name its own parts there (a header, a teaser).
+INNER = MARKS - frozenset("banner disclaimer header login menu notice reader search skip teaser toolbar".split())
+#: Whole names of furniture inside an article.
+WHOLE = MARKS - frozenset(["header", "teaser"])
+#: Elements that hold an article's own words, whose names come from these words.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+WORDING = HEADINGS | {"p"}
 #: An element that one of these closes when it opens, as browsers do.
 CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"])}
 
-LISTED = frozenset("li dt dd td th".split())
+LISTED = frozenset("li dt dd".split())
 
 LONG_CHARS, STOP_SHARE, LINK_SHARE = 70, 0.25, 0.4
 #: Marked elements around a block that are told apart; those further in belong to the last of them.
@@ -71,15 +80,21 @@ class Block:
     around: int = 0
 
 
-def _marked(attrs: str) -> tuple[bool, bool]:
-    """Whether an element is hidden, and whether its names mark furniture."""
+def _names_furniture(token: str, within: bool) -> bool:
+    """Whether a class, id or role names furniture, by any of its parts; within an article by some parts, or as a whole."""
+    parts = _MARK_WORD.findall(_CONTRAST.sub("", token))
+    return not INNER.isdisjoint(parts) or token in WHOLE if within else not MARKS.isdisjoint(parts)
+
+
+def _marked(attrs: str, within: bool, heading: bool) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether its names mark furniture. A heading's id is made from its words and marks nothing."""
     hidden = marked = False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _INVISIBLE.search(value):
             hidden = True
         elif name in ("class", "id", "role"):
-            marked = marked or any(not MARKS.isdisjoint(_MARK_WORD.findall(_CONTRAST.sub("", token))) for token in value.split())
+            marked = marked or not (heading and name == "id") and any(_names_furniture(token, within) for token in value.split())
     return hidden, marked
 
 
@@ -107,7 +122,9 @@ class _Reader:
         self.linked = 0
 
     def add(self, raw: str) -> None:
-        """Takes text in."""
+        """Takes text in. Text ends a head whose end tag is left out."""
+        if raw and self.stack and self.stack[-1][0] == "head" and not raw.isspace():
+            self.leave(len(self.stack) - 1)
         if raw and not self.state[0]:
             text = _html.unescape(raw)
             self.parts.append(text)
@@ -136,6 +153,8 @@ class _Reader:
 
     def start(self, name: str, attrs: str) -> None:
         """A start tag."""
+        if self.stack and self.stack[-1][0] == "head" and name not in HEAD_ONLY:
+            self.leave(len(self.stack) - 1)
         if name in BLOCK:
             self.flush()
             if self.open_blocks and name in CLOSES["p"] and self.stack[self.open_blocks[-1]][0] == "p":
@@ -152,10 +171,11 @@ class _Reader:
             article, around = self.articles, len(marks)
         if name in FURNITURE or name == "header" and not article:
             furniture = True
-        elif attrs and name not in ("html", "body"):
-            hidden, marked = _marked(attrs)
+        elif (attrs or name == "form") and name not in ("html", "body"):
+            hidden, marked = _marked(attrs, article > 0, name in HEADINGS)
             furniture = furniture or hidden
-            if marked and name not in ARTICLE:
+            marked = marked and not (article and name in WORDING)
+            if (marked or name == "form") and name not in ARTICLE:
                 self.marked += 1
                 marks = (*marks, self.marked) if len(marks) < DEEP else marks
         if name in BLOCK:
@@ -220,6 +240,11 @@ def _weighed(found: list[Block]) -> list[Block]:
     return found
 
 
+def _long(text: str) -> bool:
+    """Whether a block is long prose; letters of scripts that write words without spaces count threefold."""
+    return len(text) + 2 * sum(c >= "\u2e80" for c in text) >= LONG_CHARS
+
+
 def decide(found: list[Block]) -> list[bool]:
     """The two passes: which blocks are content."""
     labels: list[bool | None] = []
@@ -232,6 +257,9 @@ def decide(found: list[Block]) -> list[bool]:
         stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
         labels.append(True if len(b.text) >= LONG_CHARS and stop >= STOP_SHARE else None)
     no_article = not any(b.article for b in found)
+    if no_article and True not in labels:
+        # a language without listed stop words: length and link density decide alone
+        labels = [True if label is None and _long(b.text) else label for b, label in zip(found, labels, strict=True)]
     ahead: list[tuple[int, bool] | None] = [None] * len(found)
     last: dict[int, tuple[int, bool]] = {}
     for i in range(len(found) - 1, -1, -1):

@@ -20,6 +20,18 @@ PAGES = [
     (f"<p>{LONG}</p><div hidden>{LONG}</div><p style='display: none'>{LONG}</p>", LONG),
     ("<main><h1>T</h1><p>a&nbsp;b&amp;c &#x41;&#66;</p><script>if (a<b) {}</script><style>p{}</style></main>", "T\na b&c AB"),
     ("<article><p>cut <b", "cut"),
+    ("<html><head><title>t</title><body><article><p>One.</p></article>", "One."),
+    ("<html><head><meta charset=u><link rel=x><title>t</title><article><p>One.</p></article>", "One."),
+    (f"<head><title>t</title>\n<style>p{{}}</style>{LONG}", LONG),
+    ("<head><template><div>no</div></template><script>x</script><p>One.", "One."),
+    ("<body><form action=x><nav><a href=y>Menu</a></nav><article><p>One.</p><form><p>Your comment</p></form></article></form>", "One."),
+    (f"<body><form id=aspnetForm><div class=menu><a href=y>Menu</a></div><p>{LONG}</p><p>{LONG}</p></form>", f"{LONG}\n{LONG}"),
+    (f"<p>{LONG}</p><form><label>Your name</label></form><p>{LONG}</p>", f"{LONG}\n{LONG}"),
+    ("<article><div class='entry-header'><h1>Title</h1></div><p class='teaser'>Lead.</p><h2 id='login-flow'>Flow</h2><h2 id='search'>Search</h2><p>End.</p></article>", "Title\nLead.\nFlow\nSearch\nEnd."),
+    ("<article><p>One.</p><div class='comment-list'><p>Reader</p></div><div class=notice>Sign in</div><div class='share-bar'>Share</div></article>", "One."),
+    ("<article><table><tr><td><a href=x>Cell</a><td>Plain</table></article>", "Cell\nPlain"),
+    ("<ul><li><a href=x>\u9996\u9875</a></ul><div>" + "\u8fd9\u662f\u4e00\u6bb5\u6b63\u6587\u3002" * 6 + "</div>", "\u8fd9\u662f\u4e00\u6bb5\u6b63\u6587\u3002" * 6),
+    (f"<h2 id=related>Heads</h2><p>{LONG}</p>", f"Heads\n{LONG}"),
     ("", ""),
     (None, ""),
 ]
