@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; texts are long, so the batches are kept short.
@@ -26,7 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. A local session, as in tests, may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="sitelens-"))
@@ -59,25 +60,43 @@ def discard(*tables: DataFrame | None) -> None:
             place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """df with the boolean _maybe: false only where the bigint column key equals no id of ids (one column, ``id``).
+def free(df: DataFrame, *stems: str) -> list[str]:
+    """Names like the given ones that no column of df bears, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """df's columns, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def maybe_in(df: DataFrame, key: str, ids: DataFrame, flag: str = "_maybe") -> DataFrame:
+    """df with the boolean flag: false only where the bigint column key equals no id of ids (one column, ``id``).
 
     The identifiers' hashes set bits of a map of FILTER_BITS bits, cut into rows of 4 kB, so at most FILTER_BITS / 8 bytes
     are broadcast however many there are; beyond a few per FILTER_BITS more rows are marked than need be, none is missed.
     """
+    row, at_byte, at_bit, map_ = free(df, "_bits_row", "_bits_byte", "_bits_bit", "_bits")
     place = F.pmod(F.xxhash64(F.col("id"), F.lit(41)), F.lit(FILTER_BITS))
-    bits = ids.select(place.alias("_p")).groupBy(F.shiftright("_p", 15).alias("_bits_row")).agg(F.bitmap_construct_agg(F.col("_p").bitwiseAND(F.lit(32767))).alias("_bits"))
+    bits = ids.select(place.alias("_p")).groupBy(F.shiftright("_p", 15).alias(row)).agg(F.bitmap_construct_agg(F.col("_p").bitwiseAND(F.lit(32767))).alias(map_))
     own = F.pmod(F.xxhash64(F.col(key), F.lit(41)), F.lit(FILTER_BITS))
     at = own.bitwiseAND(F.lit(32767))
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bits_byte AS int) + 1, 1)")), 16, 10).cast("int")
-    marked = df.withColumn("_bits_row", F.shiftright(own, 15)).withColumn("_bits_byte", F.shiftright(at, 3)).withColumn("_bits_bit", at.bitwiseAND(F.lit(7)).cast("int"))
-    marked = marked.join(F.broadcast(bits), "_bits_row", "left")  # FILTER_BITS / 8 bytes at most
-    bit = F.coalesce(byte, F.lit(0)).bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("_bits_bit")))
-    return marked.withColumn("_maybe", bit != 0).select(*df.columns, "_maybe")
+    byte = F.conv(F.hex(F.expr(f"substring({map_}, cast({at_byte} AS int) + 1, 1)")), 16, 10).cast("int")
+    marked = df.withColumn(row, F.shiftright(own, 15)).withColumn(at_byte, F.shiftright(at, 3)).withColumn(at_bit, at.bitwiseAND(F.lit(7)).cast("int"))
+    marked = marked.join(F.broadcast(bits), row, "left")  # FILTER_BITS / 8 bytes at most
+    bit = F.coalesce(byte, F.lit(0)).bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col(at_bit)))
+    return marked.withColumn(flag, bit != 0).select(*columns_of(df), flag)
 
 
 def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of df whose bigint column key is null or equals no id of ids. Only rows that may equal one are exchanged."""
-    marked = maybe_in(df, key, ids)
-    open_ = marked.filter("_maybe").drop("_maybe").join(ids.select(F.col("id").alias("_gone")), F.col(key) == F.col("_gone"), "left_anti")
-    return marked.filter("NOT _maybe").drop("_maybe").unionByName(open_)
+    flag, gone = free(df, "_maybe", "_gone")
+    marked = maybe_in(df, key, ids, flag)
+    open_ = marked.filter(F.col(flag)).drop(flag).join(ids.select(F.col("id").alias(gone)), F.col(key) == F.col(gone), "left_anti")
+    return marked.filter(~F.col(flag)).drop(flag).unionByName(open_)

@@ -9,7 +9,8 @@ Scale: counting is two map-side combined aggregations over (host, line hash, tex
 lines carries no text (lines are hashed once, into a written table), and its frequent side holds at most (lines / MIN_DOCS) rows, so a hot host or line is split by
 the skew join and not gathered. Every per-document measure stays in the document's own row.
 Defined results: null and empty texts have no words and fail; a null host is a host of its own; a row is judged by its
-own text and host, so equal, repeated or null identifiers change nothing; extra columns with the names of measures give way.
+own text and host, so equal, repeated or null identifiers change nothing; extra columns with the names of measures give way,
+and names used on the way are drawn free of the table's own.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, without, written
+from .common import columns_of, free, maybe_in, without, written
 
 MIN_DOCS, MAX_SHARE, KEEP_SHARE = 20, 0.10, 0.30
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -52,15 +53,16 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     held = F.element_at(F.transform(F.array(words(text)), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), _repeated(w).alias("r"))), 1)
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
     dups = F.element_at(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), 1)
-    out = docs.withColumn("_held", held)
+    (own,) = free(docs, "_held")
+    out = docs.withColumn(own, held)
     return (
-        out.withColumn("n_words", F.col("_held.n"))
+        out.withColumn("n_words", F.col(f"{own}.n"))
         .withColumn("word_chars", F.length(F.translate(text, SPACES, "")).cast("bigint"))
         .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint"))
         .withColumn("n_dup_lines", dups.cast("bigint"))
-        .withColumn("n_repeat_words", F.col("_held.r"))
+        .withColumn("n_repeat_words", F.col(f"{own}.r"))
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words")))
-        .drop("_held")
+        .drop(own)
     )
 
 
@@ -103,11 +105,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """The other columns of docs but the text, the measures, removed_words and kept."""
     removed = _removals(docs, id_col, text_col, host_col)
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    own = [c for c in docs.columns if c != text_col and c not in (*added, "removed_words", "kept")]
-    facts = measures(docs, text_col).select(*own, *added, _row_key(id_col, text_col, host_col).alias("_row"))
-    judged = facts.join(removed, F.col("_row") == F.col("_key"), "left")
-    lost = F.coalesce(F.expr("_gone * n_words div _words"), F.lit(0)).cast("bigint")
-    judged = judged.withColumn("removed_words", lost).drop("_row", "_key", "_words", "_gone")
+    gives_way = {c.lower() for c in (text_col, *added, "removed_words", "kept")}
+    row, key, words_, gone = free(docs, "_row", "_key", "_words", "_gone")
+    keyed = docs.withColumn(row, _row_key(id_col, text_col, host_col))
+    own = [c for name, c in zip(docs.columns, columns_of(docs), strict=True) if name.lower() not in gives_way]
+    facts = measures(keyed, text_col).select(*own, *added, row)
+    judged = facts.join(removed.toDF(key, words_, gone), F.col(row) == F.col(key), "left")
+    lost = F.coalesce(F.expr(f"{gone} * n_words div {words_}"), F.lit(0)).cast("bigint")
+    judged = judged.withColumn("removed_words", lost).drop(row, key, words_, gone)
     return judged.withColumn("kept", ~F.col("base_failed") & ~_depleted(F.col("n_words"), F.col("removed_words")))
 
 
@@ -117,4 +122,5 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_c
     failed = measures(docs.select(key.alias("id"), text_col), text_col).filter("base_failed").select("id")
     depleted = _removals(docs, id_col, text_col, host_col).filter(_depleted(F.col("_words"), F.col("_gone"))).select(F.col("_key").alias("id"))
     rejected = written(failed.unionByName(depleted), "rejected")
-    return without(docs.withColumn("_row", key), "_row", rejected).drop("_row")
+    (row,) = free(docs, "_row")
+    return without(docs.withColumn(row, key), row, rejected).drop(row)

@@ -6,7 +6,7 @@ comparison, Last-Modified, payload digest) and merges the headers that a 304 res
 
 Scale: the as-of join is a scan in two levels. Captures of a URL are cut into runs of equal time; within a run a window
 carries the last full response forward, across runs a window over one row a run does. A URL with a third of all rows is
-thus many windows of bounded length. No payload takes part; only identifiers, digests and headers are exchanged.
+thus many windows, each of one run's captures. No payload takes part; only identifiers, digests and headers are exchanged.
 Defined results: a revisit without an earlier full response is ``orphan``; contradicting validators give ``mismatch``;
 one without any common validator resolves as ``unchecked``. Captures at the same time count in order of their record
 id, full responses first. Null URLs form no group: such revisits are orphans.
@@ -44,12 +44,24 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+def with_kinds(captures: DataFrame) -> DataFrame:
+    """captures without answers that no revisit can refer to and without revisits that are not server-not-modified."""
+    status = F.col("http_status") if "http_status" in captures.columns else F.lit(None).cast("int")
+    profile = F.lower("profile") if "profile" in captures.columns else F.lit(None).cast("string")
+    whole = status.isNull() | (status.between(200, 299) & (status != 206))
+    unmodified = F.coalesce(F.contains(profile, F.lit("server-not-modified")), F.lit(True)) & (status.isNull() | (status == 304))
+    return captures.filter(((F.col("kind") == "response") & whole) | ((F.col("kind") == "revisit") & unmodified))
+
+
 def resolve(captures: DataFrame, run_seconds: int = RUN_SECONDS) -> DataFrame:
-    """captures: record_id, url, ts (timestamp), kind ('response' or 'revisit'), digest, headers (map of lower-case names).
+    """captures: record_id, url, ts (timestamp), kind ('response' or 'revisit'), digest, headers (map of lower-case names), and,
+    if known, http_status and profile: only a 200-class answer other than a partial one (206) is a full response, and only
+    revisits of the server-not-modified kind (by profile, or status 304) are resolved; unknown (null) ones count as before.
 
     Returns one row per revisit: record_id, canonical, ts, status (resolved, unchecked, mismatch, orphan), refers_to,
     refers_ts, digest (of the response referred to, else its own), headers (merged when resolved or unchecked, else own).
     """
+    captures = with_kinds(captures)
     full = F.col("kind") == "response"
     seconds = F.unix_timestamp("ts")
     c = captures.select("record_id", "ts", "kind", "digest", "headers", canonical_url(F.col("url")).alias("canonical"), F.floor(seconds / run_seconds).alias("_run"))
@@ -111,15 +123,16 @@ def _headers(stream) -> dict[str, str]:
 
 
 def records(files: DataFrame) -> DataFrame:
-    """files: rows of Spark's binaryFile source. Returns captures with url, ts, kind, digest, headers and body."""
+    """files: rows of Spark's binaryFile source. Returns captures with url, ts, kind, digest, http_status, profile, headers and body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column("content").to_pylist():
                 rows = [r for r in parse(content or b"") if r["type"] in ("response", "revisit")]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in ("id", "url", "date", "type")] + [pa.array([r["headers"].get("warc-payload-digest") for r in rows], pa.string()), pa.array([list(r["http_headers"].items()) for r in rows], pa.map_(pa.string(), pa.string())), pa.array([r["body"] for r in rows], pa.binary())], ["record_id", "url", "date", "kind", "digest", "headers", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in ("id", "url", "date", "type")]
+                    + [pa.array([r["headers"].get("warc-payload-digest") for r in rows], pa.string()), pa.array([r["http_status"] for r in rows], pa.int32()), pa.array([r["headers"].get("warc-profile") for r in rows], pa.string()), pa.array([list(r["http_headers"].items()) for r in rows], pa.map_(pa.string(), pa.string())), pa.array([r["body"] for r in rows], pa.binary())], ["record_id", "url", "date", "kind", "digest", "http_status", "profile", "headers", "body"])
 
-    read = files.select("content").mapInArrow(run, "record_id string, url string, date string, kind string, digest string, headers map<string,string>, body binary")
+    read = files.select("content").mapInArrow(run, "record_id string, url string, date string, kind string, digest string, http_status int, profile string, headers map<string,string>, body binary")
     return read.withColumn("ts", F.try_to_timestamp("date")).drop("date")
 
 
