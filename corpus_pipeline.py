@@ -4,6 +4,10 @@ language_id drops texts without letters and texts too far from every learned lan
 that fail the base rules or keep too few words once lines common to many documents of a host are gone; near_dedup keeps
 one document of each component of near duplicates on 5-word shingles at 0.8; decontaminate drops documents that hold a
 benchmark item's template; bpe returns the tokens' digests. All but the last return the columns of documents.
+
+Defined results: null and empty texts go at the first stage; a row repeated with its identifier is judged like its twin, and
+stays or goes with it (near duplicates are told apart by identifier, so both rows of one stay); a null identifier is no
+duplicate of any row; further columns pass through, whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -14,14 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import bpe_automaton, decontaminate, language_id, near_dedup, quality_rules
-from sitelens.llm.common import discard, table, without, written
+from sitelens.llm.common import columns_of, discard, free, table, without, written
 from sitelens.llm.queries import tokenizer_path
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is known from their own labels."""
-    judged = language_id.predict(docs, language_id.fit(docs), names=("_lang", "_score", "_rejected"))
-    return judged.filter("NOT _rejected").select(*docs.columns)
+    names = tuple(free(docs, "_lang", "_score", "_rejected"))
+    judged = language_id.predict(docs, language_id.fit(docs), names=names)
+    return judged.filter(~F.col(names[2])).select(*columns_of(docs))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
