@@ -34,4 +34,12 @@ e AS (SELECT host, every, list_transform(every, lambda e: {{'c': trim(regexp_rep
 p AS (SELECT host, every, coalesce(list_filter(clean, lambda e: len(string_split(e.c, ' ')) <= {WORDS})[1], clean[1]) AS best FROM e)
 SELECT host AS site, best.c AS name, best.s AS basis, array_to_string(list_transform(every, lambda e: e.s || '=' || e.v), '; ') AS candidates FROM p"""
 
-ORACLES = {"site_names": _SITE_NAMES}
+_FAULTS = f"""WITH names AS ({_SITE_NAMES}), n AS ({_NORMAL}),
+f AS (SELECT host, arg_min(normal, page_id) AS url, lower(regexp_extract(arg_min(html, page_id), '(?i)<html[^>]* lang="([^"]*)"', 1)) AS lang, count(DISTINCT page_id) AS k, min(page_id) AS low, max(page_id) AS high FROM n GROUP BY host)
+SELECT host, '$.identity' AS path, '$.identity.legalName: required property is missing' AS fault FROM f
+UNION ALL SELECT host, '$.identity.url', '$.identity.url: "' || url || '" does not match ^https://' FROM f WHERE NOT starts_with(url, 'https://')
+UNION ALL SELECT host, '$.lang', '$.lang: "' || lang || '" is not one of ["en","de"]' FROM f WHERE lang NOT IN ('en', 'de')
+UNION ALL SELECT host, '$.pages', '$.pages: needs at least 2 item(s)' FROM f WHERE low = high
+UNION ALL SELECT host, '$.pages[0]', '$.pages[0]: 0 < minimum 1' FROM f WHERE low = 0"""
+
+ORACLES = {"site_names": _SITE_NAMES, "guide_faults": _FAULTS}
