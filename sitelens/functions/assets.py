@@ -25,6 +25,16 @@ MESSAGES = {
     "selector_not_matched": "None of the CSS selectors matched anything on that page.",
     "selector_unsupported": "CSS selectors cannot be applied to this kind of document.",
 }
+#: What failures of the caller's key or connection mean, in words of our own.
+CALLER_MESSAGES = {
+    "MISSING_API_KEY": "No key for the fetch service was given.",
+    "INVALID_API_KEY": "The fetch service rejected the key; with a bad key every site looks unreadable.",
+    "NETWORK_ERROR": "The request to the fetch service could not be completed.",
+    "UPSTREAM_TIMEOUT": "The request to the fetch service timed out. Try again, or read fewer pages.",
+    "HTTP_401": "The fetch service rejected the key (401).",
+    "HTTP_403": "The fetch service refused the key (403). It may lack access to this kind of call.",
+    "HTTP_429": "The fetch service's rate limit was reached (429). Wait a moment and try again.",
+}
 #: Codes by which no site at all could be read.
 REQUEST_LEVEL = ("MISSING_API_KEY", "INVALID_API_KEY", "HTTP_401", "HTTP_403", "HTTP_429", "NETWORK_ERROR", "UPSTREAM_TIMEOUT", "ECONNREFUSED", "ENOTFOUND")
 #: Image endings, their format and what the format adds to a logo's score.
@@ -41,7 +51,7 @@ def is_request_level(code: Column) -> Column:
 
 def explain_error(code: Column, url: Column, status: Column) -> Column:
     """A sentence for a code, with address and status in brackets where they are known."""
-    base = F.coalesce(F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])[F.coalesce(code, F.lit(""))], F.lit("That URL could not be read."))
+    base = F.coalesce(F.create_map(*[F.lit(x) for kv in (MESSAGES | CALLER_MESSAGES).items() for x in kv])[F.coalesce(code, F.lit(""))], F.lit("That URL could not be read."))
     bits = F.array_compact(F.array(F.when(url != "", url), F.when(status > 0, F.concat(F.lit("HTTP "), status.cast("string")))))
     return F.concat(base, F.when(F.size(bits) > 0, F.concat(F.lit(" ("), F.array_join(bits, " · "), F.lit(")"))).otherwise(F.lit("")))
 
