@@ -10,9 +10,9 @@ from sitelens.functions import tokens as T
         ("--color-bg-primary", "declaredRole", "background", False, False, "primary"),
         ("--header-bg", "component", "background", False, False, None),
         ("--blue-500", "paletteEntry", None, False, True, None),
-        ("--govuk-brand-colour", "declaredRole", "primary", False, False, None),
-        ("--govuk-surface-text-colour", "declaredRole", "text", False, False, None),
-        ("--govuk-link-hover-colour", "declaredRole", "link", False, True, None),
+        ("--harbour-brand-colour", "declaredRole", "primary", False, False, None),
+        ("--harbour-surface-text-colour", "declaredRole", "text", False, False, None),
+        ("--harbour-link-hover-colour", "declaredRole", "link", False, True, None),
         ("--color-brand-text", "declaredRole", "primary", True, False, None),
         ("--bg-base", "bareRole", "background", False, False, "base"),
         ("--color-red", "paletteEntry", None, False, False, None),
