@@ -4,7 +4,8 @@ Each word (and the end of a text) is drawn in the restaurant of the word before
 from the parent restaurant, which all contexts share, and a new table of the parent from a uniform base over the
 training vocabulary and one unknown word. Seating is sampled by blocked Gibbs: given a gamma variable for each
 restaurant its dishes are independent, and each sweep draws every dish's number of tables, with all its customers, from
-its exact conditional (generalised Stirling weights). The predictive probability is averaged over the samples after
+its exact conditional (generalised Stirling weights; by their recursion for dishes of up to RECURSED customers, beyond by
+their contour integral in the neighbourhood of the likely numbers, as the recursion's cost is quadratic). The predictive probability is averaged over the samples after
 burn-in; with discount d, strength s, counts c, tables t and the means over samples of t,
     p(w | u) = (c_uw - d t_uw + (s + d t_u) p(w)) / (s + c_u),  p(w) = (t_w - d r_w + (s + d r) / (V + 1)) / (s + t).
 A document's score is the sum of log10 p over its words and its end; perplexity is 10 ** (-score / n_tokens).
@@ -30,6 +31,7 @@ tokens (the end too) with a training count; with no training document all probab
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,8 @@ from .words import mix, word_hashes
 BLOCK_BYTES, BURN_IN, SAMPLES, STRENGTH = 8 << 20, 2, 3, 1.0
 #: Rounds of the estimate that seating starts from; numbers in a matrix of table weights.
 START, CELLS = 10, 1 << 20
+#: Customers up to which a dish's table weights come from the recursion; beyond it they come from the contour integral.
+RECURSED = 1024
 #: Bytes of text for each shard, about a million tokens: a worker holds the pairs of one shard at a time.
 SHARD_BYTES = 6 << 20
 _END, _BEGIN = np.uint64(0x5EED_0001_E4D0_0001), np.uint64(0x5EED_0002_B361_0002)
@@ -158,6 +162,71 @@ def _stirling(counts: np.ndarray, widths: np.ndarray, d: float) -> list[np.ndarr
     return out
 
 
+def _log_sibuya(c: int, t: np.ndarray, d: float) -> np.ndarray:
+    """log of the chance that t Sibuya(d) numbers sum to c, which is S(c, t) t! d ** t / c!, for increasing t from 1 to c.
+
+    It is the coefficient of z ** c in (1 - (1 - z) ** d) ** t. The contour is a parabola s = m (1 + i x) ** 2 around the cut
+    of s = 1 - z, through the saddle point or, where that comes too close to the cut, through 4 / c; where nearly all tables
+    have one customer, it is a circle. 64 points on each half of it give six places at least.
+    """
+    log_lo = np.full(len(t), np.log(4.0 / c))
+    log_hi = np.zeros(len(t))
+    for _ in range(60):
+        mid = (log_lo + log_hi) / 2
+        s = np.exp(mid)
+        up = (c + 1) / -np.expm1(mid) > t * d * s ** (d - 1) / -np.expm1(d * mid)
+        log_lo, log_hi = np.where(up, log_lo, mid), np.where(up, mid, log_hi)
+    at = (log_lo + log_hi) / 2
+    m = np.exp(at)
+    gap, power = -np.expm1(at), -np.expm1(d * at)
+    bend = (c + 1) / gap**2 - t * d * ((d - 1) * m ** (d - 2) * power + d * m ** (2 * d - 2)) / power**2
+    step = np.minimum(0.15, 0.25 / (m * np.sqrt(np.maximum(bend, 1e-300))))
+    x = 1 + 1j * step[:, None] * np.arange(65)
+    size = 2 * m * step
+    ring = (c - t < 100) & (gap < 0.6)
+    z = np.maximum(gap[ring], 1.0 / c)[:, None] * np.exp(1j * np.pi / 64 * np.arange(65))
+    s = m[:, None] * x * x
+    s[ring], x[ring], size[ring] = 1 - z, z, np.pi / 64
+    g = t[:, None] * np.log(1 - s**d) - (c + 1) * np.log(1 - s)
+    top = g[:, :1].real
+    terms = (x * np.exp(g - top)).real
+    return top[:, 0] + np.log(size / np.pi * (terms.sum(axis=1) - terms[:, 0] / 2 - terms[:, -1] / 2))
+
+
+def _likely(c: int, fresh: float, d: float) -> tuple[int, np.ndarray]:
+    """The lowest likely number of tables of a dish, and the weights S(c, t) (d fresh) ** t from there, scaled to 1 at most.
+
+    The weights are log-concave in t, so all numbers left out have less than e ** -36 of the greatest weight and fall further.
+    """
+    # near the mode: t is about Poisson, tilted to the sum c
+    log_lo, log_hi = -700.0, 0.0
+    for _ in range(60):
+        mid = (log_lo + log_hi) / 2
+        if np.log(c) - np.log(-np.expm1(mid)) > np.log(fresh * d) + (d - 1) * mid:
+            log_hi = mid
+        else:
+            log_lo = mid
+    mode = min(float(c), max(1.0, -fresh * np.expm1(d * log_lo)))
+    lo, hi = max(1, int(mode - 10 * mode**0.5 - 30)), min(c, int(mode + 10 * mode**0.5 + 30))
+    while True:
+        t = np.arange(lo, hi + 1, dtype=float)
+        if len(t) <= 256:
+            log = np.cumsum(np.log(fresh / t)) + _log_sibuya(c, t, d)
+        else:  # times (c - t)! it is smooth in t: read off a polynomial through 24 of the numbers
+            node = np.rint((lo + hi) / 2 - (hi - lo) / 2 * np.cos(np.pi * np.arange(24) / 23))
+            known = _log_sibuya(c, node, d) + [math.lgamma(c - k + 1) for k in node.tolist()]
+            gaps = 4 / (hi - lo) * (node[:, None] - node) + np.eye(24)
+            part = t[:, None] - node
+            part = 1 / (np.where(part == 0, 1e-9, part) * gaps.prod(axis=1))
+            log = np.cumsum(np.log(fresh / t) + np.log(c - t + 1)) + part @ known / part.sum(axis=1)
+        log -= log.max()
+        low, high = lo > 1 and log[0] > -36, hi < c and log[-1] > -36
+        if not low and not high:
+            return lo, np.exp(log)
+        wide = hi - lo + 1
+        lo, hi = max(1, lo - wide * low), min(c, hi + wide * high)
+
+
 def seat(room: np.ndarray, count: np.ndarray, parent: np.ndarray, rng: np.random.Generator, share: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Mean tables of each dish over the samples, and the discount.
 
@@ -172,8 +241,9 @@ def seat(room: np.ndarray, count: np.ndarray, parent: np.ndarray, rng: np.random
     by_size = np.argsort(count, kind="stable")
     by_size = by_size[np.searchsorted(count[by_size], 2) :]  # one customer has one table
     c, r, p = count[by_size], room[by_size], parent[by_size]
-    sizes, first = np.unique(c, return_index=True)
-    edges = np.append(first, len(c))
+    few = int(np.searchsorted(c, RECURSED, side="right"))
+    sizes, first = np.unique(c[:few], return_index=True)
+    edges = np.append(first, few)
     alone = np.bincount(room, minlength=rooms) - np.bincount(r, minlength=rooms)
     share = np.ones(rooms) if share is None else share
     t = c.astype(float) ** d  # near the tables to come, so that little has to be burnt in
@@ -188,7 +258,7 @@ def seat(room: np.ndarray, count: np.ndarray, parent: np.ndarray, rng: np.random
         total = (alone + np.bincount(r, weights=t, minlength=rooms)) / share
         # a gamma variable of each room makes its dishes independent: P(t) ~ S(c, t) (d u p) ** t
         fresh = rng.gamma(total + STRENGTH / d)[r] * p
-        reach = np.maximum.reduceat(_reach(c, fresh), first)
+        reach = np.maximum.reduceat(_reach(c[:few], fresh[:few]), first) if few else widths
         if (reach > widths).any():
             widths = np.maximum(widths, np.minimum(sizes, reach + reach // 2))
             rows = _stirling(sizes, widths, d)
@@ -202,6 +272,10 @@ def seat(room: np.ndarray, count: np.ndarray, parent: np.ndarray, rng: np.random
                 weights = row[:wide] + scale[a:b, None] * steps
                 weights = np.cumsum(np.exp(weights - weights.max(axis=1, keepdims=True)), axis=1)
                 t[a:b] = 1 + (weights[:, :-1] <= (chance[a:b] * weights[:, -1])[:, None]).sum(axis=1)
+        for i in range(few, len(c)):
+            low, weights = _likely(int(c[i]), max(float(fresh[i]), 1e-300), d)
+            weights = np.cumsum(weights)
+            t[i] = low + np.searchsorted(weights[:-1], chance[i] * weights[-1], side="right")
         if sweep >= BURN_IN:
             mean[by_size] += t / SAMPLES
     return mean, d

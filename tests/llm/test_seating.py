@@ -49,3 +49,26 @@ def test_stirling_weights():
         sizes = np.array([2, 3, 40, 100])
         for c, got in zip(sizes.tolist(), pitman_yor._stirling(sizes, np.array([2, 2, 40, 30]), d), strict=True):
             assert got == pytest.approx(np.log(np.array(exact[c][: len(got)]) / exact[c][0]), abs=1e-9)
+
+
+def test_likely_numbers_of_tables_match_the_recursion():
+    for d in (0.3, 0.75, 0.95):
+        row = pitman_yor._stirling(np.array([3000]), np.array([3000]), d)[0]
+        for fresh in (1e-6, 1.0, 40.0, 700.0, 1e5, 1e12):
+            log = row + np.log(d * fresh) * np.arange(3000)
+            want = np.exp(log - log.max())
+            low, weights = pitman_yor._likely(3000, fresh, d)
+            got = np.zeros(3000)
+            got[low - 1 : low - 1 + len(weights)] = weights
+            assert np.abs(got / got.sum() - want / want.sum()).sum() < 1e-6
+
+
+def test_work_of_a_dish_does_not_follow_its_customers_squared(monkeypatch):
+    rows = []
+    recursion = pitman_yor._stirling
+    monkeypatch.setattr(pitman_yor, "_stirling", lambda c, w, d: rows.append(int(c[-1]) * int(w.max())) or recursion(c, w, d))
+    count = np.array([1, 1, 2, 1000, 300_000, 2_000_000])
+    parent = np.array([1e-6, 1e-6, 1e-6, 0.1, 0.4, 0.5])
+    tables, d = pitman_yor.seat(np.zeros(6, int), count, parent, np.random.default_rng(1))
+    assert rows and max(rows) <= pitman_yor.RECURSED**2
+    assert (tables[:2] == 1).all() and (tables <= count).all() and tables[5] > tables[4] > tables[3] > 1
