@@ -42,12 +42,18 @@ def delta_e_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_named_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The named colour nearest to each colour; the first of equals. The name table is a literal array in each row."""
-    names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("name"), C.lab(*[F.lit(float(int(v[j : j + 2], 16))) for j in (1, 3, 5)]).alias("lab")) for i, (k, v) in enumerate(C.NAMED.items())])
-    table = spark.range(1).select(F.explode(names).alias("x")).select("x.*")  # a fixed table of under 60 rows
-    c = brand_colours(spark, sf_dir).withColumn("own", C.lab(*_rgb()))
-    pairs = c.join(F.broadcast(table)).withColumn("d", C.delta_e(F.col("own"), F.col("lab")))
-    return pairs.groupBy("brand", "ord").agg(F.min_by("name", F.struct("d", "i")).alias("name"))
+    """The named colour nearest to each colour; the first of equals. A colour that many parts have is compared once, within its row."""
+    n = len(C.NAMED)
+    names = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(float(int(v[j : j + 2], 16))).alias(x) for x, j in zip("rgb", (1, 3, 5), strict=True)]) for i, v in enumerate(C.NAMED.values())])
+    c = brand_colours(spark, sf_dir)
+    # few distinct colours, dear to compare: dealt out by number, so that they are not put together again
+    few = c.select(*_rgb()).distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *_rgb()).withColumn("own", C.lab(*_rgb()))
+    # distance in four places and the name's place in one number; no distance comes first
+    place = F.array_min(F.transform(names, lambda x: F.coalesce(F.floor(C.delta_e(F.col("own"), C.lab(x["r"], x["g"], x["b"])) * 10000 + 0.5), F.lit(-1)) * n + x["i"]))
+    near = few.select(*[F.col(x).alias(f"{x}_") for x in "rgb"], place.alias("place"))
+    same = [F.col(x).eqNullSafe(F.col(f"{x}_")) for x in "rgb"]
+    best = c.join(near, same[0] & same[1] & same[2]).groupBy("brand", "ord").agg(F.min("place").alias("place"))
+    return best.select("brand", "ord", F.element_at(F.array(*[F.lit(k) for k in C.NAMED]), (F.pmod("place", F.lit(n)) + 1).cast("int")).alias("name"))
 
 
 def palette_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

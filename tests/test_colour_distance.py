@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sitelens.functions import colour as C
+from sitelens.operators import palette
 
 # The published pairs, L a b of both colours and their distance.
 PAIRS = """
@@ -50,3 +51,13 @@ def test_published_pairs(spark):
     got = table.select("want", C.delta_e(lab(1), lab(2)).alias("got"))
     far = [r for r in got.collect() if abs(r.want - r.got) >= 2e-4]
     assert len(rows) == 34 and not far
+
+
+def test_nearest_name_without_pairs(spark, tmp_path):
+    """Colours and names are not multiplied into rows, and no row is lost: twice the same part, and one without a size."""
+    parts = [("a", 0, 0), ("a", 0, 0), ("b", 0, None), ("b", 3, 51), ("c", 256, 0)]
+    spark.createDataFrame(parts, "p_brand string, p_partkey bigint, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = palette.nearest_named_colour(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "SortAggregate" not in plan
+    assert sorted(map(tuple, got.collect())) == [("a", 0, "black"), ("b", 0, "black"), ("b", 3, "blue"), ("c", 256, "black")]
