@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,14 +44,12 @@ def _any(terms: list[str]) -> str:
     return "(?:" + "|".join(re.escape(t) for t in terms) + ")"
 
 
-def _apart(terms: list[str], bounded: bool) -> list[list[str]]:
+def _apart(terms: list[str]) -> list[list[str]]:
     """Groups of terms of which no two can match at overlapping places, so that one pass counts a whole group."""
 
     def clash(x: str, y: str) -> bool:
-        edge = r"(?<![a-z0-9_])%s(?![a-z0-9_])" if bounded else "%s"
-        if x == y or re.search(edge % re.escape(x), y) or re.search(edge % re.escape(y), x):
-            return True
-        return not bounded and any(x.endswith(y[:n]) or y.endswith(x[:n]) for n in range(1, min(len(x), len(y))))
+        edge = r"(?<![a-z0-9_])%s(?![a-z0-9_])"
+        return bool(x == y or re.search(edge % re.escape(x), y) or re.search(edge % re.escape(y), x))
 
     groups: list[list[str]] = []
     for t in terms:
@@ -62,33 +62,69 @@ def _apart(terms: list[str], bounded: bool) -> list[list[str]]:
     return groups
 
 
-def tokens(text: Column) -> Column:
-    """Runs of ASCII letters, digits and underscores of lower-cased text, with empty strings at the ends."""
-    return F.split(F.lower(text), "[^a-z0-9_]+")
-
-
 def _among(words: Column, terms: list[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(terms)))
 
 
+def _plain(terms: list[str]) -> list[str]:
+    return [t for t in terms if re.fullmatch("[a-z0-9_]+", t)]
+
+
+def _branches(terms: list[str]) -> str:
+    """A pattern of plain terms that tries a common beginning once."""
+    tree: dict = {}
+    for t in terms:
+        at = tree
+        for c in t:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        rest = [c + pattern(x) for c, x in at.items() if c]
+        return ("(?:" + "|".join(rest) + ")" if rest else "") + ("?" if rest and "" in at else "")
+
+    return pattern(tree)
+
+
+def listed(low: Column, *lists: list[str]) -> Column:
+    """The words of lower-cased text, runs of a-z, 0-9 and _, that are terms of any of the lists: few, so that no list's count reads all words."""
+    terms = _branches([t for terms in lists for t in _plain(terms)])
+    return F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9_])({terms})(?![a-z0-9_])"), 1)
+
+
+def word_count(text: Column) -> Column:
+    """Runs without blanks, tabs, line feeds and carriage returns."""
+    for gap in "\t\n\r":
+        text = F.replace(text, F.lit(gap), F.lit(" "))
+    return F.size(F.array_remove(F.split(text, " "), ""))
+
+
+def times(text: Column, part: str) -> Column:
+    """Occurrences of a part, counted from the left without overlaps."""
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))) / len(part.encode())).cast("int")
+
+
 def term_count(text: Column, terms: list[str], words: Column | None = None) -> Column:
     """Occurrences of all terms in lower-cased text: words on ASCII boundaries, phrases as substrings.
 
-    words: the text's ``tokens``, where several counts share them; terms that are no single token take a pass each group.
+    words: those ``listed``, where several counts share them; the text is then lower-cased already. Terms with
+    other characters are counted by regular expressions in texts that hold one, phrases by replacing.
     """
-    low = F.lower(text)
-    words = tokens(text) if words is None else words
+    low = F.lower(text) if words is None else text
+    words = listed(low, terms) if words is None else words
     total: Column = F.lit(0)
-    plain = [t for t in terms if re.fullmatch("[a-z0-9_]+", t)]
+    plain = _plain(terms)
     while plain:  # a term listed twice counts twice
         once = list(dict.fromkeys(plain))
         total = total + _among(words, once)
         for t in once:
             plain.remove(t)
-    for g in _apart([t for t in terms if " " not in t and not re.fullmatch("[a-z0-9_]+", t)], True):
-        total = total + F.regexp_count(low, F.lit(f"(?<![A-Za-z0-9_]){_any(g)}(?![A-Za-z0-9_])"))
-    for g in _apart([t for t in terms if " " in t], False):
-        total = total + F.regexp_count(low, F.lit(_any(g)))
+    for g in _apart([t for t in terms if " " not in t and t not in _plain(terms)]):
+        held = reduce(operator.or_, [F.contains(low, F.lit(t)) for t in g])
+        total = total + F.when(held, F.regexp_count(low, F.lit(f"(?<![A-Za-z0-9_]){_any(g)}(?![A-Za-z0-9_])"))).otherwise(F.when(low.isNotNull(), 0))
+    for t in terms:
+        if " " in t:
+            total = total + times(low, t)
     return total
 
 

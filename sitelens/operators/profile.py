@@ -56,7 +56,8 @@ def html_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexicon_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexicon hits of each source's documents."""
     d = read(spark, sf_dir, "documents")
-    d = d.select("source", "text", T.tokens(F.col("text")).alias("words"))
+    d = d.select("source", F.lower("text").alias("text"))
+    d = d.select("source", "text", T.listed(F.col("text"), *T.LEXICONS.values()).alias("words"))
     counts = d.select("source", *[T.term_count(F.col("text"), terms, F.col("words")).alias(name) for name, terms in T.LEXICONS.items()])
     return counts.groupBy("source").agg(*[F.sum(name).cast("bigint").alias(name) for name in T.LEXICONS])
 

@@ -10,7 +10,6 @@ from ..functions import text as T
 from ..functions.numbers import clamp01, fixed
 from ..sources.tables import read
 from .palette import palette_rank
-from .sheets import COPY
 
 # Axis, lower and upper edge, and what each band is called.
 BANDS = (
@@ -19,17 +18,22 @@ BANDS = (
     ("assertiveness", 0.6, 0.9, ("hedged", "measured", "decisive")),
     ("technicality", 0.15, 0.5, ("plain", "domain-aware", "jargon-heavy")),
 )
+# The words that count as you, we and they in copy; "you're" and "our's" hold them, as an apostrophe ends a word.
+ADDRESSED = {
+    "you": ["yourself", "your", "you"],
+    "we": ["our", "we", "us"],
+    "they": ["they", "their", "them", "customer", "customers", "user", "users", "team", "teams", "client", "clients"],
+}
 
 
 def tone_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven tone axes from 0 to 1 of each document, from lexicon rates; a document without words has the axes of no hits."""
     t = F.lower(F.coalesce("text", F.lit("")))
-    count = lambda name: F.regexp_count(F.col("t"), F.lit(COPY[name]))
-    words = F.size(F.filter(F.split(F.translate(t, "\t\n\r", "   "), " "), lambda w: w != ""))
-    d = read(spark, sf_dir, "documents").select("doc_id", t.alias("t"), words.alias("words"), T.tokens(t).alias("tokens"))
-    t = F.col("t")
-    copy = [count(n).alias(n) for n in ("you", "we", "they", "exclamations")]
-    d = d.select("doc_id", "words", *copy, *[T.term_count(t, T.LEXICONS[n], F.col("tokens")).alias(n) for n in ("hedges", "power", "formality", "casual", "jargon")])
+    low, tones = F.col("t"), {n: T.LEXICONS[n] for n in ("hedges", "power", "formality", "casual", "jargon")}
+    d = read(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
+    d = d.select("doc_id", "t", T.listed(low, *tones.values(), *ADDRESSED.values()).alias("tokens"))
+    counts = [T.term_count(low, terms, F.col("tokens")).alias(n) for n, terms in (ADDRESSED | tones).items()]
+    d = d.select("doc_id", T.word_count(low).alias("words"), T.times(low, "!").alias("exclamations"), *counts)
     rate = lambda n: F.col(n) * 1000.0 / F.greatest("words", F.lit(1))
     scale = F.greatest(F.lit(1.0), F.col("words") / 250.0)
     axis = lambda x: fixed(clamp01(x), 3)

@@ -6,6 +6,7 @@ from sitelens.functions import text as T
 from sitelens.functions import url as U
 from sitelens.operators import crawl as K
 from sitelens.operators import faces as A
+from sitelens.operators import sheets, voice
 
 
 def one(spark, column):
@@ -70,3 +71,18 @@ def test_family_kind(spark, family, kind):
 def test_attributes(spark):
     got = one(spark, K.attributes(F.lit("<a HREF=\"x\" b = 'y z' c=1>")))
     assert [tuple(a) for a in got] == [("href", "x"), ("b", "y z"), ("c", "1")]
+
+
+def test_words_of_address_match_their_patterns(spark):
+    """Counts by listed words are those of the copy patterns, apostrophes, underscores and other letters beside them included."""
+    texts = ["you're you'll You yourselves yourself, your_s", "our's we'll we're us weé us2 -our-", "Users' teams' team client's them themé", "", "YOU'REX you''re scales api_ 10x"]
+    low = F.lower("t")
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n, terms in voice.ADDRESSED.items():
+        own = T.term_count(low, terms, T.listed(low, terms))
+        assert [r[0] for r in df.select(own).collect()] == [r[0] for r in df.select(F.regexp_count(low, F.lit(sheets.COPY[n]))).collect()]
+
+
+def test_tone_texts_are_not_split_into_words(spark):
+    plan = voice.tone_axes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^a-z0-9_]+" not in plan and plan.count("regexp_count") <= 4
