@@ -26,7 +26,7 @@ from ..sources.settled import settled
 from ..sources.tables import read
 
 #: Longest window in bytes, bits of the map, bytes of text that are fingerprinted at once.
-WINDOW, BITS, CHUNK = 32, 1 << 23, 4 << 20
+WINDOW, BITS, CHUNK = 32, 1 << 23, 256 << 10
 #: Characters of a quote that must be found.
 OPENING = 40
 
@@ -65,7 +65,7 @@ def _places(bitmap: bytes, lengths: list[int], longest: int):
         bits = np.frombuffer(bitmap, dtype=np.uint8)
 
         def of(rows: list[int], b: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-            ends = np.cumsum([len(t) for t in texts])
+            ends = np.cumsum([len(t) for t in texts])  # of texts, or of pieces that overlap by the longest quote
             whole = b"".join(texts)
             out: dict[tuple, None] = {}
             for n, marks in windows(np.frombuffer(whole, dtype=np.uint8), lengths).items():
@@ -81,13 +81,13 @@ def _places(bitmap: bytes, lengths: list[int], longest: int):
             rows, texts, held = [], [], 0
             for i in range(b.num_rows):
                 t = b.column("text")[i].as_py()
-                if t:
+                for at in range(0, len(t or b""), CHUNK):
                     rows.append(i)
-                    texts.append(t)
-                    held += len(t)
-                if held > CHUNK:
-                    yield of(rows, b, texts)
-                    rows, texts, held = [], [], 0
+                    texts.append(t[at : at + CHUNK + longest])
+                    held += len(texts[-1])
+                    if held > CHUNK:
+                        yield of(rows, b, texts)
+                        rows, texts, held = [], [], 0
             if texts:
                 yield of(rows, b, texts)
 

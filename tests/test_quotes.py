@@ -1,9 +1,14 @@
 """The containment join against Python's own test, for quotes of all lengths."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sitelens.functions.rolling import windows
 from sitelens.operators import quotes
 
 
@@ -39,3 +44,29 @@ def test_a_full_map_and_small_chunks_lose_nothing(spark, monkeypatch, bits, chun
     texts = [(i, f"passage {i} of many, quoted at length by {i * 7919}", "s") for i in range(300)]
     said = [(i, f"{i} of many, quoted", "s") for i in range(300)]
     assert found(spark, texts, said) == sorted((j, i) for i, t, _ in texts for j, q, _ in said if q in t)
+
+
+def _found(texts, said, chunk, monkeypatch):
+    monkeypatch.setattr(quotes, "CHUNK", chunk)
+    bits = np.zeros(quotes.BITS // 8, np.uint8)
+    sizes = {k: quotes._opening(len(k)) for k in said}
+    for k, n in sizes.items():
+        place = int(windows(np.frombuffer(k[:n], np.uint8), [n])[n][0]) & (quotes.BITS - 1)
+        bits[place >> 3] |= np.uint8(1 << (place & 7))
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([""] * len(texts)), pa.array(texts, pa.binary())], ["text_id", "text_group", "text"])
+    out = quotes._places(bits.tobytes(), sorted(set(sizes.values())), max(map(len, said)))(iter([b]))
+    return {(i, k) for o in out for i, tail in zip(o.column("text_id").to_pylist(), o.column("tail").to_pylist(), strict=True) for k in said if tail.startswith(k)}
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    """A quote across the end of a piece is found, and what is held at once does not follow the text."""
+    text = b"".join(b"%07d " % i for i in range(40))
+    said = [text[a : a + n] for a in range(0, 280, 7) for n in (5, 20, 40)]
+    want = {(i, k) for i, t in enumerate([text, b"", text[100:]]) for k in said if k in t}
+    assert _found([text, b"", text[100:], None], said, 50, monkeypatch) == want
+    monkeypatch.undo()
+    tracemalloc.start()
+    assert _found([b"lorem ipsum " * (1 << 20) + b"dolor"], [b"dolor"], quotes.CHUNK, monkeypatch) == {(0, b"dolor")}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20  # the text is 12 MB
