@@ -31,7 +31,6 @@ tokens (the end too) with a training count; with no training document all probab
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +45,8 @@ from .words import mix, word_hashes
 BLOCK_BYTES, BURN_IN, SAMPLES, STRENGTH = 8 << 20, 2, 3, 1.0
 #: Rounds of the estimate that seating starts from; numbers in a matrix of table weights.
 START, CELLS = 10, 1 << 20
+#: Numbers of tables through which the polynomial of a dish's weights goes.
+NODES = 24
 #: Customers up to which a dish's table weights come from the recursion; beyond it they come from the contour integral.
 RECURSED = 1024
 #: Bytes of text for each shard, about a million tokens: a worker holds the pairs of one shard at a time.
@@ -55,39 +56,37 @@ _PAIR = np.uint64(0x9FB21C651E98DF25)
 _PACKET = "kind string, block bigint, shard int, payload binary"
 _COUNTED = _PACKET + ", tokens bigint, texts bigint"
 _NAMES = ["kind", "block", "shard", "payload"]
+_ZSTD = pa.Codec("zstd")
 
 
 # --- packets -------------------------------------------------------------------------------------------------------
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as byte planes, compressed; increasing 64-bit arrays should come as differences."""
-    out = []
-    for a in arrays:
-        raw = np.ascontiguousarray(a)
-        planes = raw.view(np.uint8).reshape(len(raw), -1).T.tobytes() if len(raw) else b""
-        packed = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
-        out.append(np.array([len(raw), len(packed)], dtype="<i8").tobytes() + packed)
-    return b"".join(out)
+    """Arrays as byte planes, compressed at once, as packets may be small; increasing 64-bit arrays should come as differences."""
+    sizes = np.array([len(a) for a in arrays], dtype="<i8").tobytes()
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.ravel() for a in arrays if len(a)]
+    return sizes + _ZSTD.compress(np.concatenate(planes), asbytes=True) if planes else sizes
 
 
 def _unpack(payload: bytes, *kinds: type) -> list[np.ndarray]:
+    head = 8 * len(kinds)
+    spans = [(n, np.dtype(kind).itemsize) for n, kind in zip(np.frombuffer(payload[:head], dtype="<i8").tolist(), kinds, strict=True)]
+    total = sum(n * width for n, width in spans)
+    raw = np.frombuffer(_ZSTD.decompress(payload[head:], decompressed_size=total, asbytes=True) if total else b"", dtype=np.uint8)
     out, at = [], 0
-    for kind in kinds:
-        n, size = np.frombuffer(payload, dtype="<i8", count=2, offset=at).tolist()
-        at += 16
-        width = np.dtype(kind).itemsize
-        if n:
-            planes = np.frombuffer(pa.decompress(payload[at : at + size], decompressed_size=n * width, codec="zstd", asbytes=True), dtype=np.uint8)
-            out.append(np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel())
-        else:
-            out.append(np.zeros(0, dtype=kind))
-        at += size
+    for (n, width), kind in zip(spans, kinds, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).ravel())
+        at += n * width
     return out
 
 
-def _delta(x: np.ndarray) -> np.ndarray:
-    return np.diff(x, prepend=np.uint64(0))
+def _delta(x: np.ndarray, begins: list[int]) -> np.ndarray:
+    """Differences of hashes that increase within packets; the first of each packet is whole."""
+    out = x.copy()
+    out[1:] -= x[:-1]
+    out[begins] = x[begins]
+    return out
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -111,25 +110,62 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(lengths)])
 
 
-def _contexts(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    out = np.empty_like(tokens)
-    if len(tokens):
-        out[1:] = tokens[:-1]
-        out[first[:-1]] = _BEGIN
+def _new(x: np.ndarray) -> np.ndarray:
+    """Whether each of the sorted numbers differs from the one before it."""
+    out = np.ones(len(x), dtype=bool)
+    out[1:] = x[1:] != x[:-1]
     return out
 
 
-def _pairs(tokens: np.ndarray, first: np.ndarray, hot: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in the order of (shard, word, context): contexts, words, shards, and each token's place among them."""
-    ctx = _contexts(tokens, first)
-    _, at, inverse = np.unique(mix(ctx * _PAIR + tokens), return_index=True, return_inverse=True)
-    c, w = ctx[at], tokens[at]
-    split = np.isin(c, hot) if len(hot) else np.zeros(len(c), bool)
-    shard = _shard(np.where(split, mix(c ^ w), c), shards)
-    order = np.lexsort((c, w, shard))
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    return c[order], w[order], shard[order], place[inverse]
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[_new(x)]
+
+
+def _factored(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and each number's place among them; only distinct ones are sorted."""
+    coded = pa.array(x).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    order = np.argsort(found)
+    place = np.empty(len(found), dtype=np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[coded.indices.to_numpy()]
+
+
+def _ranked(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for 64-bit numbers below 2 ** bits, few of them alike: number and place are sorted as one number where both fit."""
+    room = len(x).bit_length()
+    if bits + room <= 64:
+        value = np.sort(x << np.uint64(room) | np.arange(len(x), dtype=np.uint64))
+        order = (value & np.uint64((1 << room) - 1)).astype(np.int64)
+        value >>= np.uint64(room)
+    else:
+        order = np.argsort(x, kind="stable")
+        value = x[order]
+    new = _new(value)
+    place = np.empty(len(x), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return value[new], place
+
+
+def _codes(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Hashes of a block in order (with that of a beginning), each token's place among them, its (word, context) as one number, and the bits of the context in it."""
+    known, at = _factored(np.append(tokens, _BEGIN))
+    bits = len(known).bit_length()
+    before = np.empty(len(tokens), dtype=np.int64)
+    before[1:] = at[:-2]
+    before[first[:-1]] = at[-1]
+    return known, at[:-1], (at[:-1] << bits | before).view(np.uint64), bits
+
+
+def _pairs(code: np.ndarray, known: np.ndarray, bits: int, hot: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes in the order of (shard, word, context): places of contexts and words among the known, shards, and the codes' places before."""
+    c, w = (code & np.uint64((1 << bits) - 1)).astype(np.int64), (code >> np.uint64(bits)).astype(np.int64)
+    shard = _shard(known, shards)[c]
+    split = np.flatnonzero(np.isin(known, hot)[c]) if len(hot) else np.zeros(0, np.int64)
+    shard[split] = _shard(mix(known[c[split]] ^ known[w[split]]), shards)
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+    return c[order], w[order], shard[order], order
 
 
 # --- seating -------------------------------------------------------------------------------------------------------
@@ -162,16 +198,16 @@ def _stirling(counts: np.ndarray, widths: np.ndarray, d: float) -> list[np.ndarr
     return out
 
 
-def _log_sibuya(c: int, t: np.ndarray, d: float) -> np.ndarray:
-    """log of the chance that t Sibuya(d) numbers sum to c, which is S(c, t) t! d ** t / c!, for increasing t from 1 to c.
+def _log_sibuya(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log of the chance that t Sibuya(d) numbers sum to c, which is S(c, t) t! d ** t / c!, for t from 1 to c.
 
     It is the coefficient of z ** c in (1 - (1 - z) ** d) ** t. The contour is a parabola s = m (1 + i x) ** 2 around the cut
     of s = 1 - z, through the saddle point or, where that comes too close to the cut, through 4 / c; where nearly all tables
     have one customer, it is a circle. 64 points on each half of it give six places at least.
     """
-    log_lo = np.full(len(t), np.log(4.0 / c))
+    log_lo = np.log(4.0 / c)
     log_hi = np.zeros(len(t))
-    for _ in range(60):
+    for _ in range(45):
         mid = (log_lo + log_hi) / 2
         s = np.exp(mid)
         up = (c + 1) / -np.expm1(mid) > t * d * s ** (d - 1) / -np.expm1(d * mid)
@@ -184,47 +220,64 @@ def _log_sibuya(c: int, t: np.ndarray, d: float) -> np.ndarray:
     x = 1 + 1j * step[:, None] * np.arange(65)
     size = 2 * m * step
     ring = (c - t < 100) & (gap < 0.6)
-    z = np.maximum(gap[ring], 1.0 / c)[:, None] * np.exp(1j * np.pi / 64 * np.arange(65))
+    z = np.maximum(gap[ring], 1.0 / c[ring])[:, None] * np.exp(1j * np.pi / 64 * np.arange(65))
     s = m[:, None] * x * x
     s[ring], x[ring], size[ring] = 1 - z, z, np.pi / 64
-    g = t[:, None] * np.log(1 - s**d) - (c + 1) * np.log(1 - s)
+    g = np.log(s)
+    g = t[:, None] * np.log(1 - np.exp(d * g)) - (c + 1)[:, None] * np.log(1 - s)
     top = g[:, :1].real
     terms = (x * np.exp(g - top)).real
     return top[:, 0] + np.log(size / np.pi * (terms.sum(axis=1) - terms[:, 0] / 2 - terms[:, -1] / 2))
 
 
-def _likely(c: int, fresh: float, d: float) -> tuple[int, np.ndarray]:
-    """The lowest likely number of tables of a dish, and the weights S(c, t) (d fresh) ** t from there, scaled to 1 at most.
+def _all_likely(c: np.ndarray, fresh: np.ndarray, d: float) -> list[tuple[int, np.ndarray]]:
+    """For each dish the lowest likely number of tables, and the weights S(c, t) (d fresh) ** t from there, scaled to 1 at most.
 
     The weights are log-concave in t, so all numbers left out have less than e ** -36 of the greatest weight and fall further.
+    Times (c - t)! / t the chances are smooth in t: they are read off a polynomial through NODES numbers. The numbers of as
+    many dishes are computed at once as make some CELLS / 8 points of contours.
     """
     # near the mode: t is about Poisson, tilted to the sum c
-    log_lo, log_hi = -700.0, 0.0
+    log_lo, log_hi = np.full(len(c), -700.0), np.zeros(len(c))
     for _ in range(60):
         mid = (log_lo + log_hi) / 2
-        if np.log(c) - np.log(-np.expm1(mid)) > np.log(fresh * d) + (d - 1) * mid:
-            log_hi = mid
-        else:
-            log_lo = mid
-    mode = min(float(c), max(1.0, -fresh * np.expm1(d * log_lo)))
-    lo, hi = max(1, int(mode - 10 * mode**0.5 - 30)), min(c, int(mode + 10 * mode**0.5 + 30))
-    while True:
-        t = np.arange(lo, hi + 1, dtype=float)
-        if len(t) <= 256:
-            log = np.cumsum(np.log(fresh / t)) + _log_sibuya(c, t, d)
-        else:  # times (c - t)! it is smooth in t: read off a polynomial through 24 of the numbers
-            node = np.rint((lo + hi) / 2 - (hi - lo) / 2 * np.cos(np.pi * np.arange(24) / 23))
-            known = _log_sibuya(c, node, d) + [math.lgamma(c - k + 1) for k in node.tolist()]
-            gaps = 4 / (hi - lo) * (node[:, None] - node) + np.eye(24)
+        high = np.log(c) - np.log(-np.expm1(mid)) > np.log(fresh * d) + (d - 1) * mid
+        log_lo, log_hi = np.where(high, log_lo, mid), np.where(high, mid, log_hi)
+    mode = np.minimum(c, np.maximum(1.0, -fresh * np.expm1(d * log_lo)))
+    spread = 10 * mode**0.5 + 30
+    lo, hi = np.maximum(1, np.floor(mode - spread)), np.minimum(c, np.floor(mode + spread))
+    out: list = [None] * len(c)
+    waiting = np.arange(len(c))
+    while len(waiting):
+        now, waiting = waiting[: CELLS // 512 // NODES], waiting[CELLS // 512 // NODES :]
+        mid, half = (lo[now] + hi[now]) / 2, (hi[now] - lo[now]) / 2
+        nodes = np.rint(mid[:, None] - half[:, None] * np.cos(np.pi * np.arange(NODES) / (NODES - 1)))
+        nodes = [np.unique(x) for x in nodes]
+        every, of = np.concatenate(nodes), np.repeat(c[now], [len(x) for x in nodes])
+        known = _log_sibuya(of, every, d) - np.log(every)
+        again = []
+        for i, node, value in zip(now.tolist(), nodes, np.split(known, np.cumsum([len(x) for x in nodes])[:-1]), strict=True):
+            t = np.arange(lo[i], hi[i] + 1)
+            fall = np.cumsum(np.log(c[i] - t + 1))  # of (c - t)!
+            value = value - fall[(node - lo[i]).astype(np.int64)]
+            gaps = 4 / max(hi[i] - lo[i], 1) * (node[:, None] - node) + np.eye(len(node))
             part = t[:, None] - node
             part = 1 / (np.where(part == 0, 1e-9, part) * gaps.prod(axis=1))
-            log = np.cumsum(np.log(fresh / t) + np.log(c - t + 1)) + part @ known / part.sum(axis=1)
-        log -= log.max()
-        low, high = lo > 1 and log[0] > -36, hi < c and log[-1] > -36
-        if not low and not high:
-            return lo, np.exp(log)
-        wide = hi - lo + 1
-        lo, hi = max(1, lo - wide * low), min(c, hi + wide * high)
+            log = np.cumsum(np.log(fresh[i] / t)) + np.log(t) + fall + part @ value / part.sum(axis=1)
+            log -= log.max()
+            low, high = lo[i] > 1 and log[0] > -36, hi[i] < c[i] and log[-1] > -36
+            if low or high:
+                lo[i], hi[i] = max(1, lo[i] - len(t) * low), min(c[i], hi[i] + len(t) * high)
+                again.append(i)
+            else:
+                out[i] = int(lo[i]), np.exp(log)
+        waiting = np.append(waiting, np.array(again, dtype=np.int64))
+    return out
+
+
+def _likely(c: int, fresh: float, d: float) -> tuple[int, np.ndarray]:
+    """The same for one dish."""
+    return _all_likely(np.array([float(c)]), np.array([fresh]), d)[0]
 
 
 def seat(room: np.ndarray, count: np.ndarray, parent: np.ndarray, rng: np.random.Generator, share: np.ndarray | None = None) -> tuple[np.ndarray, float]:
@@ -238,8 +291,8 @@ def seat(room: np.ndarray, count: np.ndarray, parent: np.ndarray, rng: np.random
     one, two = int((count == 1).sum()), int((count == 2).sum())
     d = float(np.clip(one / (one + 2 * two), 0.3, 0.95)) if one + two else 0.75
     rooms = int(room.max()) + 1
-    by_size = np.argsort(count, kind="stable")
-    by_size = by_size[np.searchsorted(count[by_size], 2) :]  # one customer has one table
+    by_size = np.flatnonzero(count > 1)  # one customer has one table
+    by_size = by_size[np.argsort(count[by_size], kind="stable")]
     c, r, p = count[by_size], room[by_size], parent[by_size]
     few = int(np.searchsorted(c, RECURSED, side="right"))
     sizes, first = np.unique(c[:few], return_index=True)
@@ -272,8 +325,7 @@ def seat(room: np.ndarray, count: np.ndarray, parent: np.ndarray, rng: np.random
                 weights = row[:wide] + scale[a:b, None] * steps
                 weights = np.cumsum(np.exp(weights - weights.max(axis=1, keepdims=True)), axis=1)
                 t[a:b] = 1 + (weights[:, :-1] <= (chance[a:b] * weights[:, -1])[:, None]).sum(axis=1)
-        for i in range(few, len(c)):
-            low, weights = _likely(int(c[i]), max(float(fresh[i]), 1e-300), d)
+        for i, (low, weights) in enumerate(_all_likely(c[few:].astype(float), np.maximum(fresh[few:], 1e-300), d), few):
             weights = np.cumsum(weights)
             t[i] = low + np.searchsorted(weights[:-1], chance[i] * weights[-1], side="right")
         if sweep >= BURN_IN:
@@ -337,22 +389,28 @@ def _batch(kind: str, block: int, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, *more], [*_NAMES, "tokens", "texts"][: 4 + len(more)])
 
 
-def _cuts(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        if hi > lo:
-            yield int(shard[lo]), lo, hi
+def _cuts(shard: np.ndarray) -> list[tuple[int, int, int]]:
+    """Shard, begin and end of each run of the sorted shards."""
+    at = np.flatnonzero(_new(shard))
+    begins = at.tolist()
+    return list(zip(shard[at].tolist(), begins, [*begins[1:], len(shard)], strict=False))
+
+
+def _begins(cuts: list[tuple[int, int, int]]) -> list[int]:
+    return [lo for _, lo, _ in cuts]
 
 
 def _word_packets(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, tokens, first, train in _blocks(batches):
-            words, inverse = np.unique(tokens, return_inverse=True)
+            words, inverse = _factored(tokens)
             counts = np.bincount(inverse, weights=np.repeat(train, np.diff(first)), minlength=len(words)).astype(np.uint32)
             texts = int(train.sum())
             rows = []
-            for s, lo, hi in _cuts(_shard(words, shards)):
-                rows.append((s, _pack(_delta(words[lo:hi]), counts[lo:hi]), int(counts[lo:hi].sum()), texts))
+            cuts = _cuts(_shard(words, shards))
+            steps = _delta(words, _begins(cuts))
+            for s, lo, hi in cuts:
+                rows.append((s, _pack(steps[lo:hi], counts[lo:hi]), int(counts[lo:hi].sum()), texts))
                 texts = 0  # a block's texts count once
             if rows:
                 yield _batch("word", block, rows)
@@ -367,7 +425,7 @@ def _merged(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         w, n = _unpack(p, np.uint64, np.uint32)
         words.append(np.cumsum(w, dtype=np.uint64))
         counts.append(n)
-    known, at = np.unique(np.concatenate(words), return_inverse=True)
+    known, at = _factored(np.concatenate(words))
     return known, np.bincount(at, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64), at, [len(w) for w in words[1:]]
 
 
@@ -389,12 +447,20 @@ def _count_words(often: int):
 def _pair_packets(shards: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, tokens, first, train in _blocks(batches):
-            c, w, shard, place = _pairs(tokens, first, hot, shards)
-            counts = np.bincount(place, weights=np.repeat(train, np.diff(first)), minlength=len(c)).astype(np.uint32)
+            known, _, code, bits = _codes(tokens, first)
+            code = np.sort(code << np.uint64(1) | np.repeat(train, np.diff(first)))  # the last bit counts training tokens
+            begins = np.flatnonzero(_new(code >> np.uint64(1)))
+            counts = np.add.reduceat(code & np.uint64(1), begins).astype(np.uint32)
+            c, w, shard, order = _pairs(code[begins] >> np.uint64(1), known, bits, hot, shards)
+            words, counts = known[w], counts[order]
+            held, place = _ranked((shard << bits | c).view(np.uint64), bits + shards.bit_length())  # contexts by shard
+            of = (held >> np.uint64(bits)).astype(np.int64)
+            contexts = known[(held & np.uint64((1 << bits) - 1)).astype(np.int64)]
+            cuts, own = _cuts(shard), _cuts(of)
+            contexts, words = _delta(contexts, _begins(own)), _delta(words, _begins(cuts))
             rows = []
-            for s, lo, hi in _cuts(shard):
-                contexts, at = np.unique(c[lo:hi], return_inverse=True)
-                rows.append((s, _pack(_delta(contexts), at.astype(np.uint32), _delta(w[lo:hi]), counts[lo:hi])))
+            for (s, lo, hi), (_, a, b) in zip(cuts, own, strict=True):
+                rows.append((s, _pack(contexts[a:b], (place[lo:hi] - a).astype(np.uint32), words[lo:hi], counts[lo:hi])))
                 if len(rows) >= 64:
                     yield _batch("pair", block, rows)
                     rows = []
@@ -412,25 +478,30 @@ def _seat_contexts(shards: int, hot: np.ndarray, vocabulary: int, seed: int = 7)
         shard = key[0].as_py()
         order = np.argsort(table.column("block").to_numpy(), kind="stable")
         blocks, payloads = table.column("block").to_numpy()[order].tolist(), table.column("payload").take(pa.array(order)).to_pylist()
-        ctx, words, counts, lists = [], [], [], []
+        lists, heads, parts, counts = [], [], [], []
         for p in payloads:
             contexts, at, w, n = _unpack(p, np.uint64, np.uint32, np.uint64, np.uint32)
-            contexts = np.cumsum(contexts, dtype=np.uint64)
-            lists.append(contexts)
-            ctx.append(contexts[at])
-            words.append(np.cumsum(w, dtype=np.uint64))
+            lists.append(np.cumsum(contexts, dtype=np.uint64))
+            new = w != 0
+            new[:1] = True
+            heads.append(np.cumsum(w, dtype=np.uint64)[new])
+            parts.append((at, np.cumsum(new) - 1))
             counts.append(n)
-        sizes = [len(w) for w in words]
-        c, w, n = np.concatenate(ctx), np.concatenate(words), np.concatenate(counts)
-        del ctx, words, counts
-        _, at, pair = np.unique(mix(c * _PAIR + w), return_index=True, return_inverse=True)
-        total = np.bincount(pair, weights=n, minlength=len(at)).astype(np.int64)
-        rooms, room = np.unique(c[at], return_inverse=True)
-        dishes, dish = np.unique(w[at], return_inverse=True)
+        sizes = [len(n) for n in counts]
+        rooms, dishes = _distinct(np.concatenate(lists)), _distinct(np.concatenate(heads))
+        lists = [np.searchsorted(rooms, x) for x in lists]
+        bits = len(rooms).bit_length()
+        code = np.concatenate([np.searchsorted(dishes, x)[word] << bits | r[at] for x, r, (at, word) in zip(heads, lists, parts, strict=True)]).view(np.uint64)
+        del heads, parts
+        found, pair = _ranked(code, bits + len(dishes).bit_length())
+        del code
+        total = np.bincount(pair, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
+        room, dish = (found & np.uint64((1 << bits) - 1)).astype(np.int64), (found >> np.uint64(bits)).astype(np.int64)
         by_dish = np.bincount(dish, weights=total, minlength=len(dishes))
         seen = np.flatnonzero(total > 0)
+        seen = seen[np.argsort(mix(rooms[room[seen]] * _PAIR + dishes[dish[seen]]))]  # draws follow the pairs' hashes
         parent = ((by_dish + 0.5) / (by_dish.sum() + 0.5 * (vocabulary + 1)))[dish[seen]]
-        tables = np.zeros(len(at))
+        tables = np.zeros(len(found))
         taken, own = np.unique(room[seen], return_inverse=True)
         share = np.where(np.isin(rooms[taken], hot), 1.0 / shards, 1.0)  # a hot context's words are spread evenly
         tables[seen], d = seat(own, total[seen], parent, np.random.default_rng([shard, seed]), share)
@@ -439,15 +510,16 @@ def _seat_contexts(shards: int, hot: np.ndarray, vocabulary: int, seed: int = 7)
         numerator = (total - d * tables).astype(np.float32)
         rows: list[tuple] = []
         lo = 0
-        for block, contexts, size in zip(blocks, lists, sizes, strict=True):
-            r = np.searchsorted(rooms, contexts)
+        for block, r, size in zip(blocks, lists, sizes, strict=True):
             rows.append(("pair", block, shard, _pack(customers[r].astype(np.int64), discounted[r].astype(np.float32), numerator[pair[lo : lo + size]]), None, None, None))
             lo += size
         sent = np.bincount(dish, weights=tables, minlength=len(dishes))
         keep = sent > 0
         dishes, sent = dishes[keep], sent[keep]
-        for s, a, b in _cuts(_shard(dishes, shards)):
-            rows.append(("tables", -1, s, _pack(_delta(dishes[a:b]), sent[a:b]), None, None, None))
+        cuts = _cuts(_shard(dishes, shards))
+        steps = _delta(dishes, _begins(cuts))
+        for s, a, b in cuts:
+            rows.append(("tables", -1, s, _pack(steps[a:b], sent[a:b]), None, None, None))
         for k in np.flatnonzero(np.isin(rooms, hot)):
             rows.append(("hot", -1, shard, None, int(rooms[k].astype(np.int64)), float(customers[k]), float(discounted[k])))
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64()]
@@ -467,10 +539,12 @@ def _seat_words(vocabulary: int):
         blocks, payloads = table.column("block").to_numpy(), table.column("payload").to_pylist()
         asked = sorted((int(blocks[i]), payloads[i]) for i in np.flatnonzero(kinds == "word"))
         known, total, at, sizes = _merged([p for _, p in asked])
-        sent = np.zeros(len(known))
+        places, tables = [np.zeros(0, np.int64)], [np.zeros(0)]
         for i in np.flatnonzero(kinds == "tables"):
             w, t = _unpack(payloads[i], np.uint64, np.float64)
-            sent += np.bincount(np.searchsorted(known, np.cumsum(w, dtype=np.uint64)), weights=t, minlength=len(known))
+            places.append(np.searchsorted(known, np.cumsum(w, dtype=np.uint64)))
+            tables.append(t)
+        sent = np.bincount(np.concatenate(places), weights=np.concatenate(tables), minlength=len(known))
         customers = np.where(total > 0, np.maximum(1, np.rint(sent)), 0).astype(np.int64)
         seen = np.flatnonzero(customers > 0)
         tables = np.zeros(len(known))
@@ -501,12 +575,13 @@ def _score(shards: int, hot: np.ndarray, hot_customers: np.ndarray, hot_tables:
         tokens, first = _tokens(docs.column("text").combine_chunks() if docs.num_rows else pa.array([], pa.string()))
         kinds = answers.column("kind").to_pylist()
         got = sorted(zip(kinds, answers.column("shard").to_pylist(), answers.column("payload").to_pylist(), strict=True), key=lambda x: x[:2])
-        words, at = np.unique(tokens, return_inverse=True)
+        known, at, code, bits = _codes(tokens, first)
+        own = np.zeros(len(known), dtype=bool)
+        own[at] = True  # the beginning is no word
         parts = [_unpack(p, np.int64, np.float32) for kind, _, p in got if kind == "word"]
-        count, numerator = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        c, w, shard, place = _pairs(tokens, first, hot, shards)
+        found, place = _ranked(code, 2 * bits)
+        c, w, shard, order = _pairs(found, known, bits, hot, shards)
         top, room_c, room_t = [], [], []
-        entries = [np.unique(c[lo:hi]) for _, lo, hi in _cuts(shard)]
         for kind, _, p in got:
             if kind == "pair":
                 customers, tables, above = _unpack(p, np.int64, np.float32, np.float32)
@@ -514,23 +589,25 @@ def _score(shards: int, hot: np.ndarray, hot_customers: np.ndarray, hot_tables:
                 room_c.append(customers)
                 room_t.append(tables)
         above = np.concatenate(top)
-        if len(count) != len(words) or len(above) != len(c):
+        if sum(len(p[0]) for p in parts) != own.sum() or len(above) != len(found):
             raise ValueError("a block's rows differ between two scans of the same table")
-        contexts, where = np.unique(np.concatenate(entries), return_index=True)
-        customers, tables = np.concatenate(room_c)[where].astype(float), np.concatenate(room_t)[where].astype(float)
+        count, alone, customers, tables = (np.zeros(len(known)) for _ in range(4))
+        count[own] = np.concatenate([p[0] for p in parts])
+        alone[own] = (np.concatenate([p[1] for p in parts]) + (STRENGTH + all_tables) / (vocabulary + 1)) / (STRENGTH + all_customers)
+        held = _distinct((shard << bits | c).view(np.uint64)) & np.uint64((1 << bits) - 1)  # contexts by shard
+        customers[held.astype(np.int64)], tables[held.astype(np.int64)] = np.concatenate(room_c), np.concatenate(room_t)
         if len(hot):
-            is_hot = np.isin(contexts, hot)
-            k = np.searchsorted(hot, contexts[is_hot])
+            is_hot = np.isin(known, hot)
+            k = np.searchsorted(hot, known[is_hot])
             customers[is_hot], tables[is_hot] = hot_customers[k], hot_tables[k]
-        u = np.searchsorted(contexts, c)
-        alone = (numerator + (STRENGTH + all_tables) / (vocabulary + 1)) / (STRENGTH + all_customers)
-        pair = (above + (STRENGTH + tables[u]) * alone[np.searchsorted(words, w)]) / (STRENGTH + customers[u])
+        pair = np.empty(len(found))
+        pair[order] = (above + (STRENGTH + tables[c]) * alone[w]) / (STRENGTH + customers[c])
         begins = first[:-1]
         logs = np.add.reduceat(np.log10(pair)[place], begins)
         base = np.add.reduceat(np.log10((count + 1.0) / (trained + vocabulary + 1.0))[at], begins)
-        known = np.add.reduceat((count > 0)[at].astype(np.int64), begins)
+        trained_on = np.add.reduceat((count > 0)[at].astype(np.int64), begins)
         n = docs.num_rows
-        return pa.table([docs.column("doc_id"), pa.array(~docs.column("train").to_numpy(zero_copy_only=False)), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(n, trained, np.int64)), pa.array(base), pa.array(logs)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([docs.column("doc_id"), pa.array(~docs.column("train").to_numpy(zero_copy_only=False)), pa.array(np.diff(first)), pa.array(trained_on), pa.array(np.full(n, trained, np.int64)), pa.array(base), pa.array(logs)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 

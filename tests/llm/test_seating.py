@@ -72,3 +72,30 @@ def test_work_of_a_dish_does_not_follow_its_customers_squared(monkeypatch):
     tables, d = pitman_yor.seat(np.zeros(6, int), count, parent, np.random.default_rng(1))
     assert rows and max(rows) <= pitman_yor.RECURSED**2
     assert (tables[:2] == 1).all() and (tables <= count).all() and tables[5] > tables[4] > tables[3] > 1
+
+
+def test_few_numbers_of_tables_are_computed_for_a_dish(monkeypatch):
+    computed = []
+    contour = pitman_yor._log_sibuya
+    monkeypatch.setattr(pitman_yor, "_log_sibuya", lambda c, t, d: computed.append(len(t)) or contour(c, t, d))
+    count = np.concatenate([[1, 1, 2], np.arange(1100, 60_000, 700)])
+    parent = count / count.sum()
+    tables, _ = pitman_yor.seat(np.zeros(len(count), int), count, parent, np.random.default_rng(1))
+    sweeps = pitman_yor.BURN_IN + pitman_yor.SAMPLES
+    assert (tables[3:] > 1).all() and (tables <= count).all()
+    assert 0 < sum(computed) < 30 * sweeps * (len(count) - 3)
+    assert len(computed) < 3 * sweeps  # dishes are computed together
+
+
+def test_weights_of_dishes_taken_together_match_the_recursion():
+    for d in (0.3, 0.75, 0.95):
+        sizes = np.array([1025, 1400, 6000])
+        exact = pitman_yor._stirling(sizes, sizes, d)
+        for fresh in (1e-300, 1e-2, 1.0, 5.0, 100.0, 700.0, 3e3, 1e7):
+            got = pitman_yor._all_likely(sizes.astype(float), np.full(3, fresh), d)
+            for c, row, (low, weights) in zip(sizes.tolist(), exact, got, strict=True):
+                log = row + np.log(d * fresh) * np.arange(c)
+                want = np.exp(log - log.max())
+                have = np.zeros(c)
+                have[low - 1 : low - 1 + len(weights)] = weights
+                assert np.abs(have / have.sum() - want / want.sum()).sum() < 1e-6
